@@ -1 +1,8 @@
 """pitchlake: football match analytics expressed as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job: executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
