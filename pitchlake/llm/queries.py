@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat_format, exact_dedup, license_scan
+from pitchlake.llm import chat_format, exact_dedup, license_scan, substring_dedup, suffix_dedup
 from pitchlake.llm.sql import ORACLES  # noqa: F401
 
 
@@ -13,6 +13,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
@@ -30,8 +34,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
