@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat_format, exact_dedup, license_scan, substring_dedup, suffix_dedup
+from pitchlake.llm import chat_format, exact_dedup, license_scan, near_dedup, substring_dedup, suffix_dedup
 from pitchlake.llm.sql import ORACLES  # noqa: F401
 
 
@@ -38,10 +38,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
