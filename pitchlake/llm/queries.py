@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import chat_format, exact_dedup, license_scan, near_dedup, substring_dedup, suffix_dedup
+from pitchlake.llm import bpe, chat_format, exact_dedup, knn_quality, license_scan, near_dedup, pfair_mix, substring_dedup, suffix_dedup
 from pitchlake.llm.sql import ORACLES  # noqa: F401
 
 
@@ -13,10 +13,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file, which is installed with its package on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
 
+#: Target weights of the mixture; sources that it doesn't list get their mean.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 1.0}
+
+
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix_plan(documents(spark, sf_dir), MIX_WEIGHTS)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
@@ -43,7 +66,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_knn_quality": op1_knn_quality,
+    "op2_bpe": op2_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_pfair_mix": op4_pfair_mix,
     "op5_license_scan": op5_license_scan,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
