@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import bpe, chat_format, exact_dedup, knn_quality, license_scan, near_dedup, pfair_mix, substring_dedup, suffix_dedup
+from pitchlake.llm import bpe, chat_format, exact_dedup, knn_quality, license_scan, local_descriptors, near_dedup, pfair_mix, substring_dedup, suffix_dedup
 from pitchlake.llm.sql import ORACLES  # noqa: F401
 
 
@@ -65,6 +65,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_descriptors.edited_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_knn_quality": op1_knn_quality,
     "op2_bpe": op2_bpe,
@@ -75,4 +79,5 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_local_descriptors": op10_local_descriptors,
 }
