@@ -26,14 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.llm.common import materialise
+
 #: White space for str.split() that the tokenizers' \s doesn't know.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
 #: Words that a task remembers before it starts anew.
 REMEMBER = 1_000_000
+#: Texts whose new words are learnt together.
+TOGETHER = 1000
+#: The rank of a pair that no merge has.
+NEVER = 1 << 40
 
 
 def byte_characters() -> list[str]:
@@ -50,35 +56,68 @@ class Model:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = (tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"])
-        self.ranks = {pair: i for i, pair in enumerate(merges)}
+        pairs = list(merges)
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         splits = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.characters = byte_characters()
+        characters = byte_characters()
+        self.byte_ids = np.array([self.vocab[c] for c in characters])
+        self.end_ids = np.array([self.vocab[c + self.end] for c in characters])
+        self.size = max(self.vocab.values()) + 1
+        codes = np.array([self.vocab[a] * self.size + self.vocab[b] for a, b in pairs] or [-1], np.int64)
+        self.merged = np.array([self.vocab[a + b] for a, b in pairs] or [-1], np.int64)
+        self.code_rank = np.argsort(codes, kind="stable")
+        self.codes = codes[self.code_rank]
         tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
 
-    def merge(self, word: bytes) -> list[int]:
-        """Exact merging: always the pair of lowest rank, the leftmost first."""
-        parts = [self.characters[b] for b in word]
-        parts[-1] += self.end
-        while len(parts) > 1:
-            pairs = list(zip(parts, parts[1:]))
-            best = min(pairs, key=lambda p: self.ranks.get(p, 1 << 60))
-            if best not in self.ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocab[p] for p in parts]
+    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of many words together: in each word always the pair of lowest rank, the leftmost first."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))  # words of like length side by side
+        for first in range(0, len(order), 8192):
+            part = order[first:first + 8192]
+            width = len(words[part[-1]])
+            symbols = np.full((len(part), width + 1), -1, np.int64)
+            for row, i in enumerate(part):
+                symbols[row, :len(words[i])] = self.byte_ids[np.frombuffer(words[i], np.uint8)]
+            ends = np.array([len(words[i]) for i in part]) - 1
+            last = np.array([words[i][-1] for i in part])
+            symbols[np.arange(len(part)), ends] = self.end_ids[last]
+            ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
+            rows = np.arange(len(part))
+            columns = np.arange(width + 1)
+            while True:
+                best = ranks[rows].argmin(axis=1)
+                rank = ranks[rows, best]
+                some = rank < NEVER
+                rows, best, rank = rows[some], best[some], rank[some]
+                if not len(rows):
+                    break
+                moved = np.minimum(columns + (columns > best[:, None]), width)  # what follows the pair moves up
+                now = np.take_along_axis(symbols[rows], moved, axis=1)
+                now[np.arange(len(rows)), best] = self.merged[rank]
+                now[:, -1] = -1
+                symbols[rows] = now
+                new = np.take_along_axis(ranks[rows], np.minimum(moved[:, :-1], width - 1), axis=1)
+                at = np.arange(len(rows))
+                new[at, best] = self._ranks(now[at, best], now[at, best + 1])
+                before = np.maximum(best - 1, 0)
+                new[at, before] = np.where(best > 0, self._ranks(now[at, before], now[at, before + 1]), new[at, before])
+                new[:, -1] = NEVER
+                ranks[rows] = new
+            for row, i in enumerate(part):
+                own = symbols[row]
+                out[i] = own[own >= 0].astype("<u4")
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, NEVER where it isn't merged."""
+        code = a * self.size + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code) & (a >= 0) & (b >= 0), self.code_rank[at], NEVER)
 
     def words(self, chunk: str) -> list[bytes]:
         """The words of a piece of text without white space or special tokens."""
@@ -215,26 +254,25 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, unseen: list[str]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
         pieces = [self.model.pieces(c) for c in unseen]
         words = list({w for p in pieces for w in p if not isinstance(w, int)})
-        ids = {}
-        for word, number in zip(words, self.lexicon.numbers(words).tolist()):
-            ids[word] = self.lexicon.ids(number).astype("<u4").tobytes() if number >= 0 else np.array(self.model.merge(word), "<u4").tobytes()
+        numbers = self.lexicon.numbers(words).tolist()
+        ids = {w: self.lexicon.ids(n).astype("<u4").tobytes() for w, n in zip(words, numbers) if n >= 0}
+        rare = [w for w, n in zip(words, numbers) if n < 0]
+        ids |= {w: x.tobytes() for w, x in zip(rare, self.model.merge(rare))}
         for chunk, p in zip(unseen, pieces):
             self.known[chunk] = b"".join([ids[w] if not isinstance(w, int) else w.to_bytes(4, "little") for w in p])
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = chunks(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self.learn([c for c in set(parts) if c not in self.known])
-            if not self.known.keys() >= set(parts):  # it has just forgotten some
-                self.learn(list(set(parts)))
-            return b"".join(map(self.known.__getitem__, parts))
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learnt together."""
+        parts = [chunks(t) for t in texts]
+        unseen = set().union(*parts) - self.known.keys()
+        if len(self.known) + len(unseen) > REMEMBER:
+            self.known.clear()
+            unseen = set().union(*parts)
+        self.learn(list(unseen))
+        for p in parts:
+            yield b"".join(map(self.known.__getitem__, p))
 
 
 def decode(model: Model, ids: bytes) -> str:
@@ -271,10 +309,15 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, path: str, n_words: int) -> bytes:
-    """The ``n_words`` most frequent words of all texts, compiled: what the driver and the broadcast hold is bounded by it."""
-    model = load(path)
-    words = [bytes(r["word"]) for r in word_counts(docs, path).orderBy(F.desc("n"), "word").limit(n_words).select("word").collect()]
-    return compile_lexicon({w: model.merge(w) for w in words})
+    """At most ``n_words`` of the most frequent words of all texts, compiled: what the driver and the broadcast hold is bounded by it.
+
+    The bound is a least count, from the histogram of counts, so that no task sends more words than are used.
+    """
+    counts = materialise(word_counts(docs, path), "words")
+    so_far = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    least = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("words", F.sum("words").over(so_far)).where(F.col("words") <= n_words).agg(F.min("n")).first()[0]
+    words = [bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect()] if least is not None else []
+    return compile_lexicon({w: ids.tolist() for w, ids in zip(words, load(path).merge(words))})
 
 
 def encode_documents(docs: DataFrame, path: str, n_words: int = 32_768, with_ids: bool = False) -> DataFrame:
@@ -287,15 +330,12 @@ def encode_documents(docs: DataFrame, path: str, n_words: int = 32_768, with_ids
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(load(path), Lexicon(compiled.value))
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                decoded = decode(encoder.model, ids)
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids] if with_ids else [])))
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            if rows:
+            for first in range(0, batch.num_rows, TOGETHER):
+                rows, part = [], batch.slice(first, TOGETHER)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+                    decoded = decode(encoder.model, ids)
+                    rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
