@@ -1,8 +1,8 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 A document's set holds its distinct 5-word shingles. Documents with equal sets form a class, which its
-smallest id stands for; only these go on, so thousands of copies cost one row. Signatures of 128 ranks
-are cut into 32 bands of 4: two sets of similarity 0.75 miss all bands with probability 5e-6.
+smallest id stands for; only these go on, so thousands of copies cost one row. Signatures have 256 ranks; the
+first 128 are cut into 32 bands of 4: two sets of similarity 0.75 miss all bands with probability 5e-6.
 
 Documents that share a band are candidates. Rather than emit all pairs of a bucket, each round compares a
 bucket's members with one hub (first the one whose buckets are the fullest, which lies in the middle of its
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.common import WordHashes, gram_hashes, materialise, mix, text_chunks
 
-RANKS, BANDS = 128, 32
-#: Ranks in common below which no pair is taken for similar at 0.75: 4.5 deviations under the 96 to expect.
-FEWEST = 74
+RANKS, BANDS, DEPTH = 256, 32, 4
+#: Ranks in common below which no pair is taken for similar at 0.75: 4.2 deviations under the 192 to expect.
+FEWEST = 163
 ROUNDS = 2
 NO_ID = -(1 << 63)
 KEY = np.uint64(0x5851F42D4C957F2D)
@@ -74,12 +74,12 @@ def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, ranks: int
     worst = signature.reshape(n_rows, ranks).max(axis=1)
     unfinished = (worst >> np.uint64(56)) >= 1
     rest = np.flatnonzero(unfinished[row])
-    # about 50,000 elements together, for the permutations' memory
-    for part in np.split(rest, range(50_000, len(rest), 50_000)):
+    # about 20,000 elements together, for the permutations' memory
+    for part in np.split(rest, range(20_000, len(rest), 20_000)):
         e, r, first = elements[part], row[part], place[part]
-        permutation = np.tile(np.arange(ranks, dtype=np.uint8), (len(e), 1))
+        permutation = np.tile(np.arange(ranks, dtype=np.int16), (len(e), 1))
         at = np.arange(len(e))
-        permutation[at, first], permutation[at, 0] = permutation[at, 0], first.astype(np.uint8)
+        permutation[at, first], permutation[at, 0] = permutation[at, 0], first.astype(np.int16)
         for level in range(1, ranks):
             active = np.flatnonzero((signature.reshape(n_rows, ranks).max(axis=1) >> np.uint64(56))[r] >= level)
             if not len(active):
@@ -106,7 +106,7 @@ def _features(words: int):
                 n = np.array([len(s) for s in sets])
                 elements, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
                 signature = superminhash(elements, row, len(sets))
-                band = gram_hashes(signature.ravel(), RANKS // BANDS)[::RANKS // BANDS].reshape(len(sets), BANDS)
+                band = gram_hashes(signature[:, :BANDS * DEPTH].ravel(), DEPTH)[::DEPTH].reshape(len(sets), BANDS)
                 band = mix(band + np.arange(BANDS, dtype=np.uint64))
                 starts = np.minimum(np.concatenate(([0], np.cumsum(n)[:-1])), len(elements))
                 key_a, key_b = (np.add.reduceat(np.append(x, np.uint64(0)), starts) for x in (elements, mix(elements ^ KEY)))
