@@ -32,7 +32,7 @@ from pitchlake.llm.common import WordHashes, gram_hashes, materialise, mix, text
 RANKS, BANDS, DEPTH = 256, 32, 4
 #: Ranks in common below which no pair is taken for similar at 0.75: 4.2 deviations under the 192 to expect.
 FEWEST = 163
-ROUNDS = 2
+ROUNDS = 1
 NO_ID = -(1 << 63)
 KEY = np.uint64(0x5851F42D4C957F2D)
 _hashes = WordHashes()
@@ -158,13 +158,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Union by the smaller label along edges, then the labels' own labels (path halving), until nothing changes.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "doc"), "labels")
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", few=True)
+    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "doc"), "labels", few=True)
     while True:
         offered = both.join(labels.select(F.col("doc").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         joined = labels.join(offered.withColumnRenamed("a", "doc"), "doc").select("doc", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         onward = joined.join(labels.select(F.col("doc").alias("comp"), F.col("comp").alias("onward")), "comp", "left")
-        labels = materialise(onward.select("doc", F.least("comp", "onward").alias("comp"), "old"), "labels")
+        labels = materialise(onward.select("doc", F.least("comp", "onward").alias("comp"), "old"), "labels", few=True)
         changed = labels.where("comp <> old").limit(1).count()
         labels = labels.select("doc", "comp")
         if not changed:
