@@ -40,8 +40,7 @@ def ball_rows(spark: SparkSession, match_id: str, rows: list[tuple]) -> DataFram
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON document by an explicit schema; a missing path is an empty table, broken rows are left out."""
     try:
-        rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path, multiLine=True)
-        return rows.where("_corrupt IS NULL").drop("_corrupt")
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=True)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
