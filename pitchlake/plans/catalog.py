@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs
-from pitchlake.operators import control
+from pitchlake.operators import control, stats
 from pitchlake.plans.registry import query
 from pitchlake.plans.tables import TRACKS_SQL, micros, table, tracks
 
@@ -210,3 +210,32 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.expr("TIMESTAMP_NTZ '1998-09-02'"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+KINDS = {"goal": "purchase", "shot": "click", "save": "error", "foul": "view", "corner_kick": "signup"}
+
+
+@query(f"""
+WITH b AS (SELECT event_id, user_id % 7 AS match_id, CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'error' THEN 'save' WHEN 'view' THEN 'foul' ELSE 'corner_kick' END AS kind, epoch_us(ts) // 1000 AS ms, {BUCKET_SQL} AS bucket FROM events),
+ c AS (SELECT match_id, CASE kind WHEN 'goal' THEN 'goals' WHEN 'save' THEN 'saves' WHEN 'foul' THEN 'fouls' WHEN 'corner_kick' THEN 'corners' END AS key, count(*) FILTER (bucket = 'home') AS home, count(*) FILTER (bucket = 'away') AS away, count(*) AS total FROM b WHERE kind <> 'shot' GROUP BY ALL),
+ f AS (SELECT 'total_shots' AS key, * FROM b WHERE kind IN ('shot', 'goal') UNION ALL SELECT 'shots_on_target', * FROM b WHERE kind IN ('goal', 'save')),
+ a AS (SELECT *, CASE WHEN lag(bucket) OVER w = bucket AND ms - lag(ms) OVER w <= 4000 THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY key, match_id ORDER BY ms, event_id)),
+ n AS (SELECT * FROM c UNION ALL SELECT match_id, key, count(*) FILTER (fresh = 1 AND bucket = 'home'), count(*) FILTER (fresh = 1 AND bucket = 'away'), count(*) FILTER (fresh = 1) FROM a GROUP BY ALL),
+ k(key, unit) AS (VALUES ('goals','count'),('assists','count'),('possession','percent'),('total_shots','count'),('shots_on_target','count'),('saves','count'),('offsides','count'),('total_passes','count'),('pass_accuracy','percent'),('key_passes','count'),('duels','count'),('fouls','count'),('corners','count'),('free_kicks','count'),('penalties','count')),
+ m AS (SELECT DISTINCT match_id, match_id <> 6 AS analysed, match_id = 5 AS linked FROM b),
+ r AS (SELECT m.match_id, k.key, k.unit, n.home, n.away, n.total, CASE WHEN NOT analysed THEN 'no_completed_analysis' WHEN linked AND k.key IN ('total_passes', 'pass_accuracy', 'key_passes', 'duels', 'possession') THEN 'not_available_for_source'
+   WHEN k.key IN ('goals','saves','fouls','corners','free_kicks','penalties','total_shots','shots_on_target') OR (k.key = 'total_passes' AND m.match_id IN (1, 5)) THEN NULL
+   WHEN k.key = 'possession' THEN CASE WHEN m.match_id <> 2 THEN 'team_stats_artifact_missing' END ELSE 'not_detected_by_pipeline' END AS reason FROM m CROSS JOIN k LEFT JOIN n ON n.match_id = m.match_id AND n.key = k.key)
+SELECT match_id, key, reason, CASE WHEN reason IS NULL THEN CASE WHEN key = 'possession' THEN 55.0 WHEN key = 'total_passes' THEN 300.0 ELSE coalesce(home, 0) END END AS home,
+ CASE WHEN reason IS NULL THEN CASE WHEN key = 'possession' THEN 45.0 WHEN key = 'total_passes' THEN 200.0 ELSE coalesce(away, 0) END END AS away,
+ CASE WHEN reason IS NULL AND key <> 'possession' THEN CASE WHEN key = 'total_passes' THEN 500.0 ELSE coalesce(total, 0) END END AS total FROM r
+""")
+def stat_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen statistics of each match: counts, attempts, possession, tracked values and reasons, by precedence."""
+    kind = F.coalesce(*[F.when(F.col("event_type") == bound, name) for name, bound in KINDS.items() if name != "corner_kick"], F.lit("corner_kick"))
+    events = _bucketed(spark, sf_dir).withColumn("event_type", kind)
+    link = F.array(*[F.lit(k) for k in stats.AGGREGATE])
+    matches = events.select("match_id").distinct().select("match_id", (F.col("match_id") != 6).alias("analysed"), F.when(F.col("match_id") == 5, link).otherwise(F.array().cast("array<string>")).alias("blocked"))
+    possession = spark.createDataFrame([(2, 55.0, 45.0)], "match_id long, home double, away double")
+    tracked = spark.createDataFrame([(1, "total_passes", 300.0, 200.0), (5, "total_passes", 1.0, 1.0)], "match_id long, key string, home double, away double")
+    return stats.stat_catalogue(spark, matches, events, possession, tracked).select("match_id", "key", "reason", "home", "away", "total")
