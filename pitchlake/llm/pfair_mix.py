@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FRAME = 4096
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 EPS = 1e-9
 
 
