@@ -7,6 +7,8 @@ Positions are metres from the centre spot unless a name ends in ``_px``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -406,12 +408,15 @@ def plan_reel(events: DataFrame, target_s: float, must: tuple[str, ...] = ("goal
     return events.groupBy("match_id").applyInPandas(run, f"match_id {dict(events.dtypes)['match_id']}, clip int, start_s double, end_s double, event_ids array<string>")
 
 
-def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0) -> dict[str, DataFrame]:
-    """The whole chain over samples (match_id, track_id, team, t, x, y) and raw ball detections (match_id, t, x, y), in metres."""
-    kin = kinematics(samples)
-    ball = ball_on_grid(filter_ball(ball_raw, frame_width, base_gate=6.0))
-    segments, near, signs = game_states(ball), nearest_players(ball, kin), attack_signs(kin)
-    touched, goals = touches(near), goal_candidates(ball)
+def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """The whole chain over samples (match_id, track_id, team, t, x, y) and raw ball detections (match_id, t, x, y), in metres.
+
+    ``keep`` is applied to what several results share: DataFrame.cache, or a function that writes and reads back.
+    """
+    kin = keep(kinematics(samples))
+    ball = keep(ball_on_grid(filter_ball(ball_raw, frame_width, base_gate=6.0)))
+    segments, near, signs = keep(game_states(ball)), keep(nearest_players(ball, kin)), attack_signs(kin)
+    touched, goals = keep(touches(near)), goal_candidates(ball)
     passed, owned, shot = passes(touched, segments), possession(near, touched, segments), shots(touched, ball, signs, goals)
     side = F.when(F.col("side") == "right", 1).otherwise(-1)
     goal_events = goals.withColumn("sign", side).join(F.broadcast(signs), ["match_id", "sign"]).select("match_id", F.lit("goal").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), "confidence")

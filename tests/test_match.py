@@ -9,7 +9,7 @@ from pitchlake.sources.synthetic import BALL, synthetic_matches
 @pytest.fixture(scope="module")
 def analysis(spark):
     rows = synthetic_matches(spark, 2, 30.0).cache()
-    return rows, match.analyse(rows.where(F.col("track_id") != BALL), rows.where(F.col("track_id") == BALL))
+    return rows, match.analyse(rows.where(F.col("track_id") != BALL), rows.where(F.col("track_id") == BALL), keep=lambda df: df.cache())
 
 
 def test_both_goals_of_each_match_and_no_other(analysis):
