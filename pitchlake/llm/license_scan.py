@@ -2,9 +2,11 @@
 
 Every document's rolling word pairs are joined (broadcast: the templates are a constant of a few dozen
 pairs) to the positions at which the templates have them. A hit votes for its diagonal, the word
-position minus the template position. A run of consecutive template positions on one diagonal is a span
-that matches the template word by word, since the join compares the words themselves beside the hash.
-Spans on neighbouring diagonals (a word inserted or left out) are merged before the coverage is taken.
+position minus the template position; the join compares the words themselves beside the hash. The hits of
+one template whose diagonals lie within ``slack`` of the least one (words inserted or left out) form a band,
+which holds a bounded number of hits however long the document is. Spans are verified in their bands: the
+longest chain of hits with rising word and template positions gives the distinct template pairs covered, so
+that a pair seen again, out of order or elsewhere adds nothing.
 
 Base phrases are templates that must be covered whole on one diagonal; every such place counts.
 
@@ -47,43 +49,67 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, template string, at int, n_grams int, base boolean").withColumn("gram_hash", F.xxhash64("gram"))
 
 
+def longest_chain(hits: Column, n_grams: Column) -> Column:
+    """(n, from, back) of the longest chain of hits (i, -at), sorted: word and template positions both rise.
+
+    ``n`` distinct template pairs from word pair ``from`` to word pair ``-back``; among equals the tightest.
+    """
+    chain = lambda n, start, back: F.struct(n.cast("int").alias("n"), start.cast("int").alias("from"), back.cast("int").alias("back"))
+    none = chain(F.lit(0), F.lit(0), F.lit(0))
+
+    def extended(best: Column, hit: Column) -> Column:
+        at = -hit["back_at"]
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), at)), none)
+        new = chain(before["n"] + 1, F.when(before["n"] > 0, before["from"]).otherwise(hit["i"]), -hit["i"])
+        return F.transform(best, lambda x, j: F.when(j == at, F.greatest(x, new)).otherwise(x))
+
+    # the best chain that ends at each template position
+    return F.aggregate(hits, F.array_repeat(none, n_grams), extended, F.array_max)
+
+
 def license_scan(docs: DataFrame, coverage: float = 0.6, slack: int = 3) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
 
-    A template counts when merged spans within ``slack`` diagonals cover at least ``coverage`` of its pairs.
+    A template counts when a chain of hits that drifts by ``slack`` diagonals at most covers at least ``coverage``
+    of its distinct pairs. Of overlapping spans of one template the best is listed.
     """
     spark = docs.sparkSession
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    # ids may repeat or be null, so votes are keyed by row
+    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
     pair = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))
     # one row for each pair, and one at -1 that carries the number of words
-    grams = words.select("doc_id", F.size("words").alias("n"), "words").select(
-        "doc_id", "n", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - 2, F.lit(-1)))).alias("i"), "words"
-    ).select("doc_id", "i", F.when(F.col("i") < 0, F.col("n")).alias("n"), F.when(F.col("i") >= 0, pair(F.col("i"))).alias("gram"))
+    grams = words.select("row", "doc_id", F.size("words").alias("n"), "words").select(
+        "row", "doc_id", "n", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - 2, F.lit(-1)))).alias("i"), "words"
+    ).select("row", "doc_id", "i", F.when(F.col("i") < 0, F.col("n")).alias("n"), F.when(F.col("i") >= 0, pair(F.col("i"))).alias("gram"))
     grams = grams.withColumn("gram_hash", F.xxhash64("gram"))
     known = template_grams(spark)
     joined = grams.join(F.broadcast(known), ["gram_hash", "gram"], "left").where(F.col("template").isNotNull() | (F.col("i") < 0))
-    # votes: consecutive hits on one diagonal
-    hits = joined.groupBy("doc_id", "template", "base", "n_grams", (F.col("i") - F.coalesce("at", F.lit(0))).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("at").alias("from_at"), F.max("at").alias("to_at"), F.sum("n").alias("n")
+    # bands: a hit is in those whose least diagonal is its own or up to slack less; base phrases allow no drift
+    diagonal = F.col("i") - F.col("at")
+    hits = joined.withColumn("diagonal", diagonal).withColumn(
+        "band", F.explode_outer(F.when(F.col("base"), F.array("diagonal")).otherwise(F.sequence(F.col("diagonal") - slack, F.col("diagonal"))))
     )
-    # neighbouring diagonals of one template
-    along = Window.partitionBy("doc_id", "template", "base").orderBy("diagonal")
-    near = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)
-    spans = hits.withColumn("new", near).withColumn("span", F.sum("new").over(along))
-    merged = spans.groupBy("doc_id", "template", "base", "n_grams", "span").agg(
-        F.sum("votes").alias("votes"), F.sum("n").alias("n"),
-        F.count(F.when(F.col("base") & (F.col("votes") >= F.col("n_grams")), 1)).alias("places"),
-        F.min(F.when(F.col("base") & (F.col("votes") >= F.col("n_grams")), F.col("diagonal"))).alias("first"),
-        F.max(F.when(F.col("base") & (F.col("votes") >= F.col("n_grams")), F.col("diagonal"))).alias("last"),
-        F.min(F.col("diagonal") + F.col("from_at")).alias("from_word"), F.max(F.col("diagonal") + F.col("to_at") + 1).alias("to_word"),
-    ).withColumn("covered", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-    own = ~F.col("base") & (F.col("covered") >= coverage)
+    hit = F.when(F.col("template").isNotNull(), F.struct("i", (-F.col("at")).alias("back_at")))
+    bands = hits.groupBy("row", "doc_id", "template", "base", "n_grams", "band").agg(
+        F.sum("n").alias("n"), F.bool_or(F.col("diagonal") == F.col("band")).alias("starts"), F.array_sort(F.collect_list(hit)).alias("hits"),
+    ).where(F.col("starts") | F.col("band").isNull())
+    best = bands.withColumn("chain", F.when(F.col("template").isNotNull(), longest_chain(F.col("hits"), F.col("n_grams"))))
+    verified = best.select(
+        "row", "doc_id", "template", "base", "band", "n", (F.col("chain.n") / F.col("n_grams")).alias("covered"),
+        F.col("chain.from").alias("from_word"), (1 - F.col("chain.back")).alias("to_word"),
+    ).withColumn("place", F.coalesce(F.col("base") & (F.col("covered") >= 1), F.lit(False))).withColumn("own", F.coalesce(~F.col("base") & (F.col("covered") >= coverage), F.lit(False)))
+    # overlapping spans of one template
+    along = Window.partitionBy("row", "template", "base", "own").orderBy("from_word", "to_word", "band")
+    reach = F.max("to_word").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    spans = verified.withColumn("new", F.when(F.col("from_word") <= reach, 0).otherwise(1)).withColumn("span", F.sum("new").over(along))
+    among = Window.partitionBy("row", "template", "base", "own", "span").orderBy(F.desc("covered"), "from_word", "to_word", "band")
+    spans = spans.withColumn("nth", F.row_number().over(among))
     joined_labels = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
-    based = F.when(F.col("places") > 0, F.col("template"))
-    return merged.groupBy("doc_id").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_words"), F.sum("places").cast("long").alias("n_base"),
-        F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        joined_labels(based).alias("base_labels"), joined_labels(F.coalesce(based, F.when(own, F.col("template")))).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("places") > 0, 1.0).when(~F.col("base"), F.col("covered"))), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(own, F.struct("from_word", "to_word", "template", "covered")))).alias("spans"),
+    based, owned = F.when(F.col("place"), F.col("template")), F.when(F.col("own"), F.col("template"))
+    return spans.groupBy("doc_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_words"), F.count_if("place").cast("long").alias("n_base"),
+        F.min(F.when(F.col("place"), F.col("band"))).cast("long").alias("first_word"), F.max(F.when(F.col("place"), F.col("band"))).cast("long").alias("last_word"),
+        joined_labels(based).alias("base_labels"), joined_labels(F.coalesce(based, owned)).alias("labels"),
+        F.coalesce(F.max(F.when(F.col("place"), 1.0).when(~F.col("base"), F.col("covered"))), F.lit(0.0)).alias("score"),
+        F.array_sort(F.collect_list(F.when(F.col("own") & (F.col("nth") == 1), F.struct("from_word", "to_word", "template", "covered")))).alias("spans"),
     )

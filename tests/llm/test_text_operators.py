@@ -1,6 +1,7 @@
 """The text operators against brute force, the tokenizers library and held-out accuracy, edge cases included."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -80,6 +81,51 @@ def test_license_templates_survive_an_inserted_word(spark):
     assert got[0]["labels"] == "gpl,gpl-3.0" and got[3]["labels"] == "" and got[3]["score"] == 0.0
 
 
+def brute_chain(words, template, slack=3):
+    """Distinct template pairs covered by hits in order whose diagonals differ by slack at most."""
+    w = template.split()
+    pairs = list(zip(w, w[1:]))
+    hits = [(i, at) for i, x in enumerate(zip(words, words[1:])) for at, y in enumerate(pairs) if x == y]
+
+    @functools.cache
+    def longest(i, at, low, high):
+        return max((1 + longest(j, b, min(low, j - b), max(high, j - b)) for j, b in hits
+                    if j > i and b > at and max(high, j - b) - min(low, j - b) <= slack), default=0)
+
+    return max((1 + longest(i, at, i - at, i - at) for i, at in hits), default=0) / len(pairs)
+
+
+def test_license_spans_are_verified(spark):
+    rnd = random.Random(5)
+    release, apache = license_scan.TEMPLATES["mit-release"], license_scan.TEMPLATES["apache-2.0"]
+    texts = ["under the bed under the table under the sofa", " ".join(["licensed under"] * 5), " ".join(reversed(apache.split())),
+             "the mit license is a thing released under the sun", f"{release} {release}", "licensed x y z u under the apache license a b c version 2 d e f 0"]
+    for _ in range(60):
+        w = rnd.choice(list(license_scan.TEMPLATES.values())).split() * rnd.randint(1, 2)
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randrange(len(w))
+            w[at:at + 1] = rnd.choice([["as"], [], [w[at], "so"], [w[at]] * 2, w[at:at + 3] * 2, ["so"]])
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        w, r = text.split(), got[i * 3]
+        covered = {label: brute_chain(w, t) for label, t in license_scan.TEMPLATES.items()}
+        own = {label for label, c in covered.items() if c >= 0.6}
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == own | base
+        assert r["score"] == (1.0 if base else max(covered.values()))
+        assert {s["template"] for s in r["spans"]} == own and all(0 <= s["from_word"] < s["to_word"] < len(w) for s in r["spans"])
+    assert (got[0]["labels"], got[0]["score"], got[3]["labels"]) == ("", 0.25, "")
+    assert [(s["from_word"], s["to_word"], s["covered"]) for s in got[12]["spans"]] == [(0, 4, 1.0), (5, 9, 1.0)]
+
+
+def test_license_votes_are_of_one_row(spark):
+    halves = [(4, "general public"), (4, "x public license"), (None, "released under the"), (None, "x x the mit"), (None, "mit license"), (None, "mit license")]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(halves, "doc_id long, text string")).collect()}
+    assert (got[4]["n_base"], got[4]["labels"], got[4]["n_words"]) == (0, "", 5)
+    assert (got[None]["n_base"], got[None]["labels"]) == (2, "mit")
+
+
 def brute_suffix(texts, width=50):
     least = {}
     for i in sorted(texts):
