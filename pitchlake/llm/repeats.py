@@ -4,7 +4,7 @@ A text is a row of symbols (bytes or word hashes) and a window is ``width`` cons
 document. Both operators sample anchor positions so that any two equal windows hold equal grams of
 ``gram`` symbols at the same offset at least once. Then:
 
-1. ``_sample``: each task packs its anchors by bucket of the gram's hash, as (gram, context, document,
+1. ``_sample``: each task packs its anchors by bucket of the gram's hash, as (gram, context, document, key,
    position). The context reaches ``width - gram`` symbols to either side: all windows through the anchor
    lie in it. Anchors with equal contexts within a task are settled there, so that a passage which a third
    of all documents share sends one entry a task and not one a document.
@@ -14,6 +14,9 @@ document. Both operators sample anchor positions so that any two equal windows h
 4. The covered intervals of each document are collected and handed to a function over its text.
 
 Buckets grow in number with the corpus, so that one holds a bounded share of it.
+
+Ids may be null or repeated, so places are kept by id and key, a 64-bit hash of the text. Rows that agree in
+both are equal and have the same places; the id alone only says which document is smaller.
 """
 
 from __future__ import annotations
@@ -112,10 +115,10 @@ def _group_first(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _equal_contexts(gram, context, doc, pos, spec: Repeats):
+def _equal_contexts(gram, context, doc, key, pos, spec: Repeats):
     """Sorts the entries; marks those settled as covered by an equal context, and those that speak for their context."""
     order = np.lexsort((pos, doc, context, gram))
-    gram, context, doc, pos = (x[order] for x in (gram, context, doc, pos))
+    gram, context, doc, key, pos = (x[order] for x in (gram, context, doc, key, pos))
     new = _firsts(gram, context)
     if spec.earlier:
         speaks = doc == _group_first(new, doc)
@@ -123,42 +126,41 @@ def _equal_contexts(gram, context, doc, pos, spec: Repeats):
     else:
         sizes = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
         covered, speaks = sizes > 1, new
-    return gram, context, doc, pos, covered, speaks
+    return gram, context, doc, key, pos, covered, speaks
 
 
 def _sample(spec: Repeats, n_buckets: int):
-    out_type = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("settled", pa.bool_())])
+    out_type = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("settled", pa.bool_())])
 
-    def packed(bucket: int, gram, context, doc, pos, settled: bool) -> tuple:
-        return bucket, gram.tobytes(), context.tobytes(), doc.tobytes(), pos.astype(np.uint32).tobytes(), settled
+    def packed(bucket: int, gram, context, doc, key, pos, settled: bool) -> tuple:
+        return bucket, gram.tobytes(), context.tobytes(), doc.tobytes(), key.tobytes(), pos.astype(np.uint32).tobytes(), settled
 
     def send(parts: list) -> pa.RecordBatch:
-        gram, context, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        gram, context, doc, pos, covered, speaks = _equal_contexts(gram, context, doc, pos, spec)
+        gram, context, doc, key, pos, covered, speaks = _equal_contexts(*(np.concatenate(x) for x in zip(*parts)), spec)
         bucket = (gram >> np.uint64(32)) % np.uint64(n_buckets)
         rows = []
         local = np.flatnonzero(covered)
         for i in range(0, len(local), 50_000):
             x = local[i:i + 50_000]
-            rows.append(packed(int(bucket[x[0]]), gram[:0], context[:0], doc[x], pos[x], True))
+            rows.append(packed(int(bucket[x[0]]), gram[:0], context[:0], doc[x], key[x], pos[x], True))
         sent = np.flatnonzero(speaks)
         sent = sent[np.argsort(bucket[sent], kind="stable")]
         cuts = np.flatnonzero(_firsts(bucket[sent])) if len(sent) else []
         for x in np.split(sent, cuts[1:]) if len(sent) else []:
-            x = x[np.lexsort((pos[x], doc[x]))]  # neighbours in a text stay together, which compresses
-            rows.append(packed(int(bucket[x[0]]), gram[x], context[x], doc[x], pos[x], False))
+            x = x[np.lexsort((pos[x], key[x], doc[x]))]  # neighbours in a text stay together, which compresses
+            rows.append(packed(int(bucket[x[0]]), gram[x], context[x], doc[x], key[x], pos[x], False))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_type.types)], schema=out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, bounds in text_chunks(batch.column(1), 1 << 18):
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for first, data, bounds in text_chunks(batch.column(2), 1 << 18):
                 symbols, bounds = spec.symbols(data, bounds)
                 found = _anchors(symbols, bounds, spec)
                 if found is not None:
                     gram, context, row, pos = found
-                    parts.append((gram, context, ids[first + row], pos))
+                    parts.append((gram, context, ids[first + row], keys[first + row], pos))
                     n += len(gram)
                 if n >= GATHER:
                     yield send(parts)
@@ -166,43 +168,43 @@ def _sample(spec: Repeats, n_buckets: int):
         if n:
             yield send(parts)
 
-    return run, "bucket int, gram binary, context binary, doc binary, pos binary, settled boolean"
+    return run, "bucket int, gram binary, context binary, doc binary, key binary, pos binary, settled boolean"
 
 
 def _settle(spec: Repeats):
-    out_type = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())])
+    out_type = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())])
 
     def run(table: pa.Table) -> pa.Table:
         parts, done = [], []
-        for gram, context, doc, pos, settled in zip(*(table.column(c).to_pylist() for c in ("gram", "context", "doc", "pos", "settled"))):
-            doc, pos = np.frombuffer(doc, np.int64), np.frombuffer(pos, np.uint32)
+        for gram, context, doc, key, pos, settled in zip(*(table.column(c).to_pylist() for c in ("gram", "context", "doc", "key", "pos", "settled"))):
+            doc, key, pos = np.frombuffer(doc, np.int64), np.frombuffer(key, np.int64), np.frombuffer(pos, np.uint32)
             if settled:
-                done.append((doc, pos))
+                done.append((doc, key, pos))
             else:
-                parts.append((np.frombuffer(gram, np.uint64), np.frombuffer(context, np.uint64), doc, pos))
-        out = [(d, p, np.zeros(len(d), np.int8)) for d, p in done]
+                parts.append((np.frombuffer(gram, np.uint64), np.frombuffer(context, np.uint64), doc, key, pos))
+        out = [(d, k, p, np.zeros(len(d), np.int8)) for d, k, p in done]
         if parts:
-            gram, context, doc, pos, covered, speaks = _equal_contexts(*(np.concatenate(x) for x in zip(*parts)), spec)
-            out.append((doc[covered], pos[covered], np.full(covered.sum(), COVERED, np.int8)))
+            gram, context, doc, key, pos, covered, speaks = _equal_contexts(*(np.concatenate(x) for x in zip(*parts)), spec)
+            out.append((doc[covered], key[covered], pos[covered], np.full(covered.sum(), COVERED, np.int8)))
             new_gram, new_context = _firsts(gram), _firsts(gram, context)
             group = np.cumsum(new_gram) - 1
             several = np.bincount(group, new_context)[group] > 1
             left = several & speaks
-            out.append((doc[left], pos[left], np.full(left.sum(), OPEN, np.int8)))
-        doc, pos, kind = (np.concatenate(x) for x in zip(*out))
-        return pa.table([pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(kind)], schema=out_type)
+            out.append((doc[left], key[left], pos[left], np.full(left.sum(), OPEN, np.int8)))
+        doc, key, pos, kind = (np.concatenate(x) for x in zip(*out))
+        return pa.table([pa.array(doc), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(kind)], schema=out_type)
 
-    return run, "doc_id long, pos int, kind byte"
+    return run, "doc_id long, key long, pos int, kind byte"
 
 
 def _contexts(spec: Repeats, n_buckets: int):
-    out_type = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("symbols", pa.binary())])
+    out_type = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            places = batch.column(2)
-            for first, data, bounds in text_chunks(batch.column(1), 1 << 20):
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            places = batch.column(3)
+            for first, data, bounds in text_chunks(batch.column(2), 1 << 20):
                 symbols, bounds = spec.symbols(data, bounds)
                 n = len(bounds) - 1
                 lists = places.slice(first, n)
@@ -220,10 +222,10 @@ def _contexts(spec: Repeats, n_buckets: int):
                     matrix = context_matrix(symbols, at[x], left[x], right[x], spec)
                     matrix = (matrix - np.uint64(1)).astype(symbols.dtype)  # past the ends any value will do
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((
-                        int(bucket[x[0]]), grams[x].tobytes(), ids[first + row[x]].tobytes(), pos[x].astype(np.uint32).tobytes(),
+                        int(bucket[x[0]]), grams[x].tobytes(), ids[first + row[x]].tobytes(), keys[first + row[x]].tobytes(), pos[x].astype(np.uint32).tobytes(),
                         left[x].astype(np.uint8).tobytes(), right[x].astype(np.uint8).tobytes(), matrix.tobytes()), out_type.types)], schema=out_type)
 
-    return run, "bucket int, gram binary, doc binary, pos binary, left binary, right binary, symbols binary"
+    return run, "bucket int, gram binary, doc binary, key binary, pos binary, left binary, right binary, symbols binary"
 
 
 def equal_windows(digits: Callable[[int, np.ndarray], np.ndarray], n_digits: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,17 +252,17 @@ def equal_windows(digits: Callable[[int, np.ndarray], np.ndarray], n_digits: int
 
 
 def _refine(spec: Repeats, dtype):
-    out_type = pa.schema([("doc_id", pa.int64()), ("span", pa.int64())])
+    out_type = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
     m, width, span = spec.margin, spec.width, spec.gram + 2 * spec.margin
     dtype = np.dtype(dtype)
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        gram, doc, pos = get("gram", np.uint64), get("doc", np.int64), get("pos", np.uint32).astype(np.int64)
+        gram, doc, key, pos = get("gram", np.uint64), get("doc", np.int64), get("key", np.int64), get("pos", np.uint32).astype(np.int64)
         left, right = get("left", np.uint8).astype(np.int64), get("right", np.uint8).astype(np.int64)
         symbols = get("symbols", dtype).reshape(-1, span)
         names = np.unique(gram, return_inverse=True)[1]
-        found_doc, found_span = [], []
+        found_doc, found_key, found_span = [], [], []
         order = np.argsort(names, kind="stable")
         starts = np.flatnonzero(_firsts(names[order]))
         # whole groups of one gram at a time, about 50,000 anchors together
@@ -296,12 +298,13 @@ def _refine(spec: Repeats, dtype):
             np.maximum.at(high, entry, offset)
             hit = np.flatnonzero(high >= 0)
             found_doc.append(doc[hit])
+            found_key.append(key[hit])
             found_span.append(((pos[hit] - high[hit]) << 32) | (pos[hit] - low[hit] + width))
         if not found_doc:
             return out_type.empty_table()
-        return pa.table([pa.array(np.concatenate(found_doc)), pa.array(np.concatenate(found_span))], schema=out_type)
+        return pa.table([pa.array(np.concatenate(x)) for x in (found_doc, found_key, found_span)], schema=out_type)
 
-    return run, "doc_id long, span long"
+    return run, "doc_id long, key long, span long"
 
 
 def covered_texts(docs: DataFrame, spec: Repeats, dtype, finish: Callable, schema: str) -> DataFrame:
@@ -310,6 +313,7 @@ def covered_texts(docs: DataFrame, spec: Repeats, dtype, finish: Callable, schem
     The lists hold intervals of symbols; an end of 0 stands for a settled anchor at start.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(4 * n_tasks(docs.sparkSession), size // BUCKET_BYTES + 1)
     sample, sampled = _sample(spec, n_buckets)
@@ -317,11 +321,11 @@ def covered_texts(docs: DataFrame, spec: Repeats, dtype, finish: Callable, schem
     first = materialise(texts.mapInArrow(sample, sampled).groupBy("bucket").applyInArrow(settle, settled), "anchors")
     contexts, contexted = _contexts(spec, n_buckets)
     refine, refined = _refine(spec, dtype)
-    left_over = first.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    spans = texts.join(left_over, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts, contexted).groupBy("bucket").applyInArrow(refine, refined)
-    settled_spans = first.where(F.col("kind") == COVERED).select("doc_id", F.shiftleft(F.col("pos").cast("long"), 32).alias("span"))
-    spans = settled_spans.unionByName(spans).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
+    left_over = first.where(F.col("kind") == OPEN).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("places"))
+    spans = texts.join(left_over, ["doc_id", "key"]).select("doc_id", "key", "text", "places").mapInArrow(contexts, contexted).groupBy("bucket").applyInArrow(refine, refined)
+    settled_spans = first.where(F.col("kind") == COVERED).select("doc_id", "key", F.shiftleft(F.col("pos").cast("long"), 32).alias("span"))
+    spans = settled_spans.unionByName(spans).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    return texts.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
 
 
 def removal_mask(n: int, spans, spec: Repeats) -> np.ndarray:

@@ -355,3 +355,31 @@ def test_null_and_repeated_ids(spark):
     assert rows == sorted([(None, 0), (5, size), (5, size), (7, 0)], key=repr)
     assert exact_dedup.exact_dedup(df).where("kept").count() == 3
     assert near_dedup.near_duplicates(df).where("component_id IS NULL").count() == 3
+
+
+def test_rows_without_an_id_of_their_own_keep_their_places(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    shared, edited = words("s", 60), words("s", 60)
+    edited[45] = "other"  # an anchor's context differs while a window repeats
+    long, short = words("l", 200) + shared, words("k", 40)
+    rows = [(None, long), (None, short), (None, edited), (9, shared + words("t", 5)), (9, words("u", 300) + edited), (9, short), (9, words("v", 36)), (9, words("v", 36)), (None, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    n = collections.Counter(tuple(w[p:p + 35]) for _, w in rows for p in range(len(w) - 34))
+    want = []
+    for i, w in rows:
+        gone = {q for p in range(len(w) - 34) if n[tuple(w[p:p + 35])] > 1 for q in range(p, p + 35)}
+        want.append((i, len(w), len(gone)))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    least = {}
+    for i, w in rows:
+        b, i = " ".join(w), -1 if i is None else i
+        for p in range(len(b) - 49):
+            least[b[p:p + 50]] = min(i, least.get(b[p:p + 50], i))
+    want = []
+    for i, w in rows:
+        b = " ".join(w)
+        gone = {q for p in range(len(b) - 49) if least[b[p:p + 50]] < (-1 if i is None else i) for q in range(p, p + 50)}
+        want.append((i, len(b), len(gone)))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
