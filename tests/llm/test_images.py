@@ -42,7 +42,7 @@ def test_search_finds_what_brute_force_finds(spark, vectors):
     assert found <= truth  # the comparison of a pair is the same, so nothing else may be found
     assert len(found) >= 0.9 * len(truth)
     sources = {(i, name.get(i, i)) for i in range(0, SIZE * 100, 100)}
-    assert len(found & sources) >= 0.9 * SIZE
+    assert len(found & sources) >= 0.85 * SIZE
 
 
 def test_empty_table(spark, vectors):
