@@ -11,7 +11,9 @@ document. Both operators sample anchor positions so that any two equal windows h
 2. ``_settle``: in each bucket equal contexts are settled; grams with several contexts are left over.
 3. ``_contexts`` and ``_refine``: only left-over anchors send their context; a depth-limited radix sort
    (most significant digits first, groups of one dropped after each pass) leaves the groups of equal windows.
-4. The covered intervals of each document are collected and handed to a function over its text.
+4. A gram with more than ``hot`` open contexts isn't refined in one place: its anchors send the hashes of all
+   windows through them instead, which spread over the buckets; equal windows within a task are settled there.
+5. The covered intervals of each document are collected and handed to a function over its text.
 
 Buckets grow in number with the corpus, so that one holds a bounded share of it.
 
@@ -36,7 +38,9 @@ NO_ID = -(1 << 63)
 #: Entries that a task gathers before it sends them.
 GATHER = 1_000_000
 BUCKET_BYTES = 4 << 20
-COVERED, OPEN = 0, 1
+COVERED, OPEN, HOT = 0, 1, 2
+#: Rows of the second shuffle: contexts to refine, windows to compare, windows that their own task has settled.
+CONTEXTS, WINDOWS, SETTLED = 0, 1, 2
 EDGE_A, EDGE_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -47,7 +51,7 @@ class Repeats:
     width: symbols of a window; gram: symbols of an anchor's gram. symbols: (bytes, row bounds) to
     (symbols, row bounds). anchors: (symbols, gram hashes, row bounds) to anchor positions.
     earlier: a window counts where a smaller document id has it too; otherwise where it starts anywhere else too.
-    digit: symbols of one radix digit.
+    digit: symbols of one radix digit. hot: open contexts beyond which a gram is split by windows.
     """
 
     width: int
@@ -56,6 +60,7 @@ class Repeats:
     anchors: Callable
     earlier: bool
     digit: int
+    hot: int = 20_000
 
     @property
     def margin(self) -> int:
@@ -129,26 +134,30 @@ def _equal_contexts(gram, context, doc, key, pos, spec: Repeats):
     return gram, context, doc, key, pos, covered, speaks
 
 
+def _packed(spec: Repeats, n_buckets: int, gram, context, doc, key, pos) -> Iterator[tuple]:
+    """(bucket, gram, context, doc, key, pos, settled): entries as bytes, those that an equal one settles apart from the rest."""
+    gram, context, doc, key, pos, covered, speaks = _equal_contexts(gram, context, doc, key, pos, spec)
+    bucket = (gram >> np.uint64(32)) % np.uint64(n_buckets)
+
+    def packed(x, gram, context, settled: bool) -> tuple:
+        return int(bucket[x[0]]), gram.tobytes(), context.tobytes(), doc[x].tobytes(), key[x].tobytes(), pos[x].astype(np.uint32).tobytes(), settled
+
+    local = np.flatnonzero(covered)
+    for i in range(0, len(local), 50_000):
+        yield packed(local[i:i + 50_000], gram[:0], context[:0], True)
+    sent = np.flatnonzero(speaks)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    cuts = np.flatnonzero(_firsts(bucket[sent])) if len(sent) else []
+    for x in np.split(sent, cuts[1:]) if len(sent) else []:
+        x = x[np.lexsort((pos[x], key[x], doc[x]))]  # neighbours in a text stay together, which compresses
+        yield packed(x, gram[x], context[x], False)
+
+
 def _sample(spec: Repeats, n_buckets: int):
     out_type = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("context", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("settled", pa.bool_())])
 
-    def packed(bucket: int, gram, context, doc, key, pos, settled: bool) -> tuple:
-        return bucket, gram.tobytes(), context.tobytes(), doc.tobytes(), key.tobytes(), pos.astype(np.uint32).tobytes(), settled
-
     def send(parts: list) -> pa.RecordBatch:
-        gram, context, doc, key, pos, covered, speaks = _equal_contexts(*(np.concatenate(x) for x in zip(*parts)), spec)
-        bucket = (gram >> np.uint64(32)) % np.uint64(n_buckets)
-        rows = []
-        local = np.flatnonzero(covered)
-        for i in range(0, len(local), 50_000):
-            x = local[i:i + 50_000]
-            rows.append(packed(int(bucket[x[0]]), gram[:0], context[:0], doc[x], key[x], pos[x], True))
-        sent = np.flatnonzero(speaks)
-        sent = sent[np.argsort(bucket[sent], kind="stable")]
-        cuts = np.flatnonzero(_firsts(bucket[sent])) if len(sent) else []
-        for x in np.split(sent, cuts[1:]) if len(sent) else []:
-            x = x[np.lexsort((pos[x], key[x], doc[x]))]  # neighbours in a text stay together, which compresses
-            rows.append(packed(int(bucket[x[0]]), gram[x], context[x], doc[x], key[x], pos[x], False))
+        rows = _packed(spec, n_buckets, *(np.concatenate(x) for x in zip(*parts)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_type.types)], schema=out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,30 +197,60 @@ def _settle(spec: Repeats):
             out.append((doc[covered], key[covered], pos[covered], np.full(covered.sum(), COVERED, np.int8)))
             new_gram, new_context = _firsts(gram), _firsts(gram, context)
             group = np.cumsum(new_gram) - 1
-            several = np.bincount(group, new_context)[group] > 1
-            left = several & speaks
-            out.append((doc[left], key[left], pos[left], np.full(left.sum(), OPEN, np.int8)))
+            n_contexts = np.bincount(group, new_context)[group]
+            left = (n_contexts > 1) & speaks
+            out.append((doc[left], key[left], pos[left], np.where(n_contexts[left] > spec.hot, HOT, OPEN).astype(np.int8)))
         doc, key, pos, kind = (np.concatenate(x) for x in zip(*out))
         return pa.table([pa.array(doc), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(kind)], schema=out_type)
 
     return run, "doc_id long, key long, pos int, kind byte"
 
 
+def _windows_of(symbols, bounds, row, pos, spec: Repeats):
+    """Two hashes, row and start of every window through anchors at ``pos``, each start once."""
+    at = np.repeat(bounds[row] + pos, spec.margin + 1)
+    start = at - np.tile(np.arange(spec.margin + 1), len(pos))
+    row = np.repeat(row, spec.margin + 1)
+    fits = (start >= bounds[row]) & (start + spec.width <= bounds[row + 1])
+    start = np.unique(start[fits])
+    row = np.searchsorted(bounds, start, "right") - 1
+    one, other = gram_hashes(symbols, spec.width)[start], gram_hashes(mix(symbols.astype(np.uint64) ^ EDGE_A), spec.width)[start]
+    return mix(one), mix(other), row, start - bounds[row]
+
+
 def _contexts(spec: Repeats, n_buckets: int):
-    out_type = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("symbols", pa.binary())])
+    out_type = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("gram", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("symbols", pa.binary())])
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_type.types)], schema=out_type)
+
+    def send(parts: list) -> pa.RecordBatch:
+        """Windows of hot grams; their second hash stands in the column of left ends."""
+        rows = _packed(spec, n_buckets, *(np.concatenate(x) for x in zip(*parts)))
+        return table([(bucket, SETTLED if settled else WINDOWS, gram, doc, key, pos, context, b"", b"") for bucket, gram, context, doc, key, pos, settled in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n_parts = [], 0
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            places = batch.column(3)
             for first, data, bounds in text_chunks(batch.column(2), 1 << 20):
                 symbols, bounds = spec.symbols(data, bounds)
                 n = len(bounds) - 1
-                lists = places.slice(first, n)
-                pos = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                numbers = np.arange(n)
+
+                def places(column: int) -> tuple[np.ndarray, np.ndarray]:
+                    lists = batch.column(column).slice(first, n)
+                    return np.repeat(numbers, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+                row, pos = places(4)
+                if len(pos):
+                    one, other, row, pos = _windows_of(symbols, bounds, row, pos, spec)
+                    parts.append((one, other, ids[first + row], keys[first + row], pos))
+                    n_parts += len(pos)
+                    if n_parts >= GATHER:
+                        yield send(parts)
+                        parts, n_parts = [], 0
+                row, pos = places(3)
                 if not len(pos):
                     continue
-                row = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 at = bounds[row] + pos
                 left = np.minimum(spec.margin, pos)
                 right = np.minimum(spec.margin, bounds[row + 1] - at - spec.gram)
@@ -221,11 +260,12 @@ def _contexts(spec: Repeats, n_buckets: int):
                 for x in np.split(order, np.flatnonzero(_firsts(bucket[order]))[1:]):
                     matrix = context_matrix(symbols, at[x], left[x], right[x], spec)
                     matrix = (matrix - np.uint64(1)).astype(symbols.dtype)  # past the ends any value will do
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((
-                        int(bucket[x[0]]), grams[x].tobytes(), ids[first + row[x]].tobytes(), keys[first + row[x]].tobytes(), pos[x].astype(np.uint32).tobytes(),
-                        left[x].astype(np.uint8).tobytes(), right[x].astype(np.uint8).tobytes(), matrix.tobytes()), out_type.types)], schema=out_type)
+                    yield table([(int(bucket[x[0]]), CONTEXTS, grams[x].tobytes(), ids[first + row[x]].tobytes(), keys[first + row[x]].tobytes(), pos[x].astype(np.uint32).tobytes(),
+                                  left[x].astype(np.uint8).tobytes(), right[x].astype(np.uint8).tobytes(), matrix.tobytes())])
+        if n_parts:
+            yield send(parts)
 
-    return run, "bucket int, gram binary, doc binary, key binary, pos binary, left binary, right binary, symbols binary"
+    return run, "bucket int, kind byte, gram binary, doc binary, key binary, pos binary, left binary, right binary, symbols binary"
 
 
 def equal_windows(digits: Callable[[int, np.ndarray], np.ndarray], n_digits: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,12 +297,24 @@ def _refine(spec: Repeats, dtype):
     dtype = np.dtype(dtype)
 
     def run(table: pa.Table) -> pa.Table:
-        get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+        kind = table.column("kind").to_numpy()
+
+        def get(column: str, dtype, kinds=(CONTEXTS,)) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, dtype) for x in table.column(column).take(pa.array(np.flatnonzero(np.isin(kind, kinds)))).to_pylist()] or [np.zeros(0, dtype)])
+
+        found_doc, found_key, found_span = [], [], []
+        for kinds in ((SETTLED,), (WINDOWS,)):
+            doc, key, pos = get("doc", np.int64, kinds), get("key", np.int64, kinds), get("pos", np.uint32, kinds).astype(np.int64)
+            if kinds == (WINDOWS,) and len(doc):
+                _, _, doc, key, pos, covered, _ = _equal_contexts(get("gram", np.uint64, kinds), get("left", np.uint64, kinds), doc, key, pos, spec)
+                doc, key, pos = doc[covered], key[covered], pos[covered]
+            found_doc.append(doc)
+            found_key.append(key)
+            found_span.append((pos << 32) | (pos + width))
         gram, doc, key, pos = get("gram", np.uint64), get("doc", np.int64), get("key", np.int64), get("pos", np.uint32).astype(np.int64)
         left, right = get("left", np.uint8).astype(np.int64), get("right", np.uint8).astype(np.int64)
         symbols = get("symbols", dtype).reshape(-1, span)
         names = np.unique(gram, return_inverse=True)[1]
-        found_doc, found_key, found_span = [], [], []
         order = np.argsort(names, kind="stable")
         starts = np.flatnonzero(_firsts(names[order]))
         # whole groups of one gram at a time, about 50,000 anchors together
@@ -300,8 +352,6 @@ def _refine(spec: Repeats, dtype):
             found_doc.append(doc[hit])
             found_key.append(key[hit])
             found_span.append(((pos[hit] - high[hit]) << 32) | (pos[hit] - low[hit] + width))
-        if not found_doc:
-            return out_type.empty_table()
         return pa.table([pa.array(np.concatenate(x)) for x in (found_doc, found_key, found_span)], schema=out_type)
 
     return run, "doc_id long, key long, span long"
@@ -321,8 +371,9 @@ def covered_texts(docs: DataFrame, spec: Repeats, dtype, finish: Callable, schem
     first = materialise(texts.mapInArrow(sample, sampled).groupBy("bucket").applyInArrow(settle, settled), "anchors")
     contexts, contexted = _contexts(spec, n_buckets)
     refine, refined = _refine(spec, dtype)
-    left_over = first.where(F.col("kind") == OPEN).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("places"))
-    spans = texts.join(left_over, ["doc_id", "key"]).select("doc_id", "key", "text", "places").mapInArrow(contexts, contexted).groupBy("bucket").applyInArrow(refine, refined)
+    of_kind = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("pos")))
+    left_over = first.where(F.col("kind") != COVERED).groupBy("doc_id", "key").agg(of_kind(OPEN).alias("places"), of_kind(HOT).alias("hot"))
+    spans = texts.join(left_over, ["doc_id", "key"]).select("doc_id", "key", "text", "places", "hot").mapInArrow(contexts, contexted).groupBy("bucket").applyInArrow(refine, refined)
     settled_spans = first.where(F.col("kind") == COVERED).select("doc_id", "key", F.shiftleft(F.col("pos").cast("long"), 32).alias("span"))
     spans = settled_spans.unionByName(spans).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
     return texts.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)

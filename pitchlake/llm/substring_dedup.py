@@ -41,15 +41,18 @@ def cover_anchors(symbols: np.ndarray, grams: np.ndarray, bounds: np.ndarray) ->
     return place[on[(place - bounds[row]) % PERIOD]]
 
 
-def spec_for(width: int) -> Repeats:
+def spec_for(width: int, hot: int = 20_000) -> Repeats:
     if width < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words at least")
-    return Repeats(width, width - PERIOD + 1, word_symbols, cover_anchors, earlier=False, digit=5)
+    return Repeats(width, width - PERIOD + 1, word_symbols, cover_anchors, earlier=False, digit=5, hot=hot)
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]), one row per document."""
-    spec = spec_for(width)
+def substring_dedup(docs: DataFrame, width: int = 35, with_text: bool = False, hot: int = 20_000) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept]), one row per document.
+
+    ``hot`` (see ``Repeats``) changes the route of a gram, never the result.
+    """
+    spec = spec_for(width, hot)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

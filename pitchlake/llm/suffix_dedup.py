@@ -58,13 +58,16 @@ def byte_symbols(data: np.ndarray, bounds: np.ndarray):
     return data, bounds
 
 
-def spec_for(width: int, gram: int) -> Repeats:
-    return Repeats(width, gram, byte_symbols, minimizers(width, gram), earlier=True, digit=8)
+def spec_for(width: int, gram: int, hot: int = 20_000) -> Repeats:
+    return Repeats(width, gram, byte_symbols, minimizers(width, gram), earlier=True, digit=8, hot=hot)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 16, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per document; ``kept`` is binary."""
-    spec = spec_for(width, gram)
+def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 16, with_text: bool = False, hot: int = 20_000) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per document; ``kept`` is binary.
+
+    ``hot`` (see ``Repeats``) changes the route of a gram, never the result.
+    """
+    spec = spec_for(width, gram, hot)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -170,6 +170,15 @@ def test_substring_dedup(corpus):
     assert sum(x[1] for x in want.values()) > 100 and got == want
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_grams_are_split_by_windows(corpus, hot):
+    df, texts = corpus
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(df, hot=hot).collect()}
+    assert got == brute_suffix(texts)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df, hot=hot).collect()}
+    assert got == brute_substring(texts)
+
+
 def test_texts_come_back_from_the_dedups(corpus):
     df, texts = corpus
     kept = {r["doc_id"]: r["kept"] for r in suffix_dedup.suffix_dedup(df, with_text=True).collect()}
@@ -369,8 +378,9 @@ def test_rows_without_an_id_of_their_own_keep_their_places(spark):
     for i, w in rows:
         gone = {q for p in range(len(w) - 34) if n[tuple(w[p:p + 35])] > 1 for q in range(p, p + 35)}
         want.append((i, len(w), len(gone)))
-    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    for hot in (1, 20_000):
+        got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df, hot=hot).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
     least = {}
     for i, w in rows:
         b, i = " ".join(w), -1 if i is None else i
