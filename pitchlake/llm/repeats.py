@@ -120,6 +120,16 @@ def _group_first(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first byte of all values, then the second: ids and positions differ in few of them, which compresses."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
 def _equal_contexts(gram, context, doc, key, pos, spec: Repeats):
     """Sorts the entries; marks those settled as covered by an equal context, and those that speak for their context."""
     order = np.lexsort((pos, doc, context, gram))
@@ -140,7 +150,8 @@ def _packed(spec: Repeats, n_buckets: int, gram, context, doc, key, pos) -> Iter
     bucket = (gram >> np.uint64(32)) % np.uint64(n_buckets)
 
     def packed(x, gram, context, settled: bool) -> tuple:
-        return int(bucket[x[0]]), gram.tobytes(), context.tobytes(), doc[x].tobytes(), key[x].tobytes(), pos[x].astype(np.uint32).tobytes(), settled
+        # half of the gram's hash will do: the bucket holds the rest of it, and what is left over is compared by symbols
+        return int(bucket[x[0]]), gram.astype(np.uint32).tobytes(), context.tobytes(), planes(doc[x]), planes(key[x]), planes(pos[x].astype(np.uint32)), settled
 
     local = np.flatnonzero(covered)
     for i in range(0, len(local), 50_000):
@@ -186,11 +197,11 @@ def _settle(spec: Repeats):
     def run(table: pa.Table) -> pa.Table:
         parts, done = [], []
         for gram, context, doc, key, pos, settled in zip(*(table.column(c).to_pylist() for c in ("gram", "context", "doc", "key", "pos", "settled"))):
-            doc, key, pos = np.frombuffer(doc, np.int64), np.frombuffer(key, np.int64), np.frombuffer(pos, np.uint32)
+            doc, key, pos = from_planes(doc, np.int64), from_planes(key, np.int64), from_planes(pos, np.uint32)
             if settled:
                 done.append((doc, key, pos))
             else:
-                parts.append((np.frombuffer(gram, np.uint64), np.frombuffer(context, np.uint64), doc, key, pos))
+                parts.append((np.frombuffer(gram, np.uint32), np.frombuffer(context, np.uint64), doc, key, pos))
         out = [(d, k, p, np.zeros(len(d), np.int8)) for d, k, p in done]
         if parts:
             gram, context, doc, key, pos, covered, speaks = _equal_contexts(*(np.concatenate(x) for x in zip(*parts)), spec)
@@ -201,6 +212,8 @@ def _settle(spec: Repeats):
             left = (n_contexts > 1) & speaks
             out.append((doc[left], key[left], pos[left], np.where(n_contexts[left] > spec.hot, HOT, OPEN).astype(np.int8)))
         doc, key, pos, kind = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((pos, key, doc))
+        doc, key, pos, kind = doc[order], key[order], pos[order], kind[order]
         return pa.table([pa.array(doc), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(kind)], schema=out_type)
 
     return run, "doc_id long, key long, pos int, kind byte"
@@ -260,7 +273,7 @@ def _contexts(spec: Repeats, n_buckets: int):
                 for x in np.split(order, np.flatnonzero(_firsts(bucket[order]))[1:]):
                     matrix = context_matrix(symbols, at[x], left[x], right[x], spec)
                     matrix = (matrix - np.uint64(1)).astype(symbols.dtype)  # past the ends any value will do
-                    yield table([(int(bucket[x[0]]), CONTEXTS, grams[x].tobytes(), ids[first + row[x]].tobytes(), keys[first + row[x]].tobytes(), pos[x].astype(np.uint32).tobytes(),
+                    yield table([(int(bucket[x[0]]), CONTEXTS, grams[x].astype(np.uint32).tobytes(), planes(ids[first + row[x]]), planes(keys[first + row[x]]), planes(pos[x].astype(np.uint32)),
                                   left[x].astype(np.uint8).tobytes(), right[x].astype(np.uint8).tobytes(), matrix.tobytes())])
         if n_parts:
             yield send(parts)
@@ -299,19 +312,21 @@ def _refine(spec: Repeats, dtype):
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
 
-        def get(column: str, dtype, kinds=(CONTEXTS,)) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, dtype) for x in table.column(column).take(pa.array(np.flatnonzero(np.isin(kind, kinds)))).to_pylist()] or [np.zeros(0, dtype)])
+        def get(column: str, dtype, kinds=(CONTEXTS,), read=np.frombuffer) -> np.ndarray:
+            return np.concatenate([read(x, dtype) for x in table.column(column).take(pa.array(np.flatnonzero(np.isin(kind, kinds)))).to_pylist()] or [np.zeros(0, dtype)])
 
         found_doc, found_key, found_span = [], [], []
         for kinds in ((SETTLED,), (WINDOWS,)):
-            doc, key, pos = get("doc", np.int64, kinds), get("key", np.int64, kinds), get("pos", np.uint32, kinds).astype(np.int64)
+            doc, key = (get(c, np.int64, kinds, from_planes) for c in ("doc", "key"))
+            pos = get("pos", np.uint32, kinds, from_planes).astype(np.int64)
             if kinds == (WINDOWS,) and len(doc):
-                _, _, doc, key, pos, covered, _ = _equal_contexts(get("gram", np.uint64, kinds), get("left", np.uint64, kinds), doc, key, pos, spec)
+                _, _, doc, key, pos, covered, _ = _equal_contexts(get("gram", np.uint32, kinds), get("left", np.uint64, kinds), doc, key, pos, spec)
                 doc, key, pos = doc[covered], key[covered], pos[covered]
             found_doc.append(doc)
             found_key.append(key)
             found_span.append((pos << 32) | (pos + width))
-        gram, doc, key, pos = get("gram", np.uint64), get("doc", np.int64), get("key", np.int64), get("pos", np.uint32).astype(np.int64)
+        gram, doc, key = get("gram", np.uint32), get("doc", np.int64, read=from_planes), get("key", np.int64, read=from_planes)
+        pos = get("pos", np.uint32, read=from_planes).astype(np.int64)
         left, right = get("left", np.uint8).astype(np.int64), get("right", np.uint8).astype(np.int64)
         symbols = get("symbols", dtype).reshape(-1, span)
         names = np.unique(gram, return_inverse=True)[1]
