@@ -10,7 +10,7 @@ document. Both operators sample anchor positions so that any two equal windows h
    of all documents share sends one entry a task and not one a document.
 2. ``_settle``: in each bucket equal contexts are settled; grams with several contexts are left over.
 3. ``_contexts`` and ``_refine``: only left-over anchors send their context; a depth-limited radix sort
-   (most significant digits first, groups of one dropped after each pass) leaves the groups of equal windows.
+   (``repeated_windows``: groups of one are dropped after each digit) leaves the groups of equal windows.
 4. A gram with more than ``hot`` open contexts isn't refined in one place: its anchors send the hashes of all
    windows through them instead, which spread over the buckets; equal windows within a task are settled there.
 5. The covered intervals of each document are collected and handed to a function over its text.
@@ -282,10 +282,10 @@ def _contexts(spec: Repeats, n_buckets: int):
 
 
 def equal_windows(digits: Callable[[int, np.ndarray], np.ndarray], n_digits: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Depth-limited radix sort of suffixes: (indices that survive, their group), groups of equal suffixes side by side.
+    """Radix sort by further digits: (indices that survive, their group), groups of equal ones side by side.
 
-    ``digits(i, rows)`` gives digit i of the suffixes ``rows``. Each pass orders every group by its next digit and
-    drops what is then alone.
+    ``digits(i, rows)`` gives digit i of ``rows``. Each pass orders every group by its next digit and drops what is
+    then alone.
     """
     rows = np.arange(len(group))
     for i in range(-1, n_digits):
@@ -304,6 +304,41 @@ def equal_windows(digits: Callable[[int, np.ndarray], np.ndarray], n_digits: int
     return rows, group
 
 
+def repeated_windows(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, spec: Repeats) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, entries, group) of the windows through the entries' anchors that equal another one.
+
+    ``symbols`` holds the entries' contexts. A window begins ``offset`` symbols before the gram, 0 to the margin;
+    all windows of a range of offsets share some symbols on either side of the gram. The range is halved again and
+    again; each half sorts by the symbols that its windows share besides, and drops groups of one, until at a single
+    offset the whole window is sorted, and no symbol beyond it.
+    """
+    m = spec.margin
+
+    def sorted_by(entries: np.ndarray, group: np.ndarray, first: int, last: int):
+        def digit(i: int, rows: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(rows), np.uint64)
+            for column in range(first + i * spec.digit, min(first + (i + 1) * spec.digit, last)):
+                out = out * (np.uint64(256) if symbols.dtype == np.uint8 else BASE) + symbols[entries[rows], column].astype(np.uint64)
+            return out
+
+        rows, group = equal_windows(digit, -(-(last - first) // spec.digit), group)
+        return entries[rows], group
+
+    ranges = [(0, m, *sorted_by(np.arange(len(group)), group, m, m + spec.gram))]
+    while ranges:
+        low, high, entries, group = ranges.pop()
+        if not len(entries):
+            continue
+        if low == high:
+            yield low, entries, group
+            continue
+        middle = (low + high) // 2
+        fits = right[entries] >= m - middle
+        ranges.append((low, middle, *sorted_by(entries[fits], group[fits], spec.gram + 2 * m - high, spec.gram + 2 * m - middle)))
+        fits = left[entries] > middle
+        ranges.append((middle + 1, high, *sorted_by(entries[fits], group[fits], m - middle - 1, m - low)))
+
+
 def _refine(spec: Repeats, dtype):
     out_type = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
     m, width, span = spec.margin, spec.width, spec.gram + 2 * spec.margin
@@ -331,42 +366,24 @@ def _refine(spec: Repeats, dtype):
         symbols = get("symbols", dtype).reshape(-1, span)
         names = np.unique(gram, return_inverse=True)[1]
         order = np.argsort(names, kind="stable")
-        starts = np.flatnonzero(_firsts(names[order]))
-        # whole groups of one gram at a time, about 50,000 anchors together
-        cuts = starts[np.flatnonzero(np.diff(starts // 50_000, prepend=-1))] if len(starts) else []
+        starts = np.flatnonzero(_firsts(names[order])) if len(order) else []
+        # whole groups of one gram at a time, about 200,000 anchors together
+        cuts = starts[np.flatnonzero(np.diff(starts // 200_000, prepend=-1))] if len(starts) else []
+        # windows through one anchor overlap each other: their union is one interval
+        lowest, highest = np.full(len(doc), m + 1), np.full(len(doc), -1)
         for part in np.split(order, cuts[1:]):
-            entry = np.repeat(part, m + 1)
-            offset = np.tile(np.arange(m + 1), len(part))
-            fits = (offset <= left[entry]) & (m - offset <= right[entry])
-            entry, offset = entry[fits], offset[fits]
-
-            def digits(i: int, rows: np.ndarray, entry=entry, offset=offset) -> np.ndarray:
-                first = m - offset[rows] + i * spec.digit
-                out = np.zeros(len(rows), np.uint64)
-                for j in range(min(spec.digit, width - i * spec.digit)):
-                    out = out * (np.uint64(256) if dtype == np.uint8 else BASE) + symbols[entry[rows], first + j].astype(np.uint64)
-                return out
-
-            rows, group = equal_windows(digits, -(-width // spec.digit), names[entry] * (m + 1) + offset)
-            if not len(rows):
-                continue
-            entry, offset = entry[rows], offset[rows]
-            if spec.earlier:
-                least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, group, doc[entry])
-                again = doc[entry] > least[group]
-                entry, offset = entry[again], offset[again]
-            if not len(entry):
-                continue
-            # windows through one anchor overlap each other: their union is one interval
-            low = np.full(len(doc), m + 1)
-            high = np.full(len(doc), -1)
-            np.minimum.at(low, entry, offset)
-            np.maximum.at(high, entry, offset)
-            hit = np.flatnonzero(high >= 0)
-            found_doc.append(doc[hit])
-            found_key.append(key[hit])
-            found_span.append(((pos[hit] - high[hit]) << 32) | (pos[hit] - low[hit] + width))
+            for offset, entries, group in repeated_windows(symbols[part], left[part], right[part], names[part], spec):
+                entries = part[entries]
+                if spec.earlier:
+                    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                    np.minimum.at(least, group, doc[entries])
+                    entries = entries[doc[entries] > least[group]]
+                lowest[entries] = np.minimum(lowest[entries], offset)
+                highest[entries] = np.maximum(highest[entries], offset)
+        hit = np.flatnonzero(highest >= 0)
+        found_doc.append(doc[hit])
+        found_key.append(key[hit])
+        found_span.append(((pos[hit] - highest[hit]) << 32) | (pos[hit] - lowest[hit] + width))
         return pa.table([pa.array(np.concatenate(x)) for x in (found_doc, found_key, found_span)], schema=out_type)
 
     return run, "doc_id long, key long, span long"

@@ -191,6 +191,24 @@ def test_radix_sort_leaves_exactly_the_equal_suffixes():
     assert sorted(rows.tolist()) == [0, 1] and len(set(group.tolist())) == 1
 
 
+def test_halved_ranges_find_all_equal_windows():
+    rng = np.random.default_rng(8)
+    spec = suffix_dedup.spec_for(12, 4)
+    m, n = spec.margin, 300
+    symbols = rng.integers(0, 2, (n, spec.gram + 2 * m)).astype(np.uint8)
+    left, right = rng.integers(0, m + 1, (2, n))
+    names = rng.integers(0, 3, n)
+    got = {(offset, tuple(sorted(entries[group == g].tolist()))) for offset, entries, group in repeats.repeated_windows(symbols, left, right, names, spec) for g in set(group.tolist())}
+    want = set()
+    for offset in range(m + 1):
+        same = collections.defaultdict(list)
+        for i in range(n):
+            if offset <= left[i] and m - offset <= right[i]:
+                same[names[i], symbols[i, m - offset:m - offset + spec.width].tobytes()].append(i)
+        want |= {(offset, tuple(x)) for x in same.values() if len(x) > 1}
+    assert got == want and want
+
+
 def test_difference_cover_aligns_any_two_positions():
     cover, period = substring_dedup.COVER, substring_dedup.PERIOD
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
