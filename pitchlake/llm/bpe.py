@@ -16,6 +16,7 @@ encoded whole; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import tempfile
@@ -34,10 +35,25 @@ from pitchlake.llm.common import materialise
 #: White space for str.split() that the tokenizers' \s doesn't know.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
+# The tokenizers' classes are those of Unicode 16, the ``regex`` module's those of Unicode 17, and lower
+# case is Unicode 17's there and Unicode 15's in Python.
+#: Letters and numbers of Unicode 17 that Unicode 16 hasn't.
+NEWER_RANGES = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEWER = regex.compile("[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in NEWER_RANGES.split()) + "]")
+#: Lower case of capitals that Python doesn't know.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Words that a task remembers before it starts anew.
 REMEMBER = 1_000_000
 #: Texts whose new words are learnt together.
 TOGETHER = 1000
+#: Cells of a matrix of words that are merged together, and bytes beyond which a word is merged by itself.
+CELLS, LONG = 1 << 22, 4096
 #: The rank of a pair that no merge has.
 NEVER = 1 << 40
 
@@ -75,11 +91,12 @@ class Model:
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Exact merging of many words together: in each word always the pair of lowest rank, the leftmost first."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))  # words of like length side by side
-        for first in range(0, len(order), 8192):
-            part = order[first:first + 8192]
-            width = len(words[part[-1]])
+        out: list = [self.merge_long(w) if len(w) > LONG else None for w in words]
+        order = sorted((i for i in range(len(words)) if out[i] is None), key=lambda i: len(words[i]))  # words of like length side by side
+        while order:
+            width = len(words[order[-1]])
+            n = max(1, CELLS // (width + 1))
+            part, order = order[-n:], order[:-n]
             symbols = np.full((len(part), width + 1), -1, np.int64)
             for row, i in enumerate(part):
                 symbols[row, :len(words[i])] = self.byte_ids[np.frombuffer(words[i], np.uint8)]
@@ -113,6 +130,32 @@ class Model:
                 out[i] = own[own >= 0].astype("<u4")
         return out
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The same for one word of any length: a heap of pairs over a linked list, n log n steps."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        ids[-1] = self.end_ids[word[-1]]
+        n = len(ids)
+        heap = [(rank, i) for i, rank in enumerate(self._ranks(ids[:-1], ids[1:]).tolist()) if rank < NEVER]
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        by_code = dict(zip(self.codes.tolist(), self.code_rank.tolist()))
+
+        def rank_at(i: int) -> int:
+            return by_code.get(ids[i] * self.size + ids[after[i]], NEVER) if i >= 0 and after[i] < n else NEVER
+
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if ids[i] < 0 or rank_at(i) != rank:
+                continue  # one of the pair has been merged since
+            gone = after[i]
+            ids[i], ids[gone], after[i] = int(self.merged[rank]), -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if (new := rank_at(at)) < NEVER:
+                    heapq.heappush(heap, (new, at))
+        return np.array([x for x in ids if x >= 0], "<u4")
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, NEVER where it isn't merged."""
         code = a * self.size + b
@@ -122,7 +165,11 @@ class Model:
     def words(self, chunk: str) -> list[bytes]:
         """The words of a piece of text without white space or special tokens."""
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+            chunk = chunk.translate(LOWER)
+            if NEWER.search(chunk):
+                known = NEWER.sub("\ue000", chunk)  # a character of no class, as the tokenizers see them
+                return [chunk[m.start():m.end()].encode() for m in self.pattern.finditer(known)]
         return [w.encode() for w in self.pattern.findall(chunk.lower())]
 
     def pieces(self, chunk: str) -> list:

@@ -27,16 +27,35 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Working tables of this process that haven't been dropped.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage and survives lost executors.
 
     ``few``: of narrow rows; an eighth of the usual number of tasks writes them, in as many files.
+    Results read from working tables, so these stay until ``drop_working_tables``.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     (df.coalesce(n_tasks(df.sparkSession) // 8 + 1) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def working_tables() -> list[str]:
+    return list(_written)
+
+
+def drop_working_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete working tables (all of them unless ``paths`` says which): for when nothing that reads them is needed any more."""
+    for path in working_tables() if paths is None else paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def text_chunks(column: pa.Array, limit: int = 1 << 22):
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes.
 

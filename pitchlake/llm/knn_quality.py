@@ -14,8 +14,8 @@ The sample is bounded by ``sample`` (documented parameter); it takes the labelle
 never held-out ones. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts have no terms and get the sample's mean label as score; without any
-label the mean is 0.5; a document labelled more than once counts once for each label row; repeated rows are
-scored each; empty tables give no rows; other columns are ignored.
+label the mean is 0.5; a document labelled more than once counts once for each label row; of rows with one id and
+different texts the least text is learnt from; a null id is never held out nor labelled; repeated rows are scored each; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ RUNS = re.compile(rb"([A-Z]+)|([a-z\x80-\xff]+)|([0-9]+)|([^A-Za-z0-9\x80-\xff])
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 class Terms(dict):
@@ -99,7 +99,9 @@ class LatentModel:
             return np.full(len(counts), self.prior)
         empty = counts.sum(axis=1) == 0
         cosine = unit(weighted(counts, self.idf) @ self.directions) @ self.vectors.T
-        nearest = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
+        # to five digits, and of equal ones the first of the sample: ties are the same in every block
+        rank = np.rint(cosine * -1e5).astype(np.int64) * len(self.labels) + np.arange(len(self.labels))
+        nearest = np.argpartition(rank, n - 1, axis=1)[:, :n]
         weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0.0)
         weight[empty] = 0
         votes = (weight * self.labels[nearest]).sum(axis=1)
@@ -122,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64)
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([counts[at].tobytes()])], names=["label", "at", "n"])
 
     # the sample is bounded, so its ids may be broadcast and its term counts may come to the driver
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int"), "text")
+    chosen = chosen.withColumn("n", F.monotonically_increasing_id())
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("n", "quality").agg(F.min("text").alias("text")).select(F.col("quality").cast("int"), "text")
     rows = known.mapInArrow(count, "label int, at binary, n binary").collect()
     counts = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):

@@ -1,8 +1,9 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
-A document's set holds its distinct 5-word shingles. Documents with equal sets form a class, which its
-smallest id stands for; only these go on, so thousands of copies cost one row. Signatures have 256 ranks; the
-first 128 are cut into 32 bands of 4: two sets of similarity 0.75 miss all bands with probability 5e-6.
+A document's set holds its distinct 5-word shingles. Documents with equal sets form a class, named by a 64-bit
+hash of the set; only one document of each goes on, so thousands of copies cost one row, and ids may be null or
+repeated. Signatures have 128 ranks in 32 bands of 4: two sets of similarity 0.75 miss all bands with probability
+5e-6.
 
 Documents that share a band are candidates. Rather than emit all pairs of a bucket, each round compares a
 bucket's members with one hub (first the one whose buckets are the fullest, which lies in the middle of its
@@ -11,11 +12,12 @@ family), on full sets, and merges what is linked; buckets that lie in one compon
 What is left are members of a family that are too far from its hubs. A shingle that no other such document has
 can be in no intersection, so a document with too few shared shingles for any partner of another component
 drops out of a bucket; that is counted, for all documents together, without forming pairs. Only what remains
-is compared pair by pair, by signature and then on full sets. Every link is confirmed on full sets.
+is compared pair by pair: first by how many shingles fall into each of 256 cells, which bounds the intersection from
+above and so loses no link, then on full sets. Every link is confirmed on full sets.
 
 Defined results: null and empty texts have no set: size 0, a component of their own; fewer than five words
-form one shingle; repeated rows of one id count as one document each with the same result; a null id
-is smaller than any other; empty tables give no rows; other columns are ignored.
+form one shingle; rows that repeat an id are documents of their own, by their texts, and named by that id; a null
+id is smaller than any other; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.common import WordHashes, gram_hashes, materialise, mix, text_chunks
 
-RANKS, BANDS, DEPTH = 256, 32, 4
-#: Ranks in common below which no pair is taken for similar at 0.75: 4.2 deviations under the 192 to expect.
-FEWEST = 163
+RANKS, BANDS, DEPTH = 128, 32, 4
+CELLS = 256
 ROUNDS = 1
 NO_ID = -(1 << 63)
 KEY = np.uint64(0x5851F42D4C957F2D)
@@ -95,37 +96,50 @@ def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, ranks: int
     return signature.reshape(n_rows, ranks)
 
 
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each set."""
+    n = np.array([len(s) for s in sets])
+    elements = np.concatenate(sets)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    one, other = (np.add.reduceat(np.append(x, np.uint64(0)), starts) for x in (elements, mix(elements ^ KEY)))
+    one[n == 0], other[n == 0] = 0, 0
+    return mix(one ^ mix(other + n.astype(np.uint64))).view(np.int64)
+
+
+def cell_counts(elements: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """How many elements of each row fall into each cell (n_rows x CELLS), cut at 32,767."""
+    cell = (elements >> np.uint64(32)).astype(np.int64) % CELLS
+    return np.minimum(np.bincount(row * CELLS + cell, minlength=n_rows * CELLS), 32_767).reshape(n_rows, CELLS).astype(np.int16)
+
+
 def _features(words: int):
-    out_type = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("low", pa.list_(pa.int8()))])
+    out_type = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("doc", pa.int64()), ("bands", pa.list_(pa.int64())), ("cells", pa.list_(pa.int16()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, data, bounds in text_chunks(batch.column(1), 1 << 21):
+            for first, data, bounds in text_chunks(batch.column(2), 1 << 21):
                 sets = shingle_sets(data, bounds, words)
                 n = np.array([len(s) for s in sets])
                 elements, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
                 signature = superminhash(elements, row, len(sets))
-                band = gram_hashes(signature[:, :BANDS * DEPTH].ravel(), DEPTH)[::DEPTH].reshape(len(sets), BANDS)
+                band = gram_hashes(signature.ravel(), DEPTH)[::DEPTH].reshape(len(sets), BANDS)
                 band = mix(band + np.arange(BANDS, dtype=np.uint64))
-                starts = np.minimum(np.concatenate(([0], np.cumsum(n)[:-1])), len(elements))
-                key_a, key_b = (np.add.reduceat(np.append(x, np.uint64(0)), starts) for x in (elements, mix(elements ^ KEY)))
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, len(sets)), pa.array(n), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)),
+                    *(batch.column(c).slice(first, len(sets)) for c in (0, 1)), pa.array(n), pa.array(set_names(sets)),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[n > 0].ravel().view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(offsets * (RANKS // BANDS), pa.int32()), pa.array((signature[n > 0] & np.uint64(255)).astype(np.uint8).ravel().view(np.int8))),
+                    pa.ListArray.from_arrays(pa.array(offsets * (CELLS // BANDS), pa.int32()), pa.array(cell_counts(elements, row, len(sets))[n > 0].ravel())),
                 ], schema=out_type)
 
-    return run, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, low array<byte>"
+    return run, "doc_id long, key long, n_shingles long, doc long, bands array<long>, cells array<short>"
 
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, bounds in text_chunks(batch.column(1), 1 << 21):
+            for _, data, bounds in text_chunks(batch.column(0), 1 << 21):
                 sets = shingle_sets(data, bounds, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
 
     return run, "doc long, shingles binary"
 
@@ -190,21 +204,23 @@ def _rest(live: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) ->
     second = smallest.join(first, "bucket").where("comp <> first.comp").groupBy("bucket").agg(F.min("size").alias("second"), F.first("first").alias("first"))
     partner = F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first.size"))
     able = rows.join(second, "bucket").where(F.col("common") * (100 + percent) >= (F.col("size") + partner) * percent).select(rows.columns)
-    able = materialise(_between(able).join(classes.select("doc", "bands", "low"), "doc"), "able")
-    other = able.select(*[F.col(c).alias(f"other_{c}") for c in ("bucket", "doc", "comp", "common", "size", "bands", "low")])
+    able = materialise(_between(able).join(classes.select("doc", "bands", "cells"), "doc"), "able")
+    other = able.select(*[F.col(c).alias(f"other_{c}") for c in ("bucket", "doc", "comp", "common", "size", "bands", "cells")])
     fits = (F.col("comp") < F.col("other_comp")) & (F.least("common", "other_common") * (100 + percent) >= (F.col("size") + F.col("other_size")) * percent)
     once = F.element_at(F.array_intersect("bands", "other_bands"), 1) == F.col("bucket")  # a pair counts in the first band that it shares
-    alike = F.aggregate(F.zip_with("low", "other_low", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= FEWEST * percent // 75
-    return able.join(other, (F.col("bucket") == F.col("other_bucket")) & fits & once & alike).select(F.least("doc", "other_doc").alias("a"), F.greatest("doc", "other_doc").alias("b"))
+    # of each cell the intersection has the lesser count at most; sets so large that a count may be cut go to the full test
+    most = F.aggregate(F.zip_with("cells", "other_cells", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda n, x: n + x)
+    possible = (most * (100 + percent) >= (F.col("size") + F.col("other_size")) * percent) | (F.least("size", "other_size") > 32_767)
+    return able.join(other, (F.col("bucket") == F.col("other_bucket")) & fits & once & possible).select(F.least("doc", "other_doc").alias("a"), F.greatest("doc", "other_doc").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key), NO_ID for null, one row per document; ``key`` is a hash of the text."""
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     features, featured = _features(words)
     rows = materialise(texts.mapInArrow(features, featured), "signatures")
-    key = ["n_shingles", "key_a", "key_b"]
-    classes = materialise(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("bands", "low"), "doc_id").alias("s")).select(*key, "doc", "s.*"), "classes")
+    of_class = (F.min("doc_id").alias("least_id"), F.min_by(F.struct(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "bands", "cells"), F.struct("doc_id", "key")).alias("s"))
+    classes = materialise(rows.where("n_shingles > 0").groupBy("doc").agg(*of_class).select("doc", "least_id", "s.*"), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "doc")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = banded.join(shared, "bucket")
@@ -212,9 +228,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     buckets = materialise(buckets.drop("n").join(fullness, "doc"), "buckets")
     full, fulled = _full_sets(words)
     confirm, confirmed = _confirm(percent)
-    wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    # repeated rows of one id: any of them that has words will do, so the longest
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full, fulled).groupBy("doc").agg(F.max("shingles").alias("shingles")), "sets")
+    wanted = classes.join(buckets.select("doc").distinct(), "doc", "left_semi").select(F.col("of_id").alias("doc_id"), F.col("of_key").alias("key"))
+    # rows that agree in id and text have one set
+    sets = texts.join(wanted, ["doc_id", "key"], "left_semi").select("text").mapInArrow(full, fulled)
+    sets = materialise(sets.groupBy("doc").agg(F.max("shingles").alias("shingles")), "sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
@@ -236,13 +253,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         found = materialise(links_of(pairs.distinct()), "links")
         edges = found if edges is None else edges.unionByName(found)
     labels = connected(edges)
-    named = classes.select(*key, F.col("doc")).join(labels, "doc", "left").select(*key, F.coalesce("comp", "doc").alias("comp"))
-    out = rows.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    named = classes.select("doc", "least_id").join(labels, "doc", "left").select("doc", "least_id", F.coalesce("comp", "doc").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    named = materialise(named.join(least, "comp").select("doc", "component_id"), "named", few=True)
+    out = rows.select("doc_id", "key", "n_shingles", "doc").join(named, "doc", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "key")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per document."""
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return _components(docs, words, percent).select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays for its group, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs`` whose document stays for its group, with all their columns.
+
+    Of rows with one id, those whose texts are in the component that the id names stay.
+    """
+    kept = _components(docs, 5, 75).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    return docs.join(kept, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"]), "left_semi")

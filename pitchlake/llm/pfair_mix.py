@@ -9,17 +9,19 @@ has no blocks left, f goes on with the weights of the others scaled up: nothing
 The slots are cut into frames. At a frame's ends the counts are f rounded to whole blocks (largest
 remainders), which keeps every frame feasible by itself: frames are scheduled in parallel.
 
-The driver sees one row per source (weights are given per source, so there are few); documents and blocks stay
-in Spark. Numbering uses sub-buckets of a source, so that a source with a third of all rows is no hot key.
+The driver sees one row per source (weights are given per source, so there are few; more than ``MOST_SOURCES`` are
+an error); documents and blocks stay in Spark. Numbering uses sub-buckets of a source, which grow in number and in
+rows with the square root of the source, so that a source with a third of all rows is no hot key.
 
 Defined results: a null source is a source of its own; a source without a given weight gets the mean of the
 given ones (1 if none); weights of zero or less are an error; repeated rows are mixed each; null texts are
-kept; empty tables give no rows; other columns are kept as they are.
+kept; empty tables give no rows; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FRAME = 4096
-BUCKET_ROWS = 4096
+MOST_SOURCES = 4096
 EPS = 1e-9
 
 
@@ -94,47 +96,51 @@ def schedule_frame(start: int, end: int, times: np.ndarray, counts: dict, blocks
 
 
 def mixed_positions(docs: DataFrame, weights: dict | None = None, block: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with (_source_n, _block, _slot, _position): where each row stands in the mixture."""
+    """(row, source_n, block, slot, position): each row of ``docs``, as a struct, and where it stands in the mixture."""
     spark = docs.sparkSession
     weights = dict(weights or {})
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     default = float(np.mean(list(weights.values()))) if weights else 1.0
-    sizes = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy(F.col(source_col)).agg(F.count(F.lit(1))).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     names = sorted(sizes, key=lambda s: (s is not None, s))
     number = {s: i for i, s in enumerate(names)}
     blocks = {number[s]: -(-n // block) for s, n in sizes.items()}
     by_number = {number[s]: float(weights.get(s, default)) for s in sizes}
     times, counts = fluid(blocks, by_number)
     total = sum(blocks.values())
-    n_buckets = max(sizes.values(), default=0) // BUCKET_ROWS + 1
-
-    table = spark.createDataFrame([(s, number[s]) for s in names], f"_name {dict(docs.dtypes)[source_col]}, _source_n int")
-    rows = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table["_name"])).drop("_name")
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(id_col), F.lit(n_buckets)))
-    bucket = rows.groupBy("_source_n", "_bucket").count()
-    so_far = Window.partitionBy("_source_n").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bucket.select("_source_n", "_bucket", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_source_n", "_bucket").orderBy(F.xxhash64(id_col), id_col)
-    place = F.col("_start") + F.row_number().over(within) - 1
-    numbered = rows.join(starts, ["_source_n", "_bucket"]).withColumn("_place", place)
-    numbered = numbered.withColumn("_block", F.floor(F.col("_place") / block)).drop("_bucket", "_start")
+    most = max(sizes.values(), default=0)
+    n_buckets = most // max(512, 4 * math.isqrt(most)) + 1
+
+    # one row a source, MOST_SOURCES at most, so it may be broadcast
+    table = spark.createDataFrame([(s, number[s]) for s in names], f"name {docs.schema[source_col].dataType.simpleString()}, source_n int")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("row", "id", "source_n", F.pmod(F.xxhash64("id"), F.lit(n_buckets)).alias("bucket"))
+    bucket = rows.groupBy("source_n", "bucket").count()
+    so_far = Window.partitionBy("source_n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucket.select("source_n", "bucket", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("start"))
+    within = Window.partitionBy("source_n", "bucket").orderBy(F.xxhash64("id"), "id")
+    numbered = rows.join(starts, ["source_n", "bucket"]).withColumn("place", F.col("start") + F.row_number().over(within) - 1)
+    numbered = numbered.select("row", "source_n", "place", F.floor(F.col("place") / block).alias("block"))
 
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for f in part["id"]:
-                yield pd.DataFrame(schedule_frame(f * FRAME, min((f + 1) * FRAME, total), times, counts, blocks), columns=["_source_n", "_block", "_slot"])
+                yield pd.DataFrame(schedule_frame(f * FRAME, min((f + 1) * FRAME, total), times, counts, blocks), columns=["source_n", "block", "slot"])
 
-    slots = spark.range(-(-total // FRAME)).mapInPandas(frames, "_source_n int, _block long, _slot long")
-    return numbered.join(slots, ["_source_n", "_block"]).withColumn("_position", F.col("_slot") * block + F.col("_place") % block).drop("_place")
+    slots = spark.range(-(-total // FRAME)).mapInPandas(frames, "source_n int, block long, slot long")
+    return numbered.join(slots, ["source_n", "block"]).select("row", "source_n", "block", "slot", (F.col("slot") * block + F.col("place") % block).alias("position"))
 
 
 def mix_plan(docs: DataFrame, weights: dict | None = None, block: int = 64) -> DataFrame:
     """(doc_id, source, block, slot, position) of every row."""
     placed = mixed_positions(docs.select("doc_id", "source"), weights, block)
-    return placed.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+    return placed.select("row.doc_id", "row.source", "block", "slot", "position")
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 64) -> DataFrame:
     """All rows and columns of ``docs``, laid out in the order of the mixture."""
-    return mixed_positions(docs, weights, block).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    placed = mixed_positions(docs, weights, block).select("row", "position")
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

@@ -1,8 +1,10 @@
 """The text operators against brute force, the tokenizers library and held-out accuracy, edge cases included."""
 
 import collections
+import fractions
 import functools
 import hashlib
+import math
 import random
 import re
 
@@ -254,6 +256,30 @@ def test_near_duplicates(spark):
     assert got == brute_near({i * 3: t or "" for i, t in enumerate(texts)})
 
 
+def test_near_duplicates_of_rows_without_an_id_of_their_own(spark):
+    texts = near_copies()
+    ids = [5 if i % 4 == 0 else None if i % 4 == 1 else i * 3 for i in range(len(texts))]
+    numbers = {i: t or "" for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("key", F.lit(1)).repartition(3)
+    brute = brute_near(numbers)
+    least = {}
+    for i, (_, c, _) in brute.items():
+        least[c] = min((least.get(c, (True, 1 << 60)), (ids[i] is not None, ids[i] or 0)))
+    want = sorted((repr(ids[i]), n, repr(least[c][1] if least[c][0] else None) if n else repr(ids[i])) for i, (n, c, _) in brute.items())
+    got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in near_dedup.near_duplicates(df).collect())
+    assert got == want
+    assert near_dedup.drop_near_duplicates(df).columns == df.columns
+
+
+def test_cells_bound_the_intersection():
+    rng = np.random.default_rng(4)
+    for n in (3, 80, 2000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.where(rng.random(n) < 0.7, a, rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        cells = near_dedup.cell_counts(np.concatenate([a, b]), np.repeat([0, 1], n), 2)
+        assert np.minimum(cells[0], cells[1]).sum() >= len(np.intersect1d(a, b)) and cells.sum() == 2 * n
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     for n in (5, 60, 900):
@@ -285,6 +311,27 @@ def test_bpe_equals_the_library(corpus, tokenizer):
             assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_long_words_merge_as_the_library_does(tokenizer):
+    path, library = tokenizer
+    model = bpe.load(path)
+    words = ["".join(rnd.choice("abehilnorst") for _ in range(n)) for n in (1, 2, 50, 3000, 9000)] + ["ab" * 3000, "国" * 2500]
+    for w in words:
+        want = library.encode(w, add_special_tokens=False).ids
+        assert model.merge_long(w.encode()).tolist() == want
+        assert model.merge([w.encode(), b"x"])[0].tolist() == want
+
+
+def test_every_assigned_or_free_character_is_encoded_as_the_library_does(tokenizer):
+    path, library = tokenizer
+    encoder = bpe.Encoder(bpe.load(path), bpe.Lexicon(bpe.compile_lexicon({})))
+    texts = [f"a{chr(c)}b{chr(c)}{chr(c)}1" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x33480 or c >= 0x3D000 and c % 97 == 0)]
+    for first in range(0, len(texts), 20_000):
+        part = texts[first:first + 20_000]
+        ours = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)]
+        encoder.known.clear()
+        assert [e.ids for e in library.encode_batch(part, add_special_tokens=False)] == ours
+
+
 def test_lexicon_shares_suffixes_and_numbers_words():
     words = {w.encode(): [n, n + 1] for n, w in enumerate(["king", "ring", "rings", "sing", "singing"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
@@ -301,6 +348,28 @@ def test_quality_votes(spark, tmp_path):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_scores_equal_naive_votes(spark):
+    """Cosines, the nearest and their votes in plain Python, over the learnt vectors."""
+    rnd = random.Random(2)
+    words = [["good", "plain", "words", "here", "and", "there"], ["BUY", "NOW!!", "99", "c@ll", "x1"]]
+    rows = [(i, " ".join(rnd.choice(words[i % 2] if rnd.random() < 0.8 else words[0]) for _ in range(rnd.randint(0, 30)))) for i in range(120)] + [(None, "good words"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(90)] + [(None, 1)], "doc_id long, quality int")
+    model = knn_quality.fit(docs, labels, sample=64, rank=8)
+    assert 0 < len(model.labels) <= 64
+    got = {r["doc_id"]: r for r in knn_quality.score_quality(docs, model, neighbours=7).collect()}
+    for i, text in rows:
+        counts = knn_quality.term_counts([(text or "").encode()], knn_quality.Terms())
+        projected = (knn_quality.weighted(counts, model.idf) @ model.directions)[0].tolist()
+        length = sum(x * x for x in projected) ** 0.5
+        cosines = [(-round(sum(a * b for a, b in zip(projected, v)) / max(length, 1e-12), 5), n, label) for n, (v, label) in enumerate(zip(model.vectors.tolist(), model.labels.tolist()))]
+        near = [(max(-c, 0.0), label) for c, _, label in sorted(cosines)[:7]] if counts.sum() else []
+        want = (sum(c * label for c, label in near) + 0.25 * model.prior) / (sum(c for c, _ in near) + 0.25)
+        assert abs(got[i]["score"] - want) < 1e-3
+    rows = {r["doc_id"]: r for r in knn_quality.classify(docs, labels).collect()}
+    assert rows[None]["held_out"] is False and rows[500]["predicted"] in (0, 1)
+
+
 def test_quality_edge_cases(spark, nothing):
     docs = documents(spark, [None, "", "word " * 5, "WORD!! " * 9])
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -326,6 +395,53 @@ def test_mixture_deviates_by_less_than_a_block(spark):
         assert np.abs(ahead).max() < 1
 
 
+def naive_pfair(blocks, weights):
+    """Slots by earliest deadline first over exact fractions, one slot at a time, no frames."""
+    left, have, path, now = dict(blocks), {s: fractions.Fraction(0) for s in blocks}, {s: [(fractions.Fraction(0), fractions.Fraction(0))] for s in blocks}, fractions.Fraction(0)
+    while any(left.values()):
+        total = sum(weights[s] for s in left if left[s])
+        span = min(left[s] * total / weights[s] for s in left if left[s])
+        now += span
+        for s in left:
+            if left[s]:
+                step = span * weights[s] / total
+                have[s], left[s] = have[s] + step, left[s] - step
+            path[s].append((now, have[s]))
+
+    def when(s, k):
+        for (t0, f0), (t1, f1) in zip(path[s], path[s][1:]):
+            if f0 <= k <= f1 and f1 > f0:
+                return t0 + (k - f0) / (f1 - f0) * (t1 - t0)
+
+    jobs = sorted((math.floor(when(s, k)), math.ceil(when(s, k + 1)), str(s), k, s) for s in blocks for k in range(blocks[s]))
+    out, ready, at = [], [], 0
+    for slot in range(sum(blocks.values())):
+        while at < len(jobs) and jobs[at][0] <= slot:
+            ready.append(jobs[at][1:])
+            at += 1
+        best = min(ready)
+        ready.remove(best)
+        assert best[0] >= slot + 1  # no deadline is missed
+        out.append((best[3], best[2], slot))
+    return out
+
+
+@pytest.mark.parametrize("blocks, weights", [({0: 40, 1: 9, 2: 25}, {0: 4, 1: 2, 2: 1}), ({0: 1, 1: 100}, {0: 1, 1: 1}), ({0: 30, 1: 30, 2: 30, 3: 7}, {0: 3, 1: 5, 2: 7, 3: 2})])
+def test_schedule_equals_exact_fractions(blocks, weights):
+    times, counts = pfair_mix.fluid(blocks, {s: float(w) for s, w in weights.items()})
+    got = pfair_mix.schedule_frame(0, sum(blocks.values()), times, counts, blocks)
+    assert got == naive_pfair(blocks, {s: fractions.Fraction(w) for s, w in weights.items()})
+
+
+def test_mixing_keeps_clashing_columns_and_empty_tables(spark):
+    names = ["_bucket", "_start", "_place", "_slot", "_name", "_block", "_position", "row", "id", "name", "source_n", "bucket", "start", "place", "block", "slot", "position", "count"]
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "doc_id long, source string").withColumns({n: F.lit(77 + i) for i, n in enumerate(names)})
+    rows = pfair_mix.mix_sources(docs, {"a": 2.0}, 4).collect()
+    assert len(rows) == 20 and {tuple(r[n] for n in names) for r in rows} == {tuple(range(77, 77 + len(names)))}
+    assert pfair_mix.mix_sources(docs.where("false"), {"a": 2.0}, 4).collect() == []
+    assert pfair_mix.mix_plan(docs, {}, 4).count() == 20
+
+
 def test_frames_join_without_deviation():
     blocks, weights = {0: 9000, 1: 3000, 2: 5}, {0: 3.0, 1: 1.0, 2: 0.5}
     times, counts = pfair_mix.fluid(blocks, weights)
@@ -374,6 +490,16 @@ def test_empty_table_bpe(nothing, tokenizer):
     assert bpe.encode_documents(nothing, tokenizer[0]).count() == 0
 
 
+def test_empty_table_chat(spark):
+    assert chat_format.chat_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_bpe_with_clashing_columns_and_null_ids(spark, tokenizer):
+    df = spark.createDataFrame([(None, "one two", 7, "x"), (None, None, 8, "y"), (3, "", 9, "z")], "doc_id long, text string, ids int, n_tokens string")
+    got = sorted((repr(r["doc_id"]), r["n_tokens"]) for r in bpe.encode_documents(df, tokenizer[0], with_ids=True).collect())
+    assert got == [("3", 0), ("None", 0), ("None", 2)]
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (7, "other")], "doc_id long, text string")
@@ -382,6 +508,21 @@ def test_null_and_repeated_ids(spark):
     assert rows == sorted([(None, 0), (5, size), (5, size), (7, 0)], key=repr)
     assert exact_dedup.exact_dedup(df).where("kept").count() == 3
     assert near_dedup.near_duplicates(df).where("component_id IS NULL").count() == 3
+    ids = {r["doc_id"] for r in license_scan.license_scan(df).collect()}
+    assert ids == {None, 5, 7}
+
+
+def test_working_tables_are_dropped(spark, corpus):
+    from pitchlake.llm import common
+
+    common.drop_working_tables(spark)
+    exact_dedup.exact_dedup(corpus[0]).count()
+    paths = common.working_tables()
+    assert paths
+    common.drop_working_tables(spark, paths[:1])
+    assert common.working_tables() == paths[1:]
+    common.drop_working_tables(spark)
+    assert common.working_tables() == []
 
 
 def test_rows_without_an_id_of_their_own_keep_their_places(spark):
