@@ -95,7 +95,7 @@ class Model:
         order = sorted((i for i in range(len(words)) if out[i] is None), key=lambda i: len(words[i]))  # words of like length side by side
         while order:
             width = len(words[order[-1]])
-            n = max(1, CELLS // (width + 1))
+            n = max(1, min(8192, CELLS // (width + 1)))
             part, order = order[-n:], order[:-n]
             symbols = np.full((len(part), width + 1), -1, np.int64)
             for row, i in enumerate(part):
