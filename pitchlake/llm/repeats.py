@@ -17,8 +17,8 @@ document. Both operators sample anchor positions so that any two equal windows h
 
 Buckets grow in number with the corpus, so that one holds a bounded share of it.
 
-Ids may be null or repeated, so places are kept by id and key, a 64-bit hash of the text. Rows that agree in
-both are equal and have the same places; the id alone only says which document is smaller.
+Ids may be null or repeated, so places are kept by id and key: a 64-bit hash of the text, or 0 for ids that one row
+has. Rows that agree in both are equal and have the same places; the id alone only says which document is smaller.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ NO_ID = -(1 << 63)
 #: Entries that a task gathers before it sends them.
 GATHER = 1_000_000
 BUCKET_BYTES = 4 << 20
+#: Repeated ids that may be listed in an expression.
+FEW = 1000
 COVERED, OPEN, HOT = 0, 1, 2
 #: Rows of the second shuffle: contexts to refine, windows to compare, windows that their own task has settled.
 CONTEXTS, WINDOWS, SETTLED = 0, 1, 2
@@ -395,7 +397,9 @@ def covered_texts(docs: DataFrame, spec: Repeats, dtype, finish: Callable, schem
     The lists hold intervals of symbols; an end of 0 stands for a settled anchor at start.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    repeated = [r[0] for r in texts.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(FEW + 1).collect()]
+    key = F.xxhash64("text")  # zeros pack to nothing, so ids of one row have them while the others are few enough to be named
+    texts = texts.select("doc_id", (key if len(repeated) > FEW else F.when(F.col("doc_id").isin(repeated), key).otherwise(0)).alias("key"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(4 * n_tasks(docs.sparkSession), size // BUCKET_BYTES + 1)
     sample, sampled = _sample(spec, n_buckets)
