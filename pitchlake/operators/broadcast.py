@@ -44,7 +44,7 @@ def emotion_end(events: DataFrame, envelope: DataFrame, longest: float = 8.0, sh
     """(match_id, event_id, end_s): when the sound has stayed below baseline plus a share of the peak for ``hold`` seconds, else ``longest`` after."""
     base = envelope.groupBy("match_id").agg(F.median("rms").alias("base"))
     spans = events.select("match_id", "event_id", F.col("t").alias("lo"), (F.col("t") + longest).alias("hi"))
-    after = ts.range_join(envelope.select("match_id", F.col("t").alias("at"), "rms"), spans, MATCH, "at", "lo", "hi", longest, closed=True).join(F.broadcast(base), "match_id")
+    after = ts.range_join(envelope.select("match_id", F.col("t").alias("at"), "rms"), spans, MATCH, "at", "lo", "hi", longest, closed=True).join(base, "match_id")
     top = Window.partitionBy("match_id", "event_id")
     quiet = F.col("rms") <= F.col("base") + share * (F.max("rms").over(top) - F.col("base"))
     rows = ts.islands_by_value(after.withColumn("quiet", quiet), ["match_id", "event_id"], ["at"], F.col("quiet")).where("quiet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ def zero_phase(values: Column, alpha: float) -> Column:
     return F.reverse(once(F.reverse(once(values))))
 
 
+def both_ways(values: np.ndarray, alpha: float) -> np.ndarray:
+    """``zero_phase`` of a long series."""
+    return ts.smoothed(ts.smoothed(values, alpha)[::-1], alpha)[::-1]
+
+
 def zoom_setpoints(required: DataFrame, fraction: float = 0.12, hold: int = 25) -> DataFrame:
     """(match_id, frame, zoom): follows the required zoom down at once, and up only after it stayed higher by a fraction for ``hold`` frames."""
 
@@ -37,23 +43,43 @@ def plan(ball: DataFrame, width: float, height: float, view: float = 0.4, alpha:
     """(match_id, frame, cx, cy): the last seen ball, smoothed both ways, limited in speed and kept inside the frame. ``ball`` is (match_id, frame, x, y)."""
     w = Window.partitionBy("match_id").orderBy("frame")
     held = ball.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)) for c in ("x", "y")})
-    whole = held.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("frame", "x", "y"))).alias("s"))
-    path = lambda c: ts.slew(zero_phase(F.transform("s", lambda r: r[c].cast("double")), alpha), fastest)
-    rows = whole.select("match_id", F.explode(F.arrays_zip("s", path("x").alias("cx"), path("y").alias("cy"))).alias("z"))
+    path = lambda c: lambda rows: ts.followed(both_ways(rows[c].to_numpy(float), alpha), fastest)
+    rows = ts.fold_rows(held.select("match_id", "frame", "x", "y"), ["match_id"], "frame", {"cx": path("x"), "cy": path("y")})
     inside = lambda c, size: F.greatest(F.lit(size * view / 2), F.least(F.lit(size * (1 - view / 2)), c))
-    return rows.select("match_id", F.col("z.s.frame").alias("frame"), inside(F.col("z.cx"), width).alias("cx"), inside(F.col("z.cy"), height).alias("cy"))
+    return rows.select("match_id", "frame", inside(F.col("cx"), width).alias("cx"), inside(F.col("cy"), height).alias("cy"))
 
 
 def crop_boxes(plan_rows: DataFrame, width: float, height: float, aspect: float = 16 / 9, hold_px: float = 2.0) -> DataFrame:
     """(match_id, frame, x, y, w, h): even numbers; the width only changes when it has moved by ``hold_px``. Rows have cx, cy and zoom."""
+
+    def held(rows: pd.DataFrame) -> list:
+        out: list = []
+        for want in rows["want"]:
+            out.append(want if not out or abs(want - out[-1]) >= hold_px else out[-1])
+        return out
+
     wide = F.least(F.lit(width), F.lit(height * aspect)) / F.greatest("zoom", F.lit(1.0))
-    whole = plan_rows.withColumn("want", wide).groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("frame", "cx", "cy", "want"))).alias("s"))
-    step = lambda acc, x: F.array_append(acc, F.when((F.size(acc) == 0) | (F.abs(x - F.try_element_at(acc, F.lit(-1))) >= hold_px), x).otherwise(F.try_element_at(acc, F.lit(-1))))
-    rows = whole.select("match_id", F.explode(F.arrays_zip("s", F.aggregate(F.transform("s", lambda r: r["want"]), F.array().cast("array<double>"), step).alias("w"))).alias("z"))
+    rows = ts.fold_rows(plan_rows.select("match_id", "frame", "cx", "cy", wide.alias("want")), ["match_id"], "frame", {"wide": held})
     even = lambda c: (F.floor(c / 2) * 2).cast("int")
-    w, h = even(F.col("z.w")), even(F.col("z.w") / aspect)
+    w, h = even(F.col("wide")), even(F.col("wide") / aspect)
     at = lambda centre, size, top: even(F.greatest(F.lit(0.0), F.least(top - size, centre - size / 2)))
-    return rows.select("match_id", F.col("z.s.frame").alias("frame"), at(F.col("z.s.cx"), w, F.lit(width)).alias("x"), at(F.col("z.s.cy"), h, F.lit(height)).alias("y"), w.alias("w"), h.alias("h"))
+    return rows.select("match_id", "frame", at(F.col("cx"), w, F.lit(width)).alias("x"), at(F.col("cy"), h, F.lit(height)).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def sliced(plan_rows: DataFrame, start_s: float, end_s: float, fps: float) -> DataFrame:
+    """The frames of a plan from start to end, numbered from 0 again."""
+    if end_s <= start_s:
+        raise ValueError("the end must come after the start")
+    first, last = max(0, round(start_s * fps)), round(end_s * fps)
+    return plan_rows.where((F.col("frame") >= first) & (F.col("frame") < last)).withColumn("frame", F.col("frame") - first)
+
+
+def reversals(rows: DataFrame, fps: float, slowest: float) -> DataFrame:
+    """(match_id, reversals): how often the pan turns round while both speeds are above ``slowest`` a second."""
+    w = Window.partitionBy("match_id").orderBy("frame")
+    v = rows.withColumn("v", (F.col("cx") - F.lag("cx").over(w)) * fps).where(F.abs("v") > slowest)
+    turned = F.signum("v") != F.lag(F.signum("v")).over(w)
+    return v.withColumn("turned", turned).groupBy("match_id").agg(F.count_if("turned").alias("reversals"))
 
 
 def quality(rows: DataFrame, fps: float, crop_width: float) -> DataFrame:

@@ -142,3 +142,79 @@ def remaining_history(history: DataFrame, jobs: DataFrame, key: str, order: str,
     """The last ``keep`` history rows of each match whose job still exists."""
     alive = history.join(jobs.select("job_id"), "job_id", "left_semi")
     return alive.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= keep).drop("_n")
+
+
+def page_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
+    """The first page of every key: ``place`` from 1, and whether more rows follow.
+
+    Spark cuts each task's rows to the page before the shuffle where only the place is asked for.
+    """
+    w = Window.partitionBy(*keys)
+    return df.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("has_more", F.count(F.lit(1)).over(w) > limit).where(F.col("place") <= limit)
+
+
+def members_with_users(members: DataFrame, users: DataFrame, status: str | None = None) -> DataFrame:
+    """Memberships joined to their accounts; members without one are left out; ``updated`` is the later change."""
+    return filtered(members, equal={"status": status}).join(users, "user_id").withColumn("updated", F.greatest("updated_at", "user_updated_at"))
+
+
+def diagnostics(logs: DataFrame, at: str, tie: str, latest: int) -> DataFrame:
+    """(job_id, n_logs, n_errors, last_log, last_error) of each job's ``latest`` logs (job_id, level, at, tie)."""
+    rows = logs.withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(at), F.desc(tie)))).where(F.col("_n") <= latest)
+    failed = F.col("level") == "error"
+    return rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_logs"), F.count_if(failed).alias("n_errors"), F.max_by(tie, F.struct(at, tie)).alias("last_log"), F.max(F.when(failed, F.col(tie))).alias("last_error"))
+
+
+def shown_metrics(known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, metric, value): shots, else shot events; kilometres; kilometres an hour."""
+    metric = lambda name, c: F.struct(F.lit(name).alias("metric"), c.cast("double").alias("value"))
+    shown = F.array(metric("shots", F.coalesce("shots", F.col("shot_events").cast("double"))), metric("distance", F.col("distance_m") / 1000), metric("avg_speed", F.col("avg_speed_mps") * 3.6))
+    return known.select(*keys, F.explode(shown).alias("m")).select(*keys, "m.*")
+
+
+def shots_on_pitch(events: DataFrame, kind: str, kinds: Sequence[str], half_length: float = 52.5, half_width: float = 34.0) -> DataFrame:
+    """Events of some kinds at their places in metres, drawn inside the pitch."""
+    x, y = exprs.clip_to_pitch(F.col("x"), F.col("y"))
+    return events.where(F.col(kind).isin(*kinds)).withColumns({"x": x, "y": y})
+
+
+def sorted_players(players: DataFrame, column: str, tie: str, team: str = "team") -> DataFrame:
+    """Each team's players by a column, the largest first and missing ones last, with the scale of all bars."""
+    scale = players.agg(F.greatest(F.lit(1.0), F.max(F.coalesce(column, F.lit(0.0)))).alias("scale"))
+    place = F.row_number().over(Window.partitionBy(team).orderBy(F.coalesce(column, F.lit(-1e9)).desc(), tie))
+    return players.withColumn("place", place).join(scale)
+
+
+def offered(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The distinct values of some columns of few values, sorted, for each key."""
+    return df.groupBy(*keys).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+
+
+#: Measure: (least value that is ok, least that is a warning). Fixed values.
+LEVELS = {"calibration": (0.75, 0.45), "teams": (85, 60), "ball": (70, 45)}
+
+
+def quality_levels(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, flag, level): ok, warn or danger; a missing calibration is a danger, other missing measures have no flag."""
+    level = lambda c: F.when(F.col(c) >= LEVELS[c][0], "ok").when(F.col(c) >= LEVELS[c][1], "warn").otherwise("danger")
+    flags = F.array(*[F.struct(F.lit(c).alias("flag"), F.when(F.col(c).isNotNull() | F.lit(c == "calibration"), level(c)).alias("level")) for c in LEVELS])
+    return runs.select(*keys, F.explode(flags).alias("f")).select(*keys, "f.*").where("level IS NOT NULL")
+
+
+def auto_picked(events: DataFrame, target_s: float) -> DataFrame:
+    """(match_id, event_id, place): by excitement while the lengths fit, up to 95 % of the target; the first always.
+
+    events: (match_id, event_id, t, excitement, length). A fold over one match's ranked events: each choice depends on
+    the total so far.
+    """
+    ranked = events.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("excitement", F.lit(0.0))).alias("rank"), "t", "event_id", F.col("length").cast("double").alias("length")))).alias("s"))
+    start = F.struct(F.lit(0.0).alias("total"), F.array().cast(ranked.schema["s"].dataType).alias("chosen"))
+
+    def choose(acc: Column, e: Column) -> Column:
+        full = acc["total"] >= 0.95 * target_s
+        over = (acc["total"] + e["length"] > target_s) & (F.size(acc["chosen"]) > 0)
+        return F.when(full | over, acc).otherwise(F.struct((acc["total"] + e["length"]).alias("total"), F.array_append(acc["chosen"], e).alias("chosen")))
+
+    picked = ranked.select("match_id", F.aggregate("s", start, choose)["chosen"].alias("chosen"))
+    in_order = F.array_sort(F.transform("chosen", lambda e: F.struct(e["t"].alias("t"), e["event_id"].alias("event_id"))))
+    return picked.select("match_id", F.posexplode(in_order).alias("place", "e")).select("match_id", "e.event_id", "place")

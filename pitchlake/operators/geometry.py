@@ -68,7 +68,7 @@ def goal_boxes(feet: DataFrame, bounds: DataFrame, near: float = 0.08, share: fl
     """(match_id, side, x1, y1, x2, y2): a box at each goal line, at the median height of the players close to it or else in the middle."""
     width, height = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")
     side = F.when(F.col("x") <= F.col("x_min") + near * width, "left").when(F.col("x") >= F.col("x_max") - near * width, "right")
-    close = feet.join(F.broadcast(bounds), "match_id").withColumn("side", side).where("side IS NOT NULL").groupBy("match_id", "side").agg(F.median("y").alias("mid"), F.count(F.lit(1)).alias("n_near"))
+    close = feet.join(bounds, "match_id").withColumn("side", side).where("side IS NOT NULL").groupBy("match_id", "side").agg(F.median("y").alias("mid"), F.count(F.lit(1)).alias("n_near"))
     sides = bounds.withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right")))).join(close, ["match_id", "side"], "left")
     mid = F.when(F.col("n_near") >= least, F.col("mid")).otherwise((F.col("y_min") + F.col("y_max")) / 2)
     line = F.when(F.col("side") == "left", F.col("x_min")).otherwise(F.col("x_max"))

@@ -143,20 +143,28 @@ def savgol_weights(window: int, order: int = 2) -> np.ndarray:
 
 
 def smooth_runs(df: DataFrame, keys: list[str], run: str, order: str, values: list[str], window: int = 9) -> DataFrame:
-    """Savitzky-Golay over each run of samples; shorter runs take the largest odd window that fits, or stay."""
+    """Savitzky-Golay over each run of samples; shorter runs take the largest odd window that fits, or stay.
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order).copy()
-        n = min(window, len(rows) - (len(rows) + 1) % 2)
-        if n > 3:
+    A smoothed sample is a fixed weighted sum of neighbours: the middle row of weights inside, the first and last
+    rows near a run's ends. So it is lags and leads over one partitioning, and no Python.
+    """
+    w = Window.partitionBy(*keys, run).orderBy(order)
+    whole = Window.partitionBy(*keys, run)
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+    rows = rows.withColumns({f"_{c}{d}": F.lead(c, d).over(w) if d >= 0 else F.lag(c, -d).over(w) for c in values for d in range(1 - window, window)})
+
+    def smooth(c: str) -> Column:
+        terms = lambda weights, first: sum((float(weights[j]) * F.col(f"_{c}{first + j}") for j in range(len(weights))), F.lit(0.0))
+        out = F.col(c)
+        for n in range(5, window + 1, 2):
             weights, half = savgol_weights(n), n // 2
-            for c in values:
-                v = rows[c].to_numpy(float)
-                inner = np.convolve(v, weights[half][::-1], mode="valid")
-                rows[c] = np.concatenate([weights[:half] @ v[:n], inner, weights[half + 1:] @ v[-n:]])
-        return rows
+            fits = F.when((F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half), terms(weights[half], -half))
+            for k in range(half):
+                fits = fits.when(F.col("_i") == k, terms(weights[k], -k)).when(F.col("_i") == F.col("_n") - 1 - k, terms(weights[n - 1 - k], 1 - n + k))
+            out = F.when((F.col("_n") >= n) & (F.col("_n") < n + 2 if n < window else F.lit(True)), fits).otherwise(out)
+        return out
 
-    return df.groupBy(*keys, run).applyInPandas(smooth, df.schema)
+    return rows.select(*[smooth(c).alias(c) if c in values else c for c in df.columns])
 
 
 def kinematics(samples: DataFrame, fastest: float = 12.0, longest_gap: float = 1.0, hz: float = HZ) -> DataFrame:
@@ -179,6 +187,17 @@ def kinematics(samples: DataFrame, fastest: float = 12.0, longest_gap: float = 1
     return out.withColumn("speed", speed)
 
 
+def half_times(segments: DataFrame, durations: DataFrame, shortest: float = 180.0) -> DataFrame:
+    """(match_id, half_s): the middle of the longest stop of three minutes or more in the match's middle part, else half its duration.
+
+    ``durations`` is (match_id, duration_s); the middle part is from 30 to 70 per cent.
+    """
+    stop, middle = F.col("end_s") - F.col("start_s"), (F.col("end_s") + F.col("start_s")) / 2
+    stops = segments.where("state <> 'in_play'").join(durations, "match_id").where((stop >= shortest) & middle.between(0.3 * F.col("duration_s"), 0.7 * F.col("duration_s")))
+    best = stops.groupBy("match_id").agg(F.max_by(middle, F.struct(stop, -middle)).alias("half_s"))
+    return durations.join(best, "match_id", "left").select("match_id", F.coalesce("half_s", F.col("duration_s") / 2).alias("half_s"))
+
+
 def player_stats(kin: DataFrame, signs: DataFrame, sprint: float = 7.0, sprint_s: float = 1.0, intense: float = 5.5, hz: float = HZ) -> DataFrame:
     """Per player: seconds, distance, p99 speed, sprints, high-intensity metres and thirds; ``signs`` has each team's attacking sign."""
     keys = ["match_id", "track_id", "team"]
@@ -186,7 +205,7 @@ def player_stats(kin: DataFrame, signs: DataFrame, sprint: float = 7.0, sprint_s
     sprints = fast.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= np.ceil(sprint_s * hz)).groupBy(*keys).agg(F.count(F.lit(1)).alias("sprints"))
     third = exprs.third(F.col("x"), F.coalesce("sign", F.lit(1)))
     share = lambda n, name: F.round(100.0 * F.count_if(third == n) / F.count(F.lit(1)), 1).alias(name)
-    base = kin.join(F.broadcast(signs), ["match_id", "team"], "left").groupBy(*keys).agg(
+    base = with_sign(kin, signs, "grid_t", "left").groupBy(*keys).agg(
         (F.count(F.lit(1)) / hz).alias("seconds"), F.sum("step").alias("distance_m"), F.percentile("speed", F.lit(0.99)).alias("top_speed"),
         F.sum(F.when(F.col("speed") > intense, F.col("step")).otherwise(0.0)).alias("intense_m"), share(0, "own_pct"), share(1, "middle_pct"), share(2, "attack_pct"))
     return base.join(sprints, keys, "left").fillna(0, ["sprints"])
@@ -203,10 +222,30 @@ def heatmap(kin: DataFrame, columns: int = 21, rows: int = 14) -> DataFrame:
 
 
 def attack_signs(kin: DataFrame, halves: DataFrame | None = None) -> DataFrame:
-    """(match_id, team, sign): +1 for the team whose median is further left, which plays to the right."""
-    medians = kin.where(F.col("team").isin(0, 1)).groupBy("match_id").pivot("team", [0, 1]).agg(F.median("x"))
-    sign = F.when(F.col("0") <= F.col("1"), 1).otherwise(-1)
-    return medians.select("match_id", F.explode(F.array(F.struct(F.lit(0).alias("team"), sign.alias("sign")), F.struct(F.lit(1).alias("team"), (-sign).alias("sign")))).alias("s")).select("match_id", "s.team", "s.sign")
+    """(match_id, team, sign, from_s, to_s): +1 while the team plays to the right, which is the one whose median is further left.
+
+    With ``halves`` (match_id, half_s) each half is judged by its own samples; a half without samples of both teams
+    has the other half's sides changed round.
+    """
+    forever = float("inf")
+    rows = kin.where(F.col("team").isin(0, 1))
+    rows = rows.withColumn("half_s", F.lit(forever)) if halves is None else rows.join(halves, "match_id")
+    medians = rows.groupBy("match_id", "half_s").agg(*[
+        F.median(F.when((F.col("team") == team) & ((F.col("grid_t") < F.col("half_s")) == (half == 0)), F.col("x"))).alias(f"m{team}{half}") for team in (0, 1) for half in (0, 1)])
+    left = lambda half: F.when(F.col(f"m0{half}").isNotNull() & F.col(f"m1{half}").isNotNull(), F.when(F.col(f"m0{half}") <= F.col(f"m1{half}"), 1).otherwise(-1))
+    signs = medians.withColumn("first", F.coalesce(left(0), -left(1), F.lit(1))).withColumn("second", F.coalesce(left(1), -left(0), F.lit(-1)))
+    part = lambda team, sign, a, b: F.struct(F.lit(team).alias("team"), sign.cast("int").alias("sign"), a.alias("from_s"), b.alias("to_s"))
+    parts = [part(team, F.col(c) * (1 if team == 0 else -1), *((F.lit(-forever), F.col("half_s")) if c == "first" else (F.col("half_s"), F.lit(forever)))) for team in (0, 1) for c in ("first", "second")]
+    return signs.select("match_id", F.explode(F.array(*parts)).alias("s")).select("match_id", "s.*").where("from_s < to_s")
+
+
+def with_sign(rows: DataFrame, signs: DataFrame, t: str, how: str = "inner", by: str = "team") -> DataFrame:
+    """Rows with the attacking sign of their team at time ``t`` (or, ``by="sign"``, the team that has their sign then)."""
+    if "from_s" not in signs.columns:
+        signs = signs.withColumns({"from_s": F.lit(-float("inf")), "to_s": F.lit(float("inf"))})
+    during = signs.withColumnsRenamed({"match_id": "_match", by: f"_{by}"})
+    test = (F.col("match_id") == F.col("_match")) & (F.col(by) == F.col(f"_{by}")) & (F.col(t) >= F.col("from_s")) & (F.col(t) < F.col("to_s"))
+    return rows.join(during, test, how).drop("_match", f"_{by}", "from_s", "to_s")
 
 
 # --- touches, passes, possession --------------------------------------------------------------------------------
@@ -273,10 +312,25 @@ def team_stats(owned: DataFrame, passed: DataFrame) -> DataFrame:
     return poss.join(made, ["match_id", "team"], "left").fillna(0, ["passes"])
 
 
-def momentum(owned: DataFrame, shots: DataFrame, bin_s: float = 60.0, alpha: float = 0.4) -> DataFrame:
-    """(match_id, bin, possession_pct, momentum) for every minute: shots' balance as an average scaled to its largest swing."""
-    rows = owned.select("match_id", F.floor(F.col("t") / bin_s).alias("bin"), "code", F.lit(0).alias("balance")).unionByName(
-        shots.select("match_id", F.floor(F.col("t") / bin_s).alias("bin"), F.lit(-1).alias("code"), F.when(F.col("team") == 0, 1).otherwise(-1).alias("balance")))
+def progression(ball: DataFrame, owned: DataFrame, signs: DataFrame, hz: float = HZ) -> DataFrame:
+    """(match_id, t, team, metres): how far each grid step of the ball went towards the goal of the team in possession's opponent."""
+    moving = ball.where("vx IS NOT NULL").select("match_id", F.col("grid_t").alias("t"), "vx")
+    held = ts.asof_backward(moving, owned.select("match_id", F.col("t").alias("own_t"), "code"), MATCH, "t", "own_t", "own")
+    rows = held.select("match_id", "t", "vx", F.col("own.code").alias("team")).where("team >= 0")
+    return with_sign(rows, signs, "t").select("match_id", "t", "team", (F.greatest(F.lit(0.0), F.col("vx") * F.col("sign")) / hz).alias("metres"))
+
+
+def momentum(owned: DataFrame, shots: DataFrame, progress: DataFrame | None = None, bin_s: float = 60.0, alpha: float = 0.4, shot_metres: float = 15.0) -> DataFrame:
+    """(match_id, bin, possession_pct, momentum) for every minute: the balance as an average scaled to its largest swing.
+
+    The balance is of shots and, with ``progress`` (match_id, t, team, metres), of metres, ``shot_metres`` of them a shot.
+    """
+    side = F.when(F.col("team") == 0, 1.0).otherwise(-1.0)
+    moves = shots.select("match_id", "t", side.alias("balance"))
+    if progress is not None:
+        moves = moves.unionByName(progress.select("match_id", "t", (side * F.col("metres") / shot_metres).alias("balance")))
+    rows = owned.select("match_id", F.floor(F.col("t") / bin_s).alias("bin"), "code", F.lit(0.0).alias("balance")).unionByName(
+        moves.select("match_id", F.floor(F.col("t") / bin_s).alias("bin"), F.lit(-1).alias("code"), "balance"))
     known = F.count_if(F.col("code") >= 0)
     bins = ts.dense_bins(rows, MATCH, "bin", F.max("bin") + 1, {"home": F.count_if(F.col("code") == 0), "known": known, "balance": F.sum("balance")})
     whole = bins.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("bin", "home", "known", "balance"))).alias("s"))
@@ -305,21 +359,58 @@ def goal_candidates(ball: DataFrame, half_length: float = 52.5, mouth: float = 3
     return found.join(kept, ["match_id", "side", "t"]).select("match_id", "t", "side", "confidence")
 
 
-def shots(touched: DataFrame, ball: DataFrame, signs: DataFrame, goals: DataFrame, slowest: float = 10.0, launch_s: float = 0.6, window_s: float = 3.0, half_length: float = 52.5, mouth: float = 3.66) -> DataFrame:
-    """(match_id, t, team, track_id, speed, on_target, goal): the ball leaves a touch fast towards the goal and gets near it."""
-    launched = touched.join(F.broadcast(signs), ["match_id", "team"]).withColumn("until", F.col("t") + window_s).withColumnsRenamed({"x": "tx", "y": "ty"})
+def judge_goals(candidates: DataFrame, least: float = 0.7, rejected: float = 0.59, refuted: float = 0.35, most: float = 0.98) -> DataFrame:
+    """Candidates with ``confidence``, ``corroborated`` and ``verdict`` (goal, shot or chance).
+
+    Columns: base, strong and reached_mouth booleans, kickoff ("players", "ball_only" or null), have_tracks,
+    peak (strength of a crowd peak or null), spread_ratio (of the scoring team, below 0.75 is a celebration),
+    independent (other signals that agree) and reappeared (the ball was back in play far from the goal).
+    """
+    celebrated = F.coalesce(F.col("spread_ratio") < 0.75, F.lit(False))
+    players, ball_only = F.coalesce(F.col("kickoff") == "players", F.lit(False)), F.coalesce(F.col("kickoff") == "ball_only", F.lit(False))
+    heard = F.col("peak").isNotNull()
+    bonus = F.when(players, 0.20).when(ball_only, 0.05).otherwise(0.0) + F.when(heard, 0.17).otherwise(0.0) + F.when(celebrated, 0.08).otherwise(0.0)
+    signals = F.col("independent") + heard.cast("int") + celebrated.cast("int")
+    backed = F.when(F.col("strong"), (signals >= 2) | players | (ball_only & ~F.col("have_tracks")) | heard).otherwise(players & (signals >= 3)) & ~F.col("reappeared")
+    score = F.least(F.lit(most), F.when(F.col("reappeared"), F.least(F.col("base") + bonus, F.lit(refuted))).otherwise(F.col("base") + bonus))
+    goal = F.col("corroborated") & (F.col("confidence") >= least - 1e-9)
+    rows = candidates.withColumn("corroborated", backed).withColumn("confidence", score)
+    rows = rows.withColumn("verdict", F.when(goal, "goal").when(F.col("strong") | F.col("reached_mouth"), "shot").otherwise("chance"))
+    return rows.withColumn("confidence", F.when(F.col("verdict") == "goal", F.col("confidence")).otherwise(F.least("confidence", F.lit(rejected))))
+
+
+def shots(touched: DataFrame, ball: DataFrame, signs: DataFrame, goals: DataFrame, slowest: float = 10.0, launch_s: float = 0.6, window_s: float = 3.0, half_length: float = 52.5, mouth: float = 3.66, inferred_s: float = 8.0) -> DataFrame:
+    """(match_id, t, team, track_id, speed, on_target, goal): the ball leaves a touch fast towards the goal and gets near it.
+
+    A goal belongs to the first touch of its attackers in the ``window_s`` before it, however slow; a goal that none
+    claims gives a shot of their last touch within ``inferred_s``, or of the team.
+    """
+    launched = with_sign(touched, signs, "t").withColumn("until", F.col("t") + window_s).withColumnsRenamed({"x": "tx", "y": "ty"})
     flight = ts.range_join(ball.where("visible").select("match_id", "grid_t", "x", "y", "vx", "speed"), launched, MATCH, "grid_t", "t", "until", window_s, closed=True)
     along = F.col("vx") * F.col("sign")
     depth = F.col("x") * F.col("sign")
-    found = flight.groupBy("match_id", "t", "team", "track_id", "sign").agg(
+    flown = flight.groupBy("match_id", "t", "team", "track_id", "sign").agg(
         F.max(F.when((F.col("grid_t") <= F.col("t") + launch_s) & (along > 0), F.col("speed"))).alias("speed"), F.max(depth).alias("depth"),
         F.min(F.when(depth >= half_length - 5.5, F.abs(F.col("y")))).alias("off_axis"))
-    found = found.where((F.col("speed") >= slowest) & (F.col("depth") >= half_length - 5.5) & (F.col("off_axis") <= 9.16))
     goal = goals.select("match_id", F.col("t").alias("goal_t"), F.when(F.col("side") == "right", 1).otherwise(-1).alias("sign"))
-    linked = found.join(F.broadcast(goal), ["match_id", "sign"]).where(F.col("goal_t").between(F.col("t"), F.col("t") + window_s))
-    last = linked.groupBy("match_id", "goal_t", "sign").agg(F.max("t").alias("t")).select("match_id", "t", "sign", F.lit(True).alias("goal")).distinct()
-    out = found.join(last, ["match_id", "t", "sign"], "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
-    return out.select("match_id", "t", "team", "track_id", "speed", (F.col("goal") | (F.col("off_axis") <= mouth + 1.5)).alias("on_target"), "goal")
+    linked = flown.join(goal, ["match_id", "sign"]).where(F.col("goal_t").between(F.col("t"), F.col("t") + window_s))
+    claimed = linked.groupBy("match_id", "goal_t", "sign").agg(F.min(F.struct("t", "track_id")).alias("s"))
+    scored = claimed.select("match_id", "s.t", "s.track_id", "sign", F.lit(True).alias("goal")).distinct()
+    out = flown.join(scored, ["match_id", "t", "track_id", "sign"], "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
+    near = F.coalesce((F.col("speed") >= slowest) & (F.col("depth") >= half_length - 5.5) & (F.col("off_axis") <= 9.16), F.lit(False))
+    on_target = F.col("goal") | F.coalesce(F.col("off_axis") <= mouth + 1.5, F.lit(False))
+    found = out.where(near | F.col("goal")).select("match_id", "t", "team", "track_id", "speed", on_target.alias("on_target"), "goal")
+    return found.unionByName(inferred_shots(touched, goal.join(claimed.select("match_id", "goal_t", "sign"), ["match_id", "goal_t", "sign"], "left_anti"), signs, inferred_s))
+
+
+def inferred_shots(touched: DataFrame, goals: DataFrame, signs: DataFrame, within: float = 8.0) -> DataFrame:
+    """Shots of goals (match_id, goal_t, sign) that no touch claims: of the scorers' last touch within ``within`` seconds, or of the team."""
+    of_team = with_sign(goals, signs, "goal_t", by="sign")
+    last = ts.asof_backward(of_team, touched.select("match_id", "team", F.col("t").alias("touch_t"), "track_id"), ["match_id", "team"], "goal_t", "touch_t", "touch")
+    fresh = F.col("goal_t") - F.col("touch.touch_t") <= within
+    return last.select(
+        "match_id", F.when(fresh, F.col("touch.touch_t")).otherwise(F.col("goal_t")).alias("t"), "team", F.when(fresh, F.col("touch.track_id")).alias("track_id"),
+        F.lit(0.0).alias("speed"), F.lit(True).alias("on_target"), F.lit(True).alias("goal"))
 
 
 def set_pieces(ball: DataFrame, still: float = 0.6, shortest: float = 1.2, kick: float = 4.0, half_length: float = 52.5, half_width: float = 34.0) -> DataFrame:
@@ -358,7 +449,7 @@ def area_entries(near: DataFrame, signs: DataFrame, quiet: float = 8.0, depth: f
     w = Window.partitionBy("match_id").orderBy("g")
     edges = near.withColumn("inside", inside).withColumn("was", F.lag("inside").over(w)).where("inside AND NOT coalesce(was, false)").withColumn("sign", F.when(F.col("bx") > 0, 1).otherwise(-1))
     kept = ts.debounce(edges, ["match_id", "sign"], "grid_t", quiet)
-    rows = kept.join(F.broadcast(signs), ["match_id", "sign"])
+    rows = with_sign(kept, signs, "grid_t", by="sign")
     return rows.select("match_id", F.lit("chance").alias("type"), F.col("grid_t").alias("t"), F.col("grid_t").alias("t_start"), F.col("grid_t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), F.lit(0.45).alias("confidence"))
 
 
@@ -369,13 +460,23 @@ def merge_events(events: DataFrame, gap: float = 3.0) -> DataFrame:
     return rows.groupBy("match_id", "type", "_team", "island").agg(best, F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.count(F.lit(1)).alias("merged")).select("match_id", "type", "b.*", "t_start", "t_end", "merged")
 
 
-def score_events(events: DataFrame, peaks: DataFrame | None = None, window: float = 4.0, bonus: float = 0.15, pre: float = 4.0, longest_post: float = 10.0) -> DataFrame:
-    """Numbered events with excitement and clip window; ``peaks`` (match_id, peak_t, strength) adds the strongest peak nearby."""
+def score_events(events: DataFrame, peaks: DataFrame | None = None, window: float = 4.0, bonus: float = 0.15, pre: float = 4.0, longest_post: float = 10.0, where: DataFrame | None = None, focus: int | None = None) -> DataFrame:
+    """Numbered events with excitement and clip window; ``peaks`` (match_id, peak_t, strength) adds the strongest peak nearby.
+
+    ``where`` (match_id, t, type, x) adds up to 0.1 the nearer the event is to a goal line, in metres from the centre
+    spot; ``focus`` adds 0.15 to the events of a player.
+    """
     scored = events.withColumn("excitement", exprs.base_excitement(F.col("type"), F.lit(False), F.lit(None).cast("string")))
     if peaks is not None:
         near = ts.range_join(peaks, events.select("match_id", "type", "t", (F.col("t") - window).alias("lo"), (F.col("t") + window).alias("hi")), MATCH, "peak_t", "lo", "hi", 2 * window, closed=True)
         best = near.groupBy("match_id", "type", "t").agg(F.max("strength").alias("strength"))
         scored = scored.join(best, ["match_id", "type", "t"], "left").withColumn("excitement", F.col("excitement") + bonus * F.coalesce("strength", F.lit(0.0))).drop("strength")
+    if where is not None:
+        placed = where.groupBy("match_id", "t", "type").agg(F.max(F.abs("x")).alias("_x"))
+        closeness = F.greatest(F.lit(0.0), 1.0 - F.abs(52.5 - F.col("_x")) / (0.35 * 105.0))
+        scored = scored.join(placed, ["match_id", "t", "type"], "left").withColumn("excitement", F.col("excitement") + 0.10 * F.coalesce(closeness, F.lit(0.0))).drop("_x")
+    if focus is not None:
+        scored = scored.withColumn("excitement", F.col("excitement") + F.when(F.col("track_id") == focus, 0.15).otherwise(0.0))
     number = F.row_number().over(Window.partitionBy("match_id").orderBy("t", "type", "team"))
     return scored.withColumn("excitement", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "excitement"))).withColumn("t_start", F.greatest(F.lit(0.0), F.least("t_start", F.col("t") - pre))).withColumn(
         "t_end", F.least(F.greatest("t_end", F.col("t") + 1.0), F.col("t") + longest_post)).withColumn("event_id", F.format_string("ev_%04d", number))
@@ -408,19 +509,20 @@ def plan_reel(events: DataFrame, target_s: float, must: tuple[str, ...] = ("goal
     return events.groupBy("match_id").applyInPandas(run, f"match_id {dict(events.dtypes)['match_id']}, clip int, start_s double, end_s double, event_ids array<string>")
 
 
-def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, halves: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The whole chain over samples (match_id, track_id, team, t, x, y) and raw ball detections (match_id, t, x, y), in metres.
 
     ``keep`` is applied to what several results share: DataFrame.cache, or a function that writes and reads back.
+    ``halves`` (match_id, half_s) says when the teams change sides; without it they don't.
     """
     kin = keep(kinematics(samples))
     ball = keep(ball_on_grid(filter_ball(ball_raw, frame_width, base_gate=6.0)))
-    segments, near, signs = keep(game_states(ball)), keep(nearest_players(ball, kin)), attack_signs(kin)
+    segments, near, signs = keep(game_states(ball)), keep(nearest_players(ball, kin)), keep(attack_signs(kin, halves))
     touched, goals = keep(touches(near)), goal_candidates(ball)
     passed, owned, shot = passes(touched, segments), possession(near, touched, segments), shots(touched, ball, signs, goals)
     side = F.when(F.col("side") == "right", 1).otherwise(-1)
-    goal_events = goals.withColumn("sign", side).join(F.broadcast(signs), ["match_id", "sign"]).select("match_id", F.lit("goal").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), "confidence")
+    goal_events = with_sign(goals.withColumn("sign", side), signs, "t", by="sign").select("match_id", F.lit("goal").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), "confidence")
     shot_events = shot.where("NOT goal").select("match_id", F.lit("shot").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", "track_id", F.lit(0.6).alias("confidence"))
     found = goal_events.unionByName(shot_events).unionByName(sprint_events(kin)).unionByName(turnover_events(owned)).unionByName(area_entries(near, signs))
     events = score_events(merge_events(found))
-    return {"kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot, "set_pieces": set_pieces(ball), "events": events, "player_stats": player_stats(kin, signs), "team_stats": team_stats(owned, passed), "momentum": momentum(owned, shot)}
+    return {"kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot, "set_pieces": set_pieces(ball), "events": events, "player_stats": player_stats(kin, signs), "team_stats": team_stats(owned, passed), "momentum": momentum(owned, shot, progression(ball, owned, signs))}

@@ -5,10 +5,13 @@ All are DataFrame to DataFrame and partition by ``keys`` (a match, or a match an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, right_t: str, name: str = "asof", fall_back_to_first: bool = False) -> DataFrame:
@@ -119,14 +122,46 @@ def debounce(df: DataFrame, keys: Sequence[str], t: str, gap) -> DataFrame:
     return folded.select(*keys, F.explode(kept_by_debounce(F.col("_times"), gap)).alias(t))
 
 
+def fold_rows(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, Callable], types: str = "double") -> DataFrame:
+    """``df`` with columns that fold over each key's rows in order: each function maps a sorted pandas frame to an array.
+
+    One pass and one task a key, in time linear in its rows; for long series, where the array forms below would copy
+    the array at each step. A key's rows must fit into a task, as one match's do.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        return rows.assign(**{name: fold(rows) for name, fold in columns.items()})
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T._parse_datatype_string(types)) for name in columns]])
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def followed(values: np.ndarray, step: float) -> np.ndarray:
+    """Each value follows the one before it by at most ``step``."""
+    out = np.array(values, float)
+    for i in range(1, len(out)):
+        out[i] = out[i - 1] + min(max(out[i] - out[i - 1], -step), step)
+    return out
+
+
+def smoothed(values: np.ndarray, alpha: float, start: float | None = None) -> np.ndarray:
+    """Exponential moving average, from ``start`` or the first value."""
+    out = np.array(values, float)
+    last = out[0] if start is None and len(out) else start
+    for i, x in enumerate(out):
+        out[i] = last = alpha * x + (1 - alpha) * last
+    return out
+
+
 def ema(values: Column, alpha: float) -> Column:
-    """Exponential moving average of an array, from 0."""
+    """Exponential moving average of a short array, from 0; see ``fold_rows`` for long series."""
     step = lambda acc, x: F.array_append(acc, alpha * x + (1 - alpha) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))
     return F.aggregate(values, F.array().cast("array<double>"), step)
 
 
 def slew(values: Column, step: float) -> Column:
-    """An array whose neighbours differ by at most ``step``: each value follows the one before it."""
+    """A short array whose neighbours differ by at most ``step``; see ``fold_rows`` for long series."""
     def follow(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         return F.array_append(acc, F.when(last.isNull(), x).otherwise(last + F.greatest(F.lit(-step), F.least(F.lit(step), x - last))))

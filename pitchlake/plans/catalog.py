@@ -114,7 +114,7 @@ ROSTER = "CASE p_partkey % 2 WHEN 0 THEN 'home' ELSE 'away' END"
 
 
 @query(f"""
-WITH r AS (SELECT p_partkey AS entry_id, p_partkey % 5 AS match_id, {ROSTER} AS team_side, CAST(p_size AS VARCHAR) AS jersey FROM part WHERE p_partkey <= 100),
+WITH r AS (SELECT p_partkey AS entry_id, p_partkey % 5 AS match_id, {ROSTER} AS team_side, CAST(p_size AS VARCHAR) AS jersey FROM part),
  x AS (SELECT match_id, team_side, jersey, max(entry_id) AS e FROM r GROUP BY ALL), l AS (SELECT match_id, jersey, min(entry_id) AS e FROM r GROUP BY ALL HAVING count(*) = 1),
  v AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS match_id, CASE l_linenumber % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' END AS side,
    CAST(CAST(l_quantity AS INT) AS VARCHAR) AS jersey, CASE WHEN l_tax > 0.07 THEN 1 END AS had FROM lineitem),
@@ -123,7 +123,7 @@ SELECT match_id, CASE WHEN had IS NOT NULL THEN 'already_routed' WHEN entry IS N
  sum(CASE WHEN had IS NULL THEN entry END) AS entries FROM m GROUP BY ALL
 """)
 def route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roster = table(spark, sf_dir, "part").where("p_partkey <= 100").select(
+    roster = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("entry_id"), (F.col("p_partkey") % 5).alias("match_id"), F.expr(ROSTER).alias("team_side"),
         F.concat(F.lit("0"), F.col("p_size").cast("string")).alias("jersey_number"), F.col("p_partkey").alias("entry_order"))
     events = table(spark, sf_dir, "lineitem").select(
@@ -142,13 +142,13 @@ def timings_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 = 0), u AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 20 = 0)
+WITH c AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), u AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 20 = 0)
 SELECT * FROM u UNION ALL SELECT * FROM c WHERE o_orderkey NOT IN (SELECT o_orderkey FROM u)
 """)
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     changes = o.where("o_orderkey % 20 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
-    return control.upsert(o.where("o_orderkey % 10 = 0"), changes, ["o_orderkey"])
+    return control.upsert(o, changes, ["o_orderkey"])
 
 
 @query("""
@@ -175,10 +175,10 @@ def source_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, lower(replace(rtrim(to_base64(encode(CAST(event_id AS VARCHAR))), '='), '+', '-')) AS cursor, event_id AS back,
- printf('%d:%02d', CAST(round_even(event_id / 7.0, 0) AS BIGINT) // 60, CAST(round_even(event_id / 7.0, 0) AS BIGINT) % 60) AS clock FROM events WHERE event_id < 3000
+ printf('%d:%02d', CAST(round_even(event_id / 7.0, 0) AS BIGINT) // 60, CAST(round_even(event_id / 7.0, 0) AS BIGINT) % 60) AS clock FROM events
 """)
 def cursor_and_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 3000").withColumn("cursor", exprs.encode_cursor(F.col("event_id")))
+    e = table(spark, sf_dir, "events").withColumn("cursor", exprs.encode_cursor(F.col("event_id")))
     return e.select("event_id", F.lower("cursor").alias("cursor"), exprs.decode_cursor(F.col("cursor")).cast("long").alias("back"), exprs.format_clock(F.col("event_id") / 7.0).alias("clock"))
 
 

@@ -1,4 +1,8 @@
-"""Match analytics as registered queries: sequential operators that SQL doesn't express, so rows only."""
+"""Match analytics over the driver's events: sequential operators that SQL doesn't express, so rows only.
+
+A match is the month of 22 users, 21 players and a ball; hours stand for seconds. So matches grow in number with the
+users and each stays bounded.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +12,31 @@ from pyspark.sql import functions as F
 from pitchlake.operators import match
 from pitchlake.plans.registry import query
 from pitchlake.plans.tables import tracks
-from pitchlake.sources.synthetic import BALL, synthetic_matches
+
+CROWD, BALL = 22, 21
 
 
-_shared: dict[str, dict[str, DataFrame]] = {}
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, track_id, team, t, x, y, event_id, state): one row for each player and time, the least event of them."""
+    rows = tracks(spark, sf_dir).select(
+        F.floor(F.col("track") / CROWD).alias("match_id"), (F.col("track") % CROWD).cast("int").alias("track_id"), (F.col("track") % 2).cast("int").alias("team"),
+        (F.col("us") / 3600e6 - 473_352).alias("t"), (F.col("x") - 50.0).alias("x"), (F.col("y") * 0.7 - 35.0).alias("y"), "event_id", "state")
+    same = rows.groupBy("match_id", "track_id", "t").agg(F.min_by(F.struct("team", "x", "y", "event_id", "state"), "event_id").alias("r"))
+    return same.select("match_id", "track_id", "t", "r.*")
 
 
-def _analysis(spark: SparkSession) -> dict[str, DataFrame]:
-    """One analysis for each application: its queries share the cached intermediates."""
-    app = spark.sparkContext.applicationId
-    if app not in _shared:
-        rows = synthetic_matches(spark, 4).cache()
-        _shared[app] = match.analyse(rows.where(F.col("track_id") != BALL), rows.where(F.col("track_id") == BALL), keep=DataFrame.cache)
-    return _shared[app]
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Players at ten times the pace, so that a walk of hours is one of seconds, and the ball."""
+    rows = _bound(spark, sf_dir).withColumn("t", F.col("t") / 10)
+    players = rows.where(F.col("track_id") != BALL).select("match_id", "track_id", "team", "t", "x", "y")
+    return players, rows.where(F.col("track_id") == BALL).select("match_id", "t", "x", "y")
 
 
 def _part(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _analysis(spark)[name]
+        players, ball = _samples(spark, sf_dir)
+        halves = players.select("match_id").distinct().withColumn("half_s", F.lit(36.0))
+        return match.analyse(players, ball, halves=halves)[name]
 
     run.__name__ = f"match_{name}"
     return query()(run)
@@ -36,8 +47,7 @@ for _name in ("segments", "goals", "touches", "passes", "shots", "set_pieces", "
 
 
 def _bound_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events as ball samples: hours for seconds, scaled to a pitch."""
-    return tracks(spark, sf_dir).select((F.col("track") % 11).alias("match_id"), (F.col("us") / 3600e6 - 473_000).alias("t"), (F.col("x") - 50.0).alias("x"), (F.col("y") * 0.7 - 35.0).alias("y"))
+    return _bound(spark, sf_dir).groupBy("match_id", "t").agg(F.min_by(F.struct("x", "y"), "event_id").alias("p")).select("match_id", "t", "p.*")
 
 
 @query()
@@ -47,10 +57,12 @@ def ball_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fsm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.game_states(match.ball_on_grid(_bound_ball(spark, sf_dir).dropDuplicates(["match_id", "t"]), 2.0, 0.5, 1.0))
+    return match.game_states(match.ball_on_grid(_bound_ball(spark, sf_dir), 2.0, 0.5, 1.0))
 
 
 @query()
 def reel_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracks(spark, sf_dir).select((F.col("track") % 11).alias("match_id"), F.col("event_id").cast("string").alias("event_id"), F.col("state").alias("type"), (F.col("us") / 1e6).alias("t"), (F.col("x") / 500).alias("excitement"), (F.col("y") / 100).alias("confidence"))
-    return match.plan_reel(rows.withColumn("t_start", F.col("t") - 60).withColumn("t_end", F.col("t") + 120).where("excitement > 0.3"), 3600.0, ("error",))
+    rows = _bound(spark, sf_dir).select(
+        "match_id", F.col("event_id").cast("string").alias("event_id"), F.col("state").alias("type"), F.col("t") * 3600, ((F.col("x") + 50) / 500).alias("excitement"),
+        ((F.col("y") + 35) / 70).alias("confidence")).toDF("match_id", "event_id", "type", "t", "excitement", "confidence")
+    return match.plan_reel(rows.withColumn("t_start", F.col("t") - 60).withColumn("t_end", F.col("t") + 120), 3600.0, ("error",))

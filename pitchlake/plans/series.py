@@ -38,7 +38,7 @@ def nearest_in_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TRACKS_SQL}, s AS (SELECT track, us / 3600e6 AS t, x, y FROM tracks WHERE track < 40),
+WITH {TRACKS_SQL}, s AS (SELECT track, us / 3600e6 AS t, x, y FROM tracks),
  n AS (SELECT track, t, x, y, lead(t) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY track ORDER BY t)),
  g AS (SELECT *, unnest(generate_series(CAST(ceil(t - 1e-9) AS BIGINT), coalesce(CAST(ceil(t2 - 1e-9) AS BIGINT) - 1, CAST(floor(t + 1e-9) AS BIGINT)))) AS g FROM n)
 SELECT track, g, CASE WHEN coalesce(t2 - t <= 6.0, false) OR least(abs(g - t), coalesce(abs(t2 - g), 1e300)) <= 0.5 THEN true ELSE false END AS observed,
@@ -47,7 +47,7 @@ SELECT track, g, CASE WHEN coalesce(t2 - t <= 6.0, false) OR least(abs(g - t), c
 """)
 def grid_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly positions by interpolation, null inside gaps of more than six hours."""
-    t = tracks(spark, sf_dir).where("track < 40").select("track", (F.col("us") / 3600e6).alias("t"), "x", "y")
+    t = tracks(spark, sf_dir).select("track", (F.col("us") / 3600e6).alias("t"), "x", "y")
     return ts.resample_grid(t, ["track"], "t", ["x", "y"], 1.0, 6.0, 0.5).select("track", "g", "observed", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -150,7 +150,7 @@ SELECT k.state, g AS bin, coalesce(c.n, 0) AS n, coalesce(c.total, 0) AS total F
 def timeline_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
     start = t.agg(F.min("us").alias("t0"))
-    rows = t.join(F.broadcast(start)).withColumn("bin", F.floor((F.col("us") - F.col("t0")) / (24 * HOUR)))
+    rows = t.join(start).withColumn("bin", F.floor((F.col("us") - F.col("t0")) / (24 * HOUR)))
     return ts.dense_bins(rows, ["state"], "bin", F.max("bin") + 1, {"n": F.count(F.lit(1)), "total": F.round(F.sum("x"), 4)})
 
 

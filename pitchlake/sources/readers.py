@@ -10,8 +10,9 @@ from pitchlake.sources import schemas
 
 #: Header names that a roster file may use.
 ROSTER_ALIASES = {
-    "player_name": ("player_name", "name", "player"), "jersey_number": ("jersey_number", "jersey", "number", "shirt_number"),
-    "position": ("position", "pos"), "email": ("email", "e_mail"), "team_side": ("team_side", "side", "team"),
+    "player_name": ("player_name", "name", "player", "full_name"),
+    "jersey_number": ("jersey_number", "jersey", "number", "shirt_number", "shirt", "kit_number"),
+    "position": ("position", "pos", "field_position"), "email": ("email", "e_mail", "e-mail", "email_address"), "team_side": ("team_side", "side", "team"),
 }
 
 
@@ -59,11 +60,13 @@ def read_roster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows of a roster CSV with any known header names.
 
     A row needs a name and a number; of rows with one side and number the first counts, the others are rejected.
+    Of several columns for one field the first counts.
     """
     raw = spark.read.csv(path, header=True)
     names = {c: c.strip().lower().replace(" ", "_") for c in raw.columns}
     known = {alias: target for target, aliases in ROSTER_ALIASES.items() for alias in aliases}
-    rows = raw.select(*[F.col(f"`{c}`").alias(known[n]) for c, n in names.items() if n in known])
+    chosen = {known[n]: c for c, n in reversed(names.items()) if n in known}
+    rows = raw.select(*[F.col(f"`{c}`").alias(target) for target, c in chosen.items()])
     for missing in ROSTER_ALIASES.keys() - set(rows.columns):
         rows = rows.withColumn(missing, F.lit(None).cast("string"))
     rows = rows.select(*[F.trim(F.col(c)).alias(c) for c in ROSTER_ALIASES]).withColumn("line", F.monotonically_increasing_id())

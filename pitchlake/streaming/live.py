@@ -71,10 +71,23 @@ def write_once(rows: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 
 def upsert_batches(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Each micro-batch replaces its partitions: the latest row of every key wins."""
+    """Each micro-batch is merged into a table that is partitioned by the first key: the latest row of every key wins.
+
+    Only the partitions that a batch touches are read and written again; their other rows stay. A batch that is
+    run again after a failure gives the same table.
+    """
 
     def replace(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        latest.write.partitionBy(*keys[:1]).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        spark = batch.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        changed = batch
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            stored = spark.read.schema(batch.schema).parquet(path)
+            changed = batch.unionByName(stored.join(batch.select(keys[0]).distinct(), keys[0], "left_semi").select(batch.columns))
+        latest = changed.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
+        # what is read is about to be replaced, so the new rows are written beside it first
+        latest.write.mode("overwrite").parquet(f"{path}.merging")
+        merged = spark.read.schema(batch.schema).parquet(f"{path}.merging")
+        merged.write.partitionBy(keys[0]).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return rows.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
