@@ -7,7 +7,8 @@ Positions are metres from the centre spot unless a name ends in ``_px``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -145,24 +146,25 @@ def savgol_weights(window: int, order: int = 2) -> np.ndarray:
 def smooth_runs(df: DataFrame, keys: list[str], run: str, order: str, values: list[str], window: int = 9) -> DataFrame:
     """Savitzky-Golay over each run of samples; shorter runs take the largest odd window that fits, or stay.
 
-    A smoothed sample is a fixed weighted sum of neighbours: the middle row of weights inside, the first and last
-    rows near a run's ends. So it is lags and leads over one partitioning, and no Python.
+    A smoothed sample is a fixed weighted sum of its neighbours, by the middle row of weights inside and by the first
+    and last rows near a run's ends. So it is one window over one partitioning, and no Python.
     """
     w = Window.partitionBy(*keys, run).orderBy(order)
-    whole = Window.partitionBy(*keys, run)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
-    rows = rows.withColumns({f"_{c}{d}": F.lead(c, d).over(w) if d >= 0 else F.lag(c, -d).over(w) for c in values for d in range(1 - window, window)})
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, run)).cast("int"))
+    rows = rows.withColumns({f"_{c}": F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(1 - window, window - 1)) for c in values})
+    sizes = range(5, window + 1, 2)
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in row.tolist()) + ")" for n in sizes for row in savgol_weights(n)) + ")")
+    size = F.least(F.lit(window), F.col("_n") - (F.col("_n") + 1) % 2)
+    start = F.greatest(F.lit(0), F.least(F.col("_i") - F.floor(size / 2).cast("int"), F.col("_n") - size))
+    rows = rows.withColumns({"_size": size, "_start": start})
+    first_row = F.lit(0)
+    for n in sizes[1:]:
+        first_row = F.when(F.col("_size") == n, sum(k for k in sizes if k < n)).otherwise(first_row)
+    weights = F.element_at(table, first_row + F.col("_i") - F.col("_start") + 1)
 
     def smooth(c: str) -> Column:
-        terms = lambda weights, first: sum((float(weights[j]) * F.col(f"_{c}{first + j}") for j in range(len(weights))), F.lit(0.0))
-        out = F.col(c)
-        for n in range(5, window + 1, 2):
-            weights, half = savgol_weights(n), n // 2
-            fits = F.when((F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half), terms(weights[half], -half))
-            for k in range(half):
-                fits = fits.when(F.col("_i") == k, terms(weights[k], -k)).when(F.col("_i") == F.col("_n") - 1 - k, terms(weights[n - 1 - k], 1 - n + k))
-            out = F.when((F.col("_n") >= n) & (F.col("_n") < n + 2 if n < window else F.lit(True)), fits).otherwise(out)
-        return out
+        near = F.slice(f"_{c}", F.col("_start") - F.greatest(F.lit(0), F.col("_i") - (window - 1)) + 1, F.col("_size"))
+        return F.when(F.col("_size") < 5, F.col(c)).otherwise(F.aggregate(F.zip_with(near, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
 
     return rows.select(*[smooth(c).alias(c) if c in values else c for c in df.columns])
 
@@ -509,20 +511,36 @@ def plan_reel(events: DataFrame, target_s: float, must: tuple[str, ...] = ("goal
     return events.groupBy("match_id").applyInPandas(run, f"match_id {dict(events.dtypes)['match_id']}, clip int, start_s double, end_s double, event_ids array<string>")
 
 
-def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, halves: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
-    """The whole chain over samples (match_id, track_id, team, t, x, y) and raw ball detections (match_id, t, x, y), in metres.
+def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, halves: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The chain over samples (match_id, track_id, team, t, x, y) and raw ball detections (match_id, t, x, y), in metres.
 
     ``keep`` is applied to what several results share: DataFrame.cache, or a function that writes and reads back.
-    ``halves`` (match_id, half_s) says when the teams change sides; without it they don't.
+    ``halves`` (match_id, half_s) says when the teams change sides; without it they don't. ``only`` names the results
+    that are wanted; nothing else is built.
     """
-    kin = keep(kinematics(samples))
-    ball = keep(ball_on_grid(filter_ball(ball_raw, frame_width, base_gate=6.0)))
-    segments, near, signs = keep(game_states(ball)), keep(nearest_players(ball, kin)), keep(attack_signs(kin, halves))
-    touched, goals = keep(touches(near)), goal_candidates(ball)
-    passed, owned, shot = passes(touched, segments), possession(near, touched, segments), shots(touched, ball, signs, goals)
-    side = F.when(F.col("side") == "right", 1).otherwise(-1)
-    goal_events = with_sign(goals.withColumn("sign", side), signs, "t", by="sign").select("match_id", F.lit("goal").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), "confidence")
-    shot_events = shot.where("NOT goal").select("match_id", F.lit("shot").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", "track_id", F.lit(0.6).alias("confidence"))
-    found = goal_events.unionByName(shot_events).unionByName(sprint_events(kin)).unionByName(turnover_events(owned)).unionByName(area_entries(near, signs))
-    events = score_events(merge_events(found))
-    return {"kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot, "set_pieces": set_pieces(ball), "events": events, "player_stats": player_stats(kin, signs), "team_stats": team_stats(owned, passed), "momentum": momentum(owned, shot, progression(ball, owned, signs))}
+    once = functools.cache
+    kin = once(lambda: keep(kinematics(samples)))
+    ball = once(lambda: keep(ball_on_grid(filter_ball(ball_raw, frame_width, base_gate=6.0))))
+    segments = once(lambda: keep(game_states(ball())))
+    near = once(lambda: keep(nearest_players(ball(), kin())))
+    signs = once(lambda: keep(attack_signs(kin(), halves)))
+    touched = once(lambda: keep(touches(near())))
+    goals = once(lambda: keep(goal_candidates(ball())))
+    passed = once(lambda: passes(touched(), segments()))
+    owned = once(lambda: keep(possession(near(), touched(), segments())))
+    shot = once(lambda: keep(shots(touched(), ball(), signs(), goals())))
+
+    def events() -> DataFrame:
+        nobody, at = F.lit(None).cast("int").alias("track_id"), (F.col("t").alias("t_start"), F.col("t").alias("t_end"))
+        side = F.when(F.col("side") == "right", 1).otherwise(-1)
+        scored = with_sign(goals().withColumn("sign", side), signs(), "t", by="sign").select("match_id", F.lit("goal").alias("type"), "t", *at, "team", nobody, "confidence")
+        tried = shot().where("NOT goal").select("match_id", F.lit("shot").alias("type"), "t", *at, "team", "track_id", F.lit(0.6).alias("confidence"))
+        found = scored.unionByName(tried).unionByName(sprint_events(kin())).unionByName(turnover_events(owned())).unionByName(area_entries(near(), signs()))
+        return score_events(merge_events(found))
+
+    results = {
+        "kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot,
+        "set_pieces": lambda: set_pieces(ball()), "events": events, "player_stats": lambda: player_stats(kin(), signs()), "team_stats": lambda: team_stats(owned(), passed()),
+        "momentum": lambda: momentum(owned(), shot(), progression(ball(), owned(), signs())),
+    }
+    return {name: results[name]() for name in only or results}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pitchlake.operators import match
 from pitchlake.plans.registry import query
 from pitchlake.plans.tables import tracks
+from pitchlake.sources.working import kept
 
 CROWD, BALL = 22, 21
 
@@ -36,7 +37,7 @@ def _part(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         players, ball = _samples(spark, sf_dir)
         halves = players.select("match_id").distinct().withColumn("half_s", F.lit(36.0))
-        return match.analyse(players, ball, halves=halves)[name]
+        return match.analyse(players, ball, halves=halves, keep=kept, only=[name])[name]
 
     run.__name__ = f"match_{name}"
     return query()(run)

@@ -44,3 +44,23 @@ def test_votes_and_cards(spark):
     events = spark.createDataFrame([(1, 7, "goal", 20, "b"), (1, 7, "shot", 10, "a"), (1, 7, "goal", 30, "c")], "match_id long, player_id long, event_type string, ms long, event_id string")
     card = stats.player_cards(events, spark.createDataFrame([(1, 7), (1, 8)], "match_id long, player_id long")).orderBy("player_id").collect()
     assert card[0]["counts"] == {"goal": 2, "shot": 1} and [h["event_id"] for h in card[0]["highlights"]] == ["a", "b", "c"] and card[1]["counts"] is None
+
+
+def test_auto_pick_equals_a_plain_loop(spark):
+    import random
+
+    from pitchlake.operators import control
+
+    rnd = random.Random(3)
+    rows = [(m, i, float(i), rnd.choice([None, rnd.random()]), float(rnd.randint(2, 30))) for m in range(6) for i in range(rnd.randint(1, 25))]
+    got = control.auto_picked(spark.createDataFrame(rows, "match_id int, event_id int, t double, excitement double, length double"), 60.0).collect()
+    for m in range(6):
+        chosen, total = [], 0.0
+        for _, i, t, e, length in sorted((r for r in rows if r[0] == m), key=lambda r: (-(r[3] or 0.0), r[2])):
+            if total + length > 60 and chosen:
+                continue
+            chosen.append((t, i))
+            total += length
+            if total >= 57:
+                break
+        assert sorted((r["place"], r["event_id"]) for r in got if r["match_id"] == m) == [(n, i) for n, (_, i) in enumerate(sorted(chosen))]

@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from pitchlake.operators import match
 from pitchlake.sources.synthetic import BALL, synthetic_matches
+from pitchlake.sources.working import kept
 
 
 @pytest.fixture(scope="module")
 def analysis(spark):
     rows = synthetic_matches(spark, 2, 30.0).cache()
-    return rows, match.analyse(rows.where(F.col("track_id") != BALL), rows.where(F.col("track_id") == BALL), keep=lambda df: df.cache())
+    return rows, match.analyse(rows.where(F.col("track_id") != BALL), rows.where(F.col("track_id") == BALL), keep=kept)
 
 
 def test_both_goals_of_each_match_and_no_other(analysis):
@@ -65,3 +66,49 @@ def test_heatmap_sums_to_one_and_momentum_is_bounded(analysis):
 def test_events_have_windows_and_ids(analysis):
     rows = analysis[1]["events"].collect()
     assert rows and all(r["t_start"] <= r["t"] <= r["t_end"] and 0 <= r["excitement"] <= 1 and r["event_id"].startswith("ev_") for r in rows)
+
+
+def test_teams_change_sides_at_half_time(spark):
+    rows = [(1, k, k % 2, i, i * 10.0, (-20.0 if (k % 2 == 0) == (i < 10) else 20.0) + k, 0.0) for k in range(4) for i in range(20)]
+    kin = spark.createDataFrame(rows, "match_id long, track_id int, team int, g long, grid_t double, x double, y double")
+    halves = spark.createDataFrame([(1, 100.0)], "match_id long, half_s double")
+    signs = {(r["team"], r["from_s"] == 100.0): r["sign"] for r in match.attack_signs(kin, halves).collect()}
+    assert signs == {(0, False): 1, (0, True): -1, (1, False): -1, (1, True): 1}
+    assert {(r["team"], r["sign"]) for r in match.attack_signs(kin).collect()} == {(0, 1), (1, -1)}
+    goals = spark.createDataFrame([(1, 30.0, 1), (1, 150.0, 1)], "match_id long, goal_t double, sign int")
+    found = match.inferred_shots(spark.createDataFrame([(1, 28.0, 0, 0), (1, 100.0, 1, 1)], "match_id long, t double, track_id int, team int"), goals, match.attack_signs(kin, halves)).orderBy("t").collect()
+    assert [(r["t"], r["team"], r["track_id"]) for r in found] == [(28.0, 0, 0), (150.0, 1, None)]
+
+
+def test_half_time_is_the_longest_stop_in_the_middle(spark):
+    stops = [(1, 0.0, 500.0, "restart_left"), (1, 2500.0, 2800.0, "ball_lost"), (1, 3000.0, 3190.0, "ball_lost"), (2, 10.0, 20.0, "ball_lost"), (1, 2000.0, 2900.0, "in_play")]
+    segments = spark.createDataFrame(stops, "match_id long, start_s double, end_s double, state string")
+    found = match.half_times(segments, spark.createDataFrame([(1, 5400.0), (2, 100.0)], "match_id long, duration_s double"))
+    assert {(r["match_id"], r["half_s"]) for r in found.collect()} == {(1, 2650.0), (2, 50.0)}
+
+
+def test_savitzky_golay_equals_least_squares(spark):
+    rng = np.random.default_rng(1)
+    runs = {n: rng.normal(size=n) for n in (1, 3, 4, 5, 6, 7, 8, 9, 10, 23)}
+    rows = [(1, n, i, float(v)) for n, values in runs.items() for i, v in enumerate(values)]
+    got = match.smooth_runs(spark.createDataFrame(rows, "k int, run int, g long, x double"), ["k"], "run", "g", ["x"]).toPandas()
+    for n, values in runs.items():
+        size = min(9, n - (n + 1) % 2)
+        want = values.copy()
+        if size > 3:
+            for i in range(n):
+                a = max(0, min(i - size // 2, n - size))
+                want[i] = np.polyval(np.polyfit(np.arange(a, a + size), values[a:a + size], 2), i)
+        assert np.allclose(got[got["run"] == n].sort_values("g")["x"], want)
+
+
+def test_a_full_match_fits_its_budget(spark):
+    """90 minutes of 25 players at 10 Hz: a random walk, all statistics of players."""
+    import time
+
+    walk = spark.range(25).selectExpr("1L AS match_id", "cast(id AS int) AS track_id", "cast(id % 2 AS int) AS team", "explode(sequence(0, 53999)) AS i")
+    rows = walk.selectExpr("match_id", "track_id", "team", "i / 10D AS t", "30 * sin(i / 300D + track_id) AS x", "20 * cos(i / 200D + track_id) AS y")
+    start = time.time()
+    kin = match.kinematics(rows)
+    assert match.player_stats(kin, match.attack_signs(kin)).count() == 25
+    assert time.time() - start < 30

@@ -53,3 +53,22 @@ def test_streams_equal_their_batch_forms(spark, tmp_path):
     live.write_once(live.live_ball(source.drop("ts"), 20.0, 2.0), str(tmp_path / "ball"), str(tmp_path / "c2")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "ball"))
     assert out.where("x > 100").count() == 0 and out.count() >= 21
+
+
+def test_roster_with_two_names_for_a_field(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Name,Player,Kit Number,E-mail\nAnn,Other,7,a@x\n")
+    good, _ = readers.read_roster(spark, str(tmp_path / "r.csv"))
+    assert [(r["player_name"], r["jersey_number"], r["email"]) for r in good.collect()] == [("Ann", "7", "a@x")]
+    (tmp_path / "f.csv").write_text("Full Name,Shirt\nAnn,7\n")
+    assert readers.read_roster(spark, str(tmp_path / "f.csv"))[0].count() == 1
+
+
+def test_upserts_keep_the_rows_that_a_batch_does_not_name(spark, tmp_path):
+    schema = "match_id long, ev string, v int, ts timestamp"
+    batches = [[(1, "a", 1, 10), (2, "x", 1, 10)], [(1, "b", 2, 20)], [(1, "a", 3, 30), (1, "b", 9, 5), (3, "z", 1, 1)]]
+    for n, batch in enumerate(batches):
+        spark.createDataFrame([(m, e, v, None) for m, e, v, _ in batch], schema).withColumn("ts", F.timestamp_seconds(F.element_at(F.create_map(*[F.lit(x) for m, e, _, s in batch for x in (f"{m}{e}", s)]), F.concat("match_id", "ev")))).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.upsert_batches(stream, str(tmp_path / "out"), ["match_id", "ev"], str(tmp_path / "ck")).awaitTermination(120)
+    rows = {(r["match_id"], r["ev"]): r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {(1, "a"): 3, (1, "b"): 2, (2, "x"): 1, (3, "z"): 1}
