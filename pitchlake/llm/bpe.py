@@ -294,11 +294,12 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes the chunks of texts; remembers those it has seen."""
+    """Encodes the chunks of texts and decodes their ids; remembers those it has seen."""
 
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.known: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
 
     def learn(self, unseen: list[str]) -> None:
         pieces = [self.model.pieces(c) for c in unseen]
@@ -308,18 +309,23 @@ class Encoder:
         rare = [w for w, n in zip(words, numbers) if n < 0]
         ids |= {w: x.tobytes() for w, x in zip(rare, self.model.merge(rare))}
         for chunk, p in zip(unseen, pieces):
-            self.known[chunk] = b"".join([ids[w] if not isinstance(w, int) else w.to_bytes(4, "little") for w in p])
+            self.known[chunk] = own = b"".join([ids[w] if not isinstance(w, int) else w.to_bytes(4, "little") for w in p])
+            self.decoded[chunk] = decode(self.model, own)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; what is new in all of them is learnt together."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and what they decode to; what is new in all of them is learnt together.
+
+        Decoding joins all tokens by spaces, so a text's is its chunks' joined by spaces; every chunk has an id.
+        """
         parts = [chunks(t) for t in texts]
         unseen = set().union(*parts) - self.known.keys()
         if len(self.known) + len(unseen) > REMEMBER:
             self.known.clear()
+            self.decoded.clear()
             unseen = set().union(*parts)
         self.learn(list(unseen))
         for p in parts:
-            yield b"".join(map(self.known.__getitem__, p))
+            yield b"".join(map(self.known.__getitem__, p)), " ".join(map(self.decoded.__getitem__, p))
 
 
 def decode(model: Model, ids: bytes) -> str:
@@ -380,8 +386,7 @@ def encode_documents(docs: DataFrame, path: str, n_words: int = 32_768, with_ids
             for first in range(0, batch.num_rows, TOGETHER):
                 rows, part = [], batch.slice(first, TOGETHER)
                 texts = [text or "" for text in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                    decoded = decode(encoder.model, ids)
+                for doc_id, (ids, decoded) in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
