@@ -90,17 +90,23 @@ class Model:
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact merging of many words together: in each word always the pair of lowest rank, the leftmost first."""
-        out: list = [self.merge_long(w) if len(w) > LONG else None for w in words]
+        return [np.frombuffer(ids, "<u4") for ids in self.merged_ids(words)]
+
+    def merged_ids(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many words together: in each word always the pair of lowest rank, the leftmost first.
+
+        The ids of each word as little-endian unsigned 32-bit integers.
+        """
+        out: list = [self.merge_long(w).tobytes() if len(w) > LONG else None for w in words]
         order = sorted((i for i in range(len(words)) if out[i] is None), key=lambda i: len(words[i]))  # words of like length side by side
         while order:
             width = len(words[order[-1]])
             n = max(1, min(8192, CELLS // (width + 1)))
             part, order = order[-n:], order[:-n]
             symbols = np.full((len(part), width + 1), -1, np.int64)
-            for row, i in enumerate(part):
-                symbols[row, :len(words[i])] = self.byte_ids[np.frombuffer(words[i], np.uint8)]
             ends = np.array([len(words[i]) for i in part]) - 1
+            inside = np.arange(width + 1) <= ends[:, None]
+            symbols[inside] = self.byte_ids[np.frombuffer(b"".join([words[i] for i in part]), np.uint8)]
             last = np.array([words[i][-1] for i in part])
             symbols[np.arange(len(part)), ends] = self.end_ids[last]
             ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
@@ -125,9 +131,10 @@ class Model:
                 new[at, before] = np.where(best > 0, self._ranks(now[at, before], now[at, before + 1]), new[at, before])
                 new[:, -1] = NEVER
                 ranks[rows] = new
-            for row, i in enumerate(part):
-                own = symbols[row]
-                out[i] = own[own >= 0].astype("<u4")
+            some = symbols >= 0
+            ids, ends = symbols[some].astype("<u4").tobytes(), (4 * np.cumsum(some.sum(axis=1))).tolist()
+            for i, a, b in zip(part, [0, *ends], ends):
+                out[i] = ids[a:b]
         return out
 
     def merge_long(self, word: bytes) -> np.ndarray:
@@ -265,6 +272,7 @@ class Lexicon:
             arrays.append(np.frombuffer(self.map, kind, length, at))
             at += arrays[-1].nbytes + (-arrays[-1].nbytes % 8)
         self.keys, self.targets, self.before, self.final, self.out_at, self.out, self.root = arrays
+        self.at, self.bytes = (4 * self.out_at).tolist(), self.out.astype("<u4").tobytes()
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, -1 where the lexicon doesn't have it; all words walk together."""
@@ -289,8 +297,8 @@ class Lexicon:
         ok[ok] = self.final[state[ok]] == 1
         return np.where(ok, number, -1)
 
-    def ids(self, number: int) -> np.ndarray:
-        return self.out[self.out_at[number]:self.out_at[number + 1]]
+    def ids(self, number: int) -> bytes:
+        return self.bytes[self.at[number]:self.at[number + 1]]
 
 
 class Encoder:
@@ -304,10 +312,13 @@ class Encoder:
         pieces = [self.model.pieces(c) for c in unseen]
         words = list({w for p in pieces for w in p if not isinstance(w, int)})
         numbers = self.lexicon.numbers(words).tolist()
-        ids = {w: self.lexicon.ids(n).astype("<u4").tobytes() for w, n in zip(words, numbers) if n >= 0}
+        ids = {w: self.lexicon.ids(n) for w, n in zip(words, numbers) if n >= 0}
         rare = [w for w, n in zip(words, numbers) if n < 0]
-        ids |= {w: x.tobytes() for w, x in zip(rare, self.model.merge(rare))}
+        ids.update(zip(rare, self.model.merged_ids(rare)))
         for chunk, p in zip(unseen, pieces):
+            if len(p) == 1 and not isinstance(p[0], int):
+                self.known[chunk] = ids[p[0]]
+                continue
             self.known[chunk] = b"".join([ids[w] if not isinstance(w, int) else w.to_bytes(4, "little") for w in p])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
