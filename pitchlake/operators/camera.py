@@ -87,3 +87,91 @@ def quality(rows: DataFrame, fps: float, crop_width: float) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("frame")
     pan = F.hypot(F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w)) * fps / crop_width
     return rows.withColumn("pan", pan).groupBy("match_id").agg(F.percentile("pan", F.lit(0.95)).alias("pan_p95"), F.max("pan").alias("pan_max"), F.count_if(F.col("pan") > 2).alias("snaps"), F.count(F.lit(1)).alias("frames"))
+
+
+def weighted_rows(df: DataFrame, keys: list[str], order: str, value: str, weights: list[float], name: str) -> DataFrame:
+    """``value`` averaged over the rows around each by an odd number of symmetric weights; ends are repeated beyond a key's rows."""
+    total, r = sum(weights), len(weights) // 2
+    norm = [w / total for w in weights]
+    beyond = [sum(norm[:i]) for i in range(r + 1)]  # the weight that falls off one end when i rows are missing there
+    w = Window.partitionBy(*keys).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_left", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int") - 1 - F.col("_i"))
+    rows = rows.withColumns({"_near": F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-r, r)), "_first": F.first(value).over(whole), "_last": F.last(value).over(whole)})
+    array = lambda v: F.expr("array(" + ", ".join(f"{x!r}D" for x in v) + ")")
+    short, late = F.greatest(F.lit(0), r - F.col("_i")), F.greatest(F.lit(0), r - F.col("_left"))
+    inner = F.aggregate(F.zip_with("_near", F.slice(array(norm), short + 1, F.size("_near")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    out = inner + F.col("_first") * F.element_at(array(beyond), short + 1) + F.col("_last") * F.element_at(array(beyond), late + 1)
+    return rows.withColumn(name, out).drop("_i", "_left", "_near", "_first", "_last")
+
+
+def gaussian(df: DataFrame, keys: list[str], order: str, value: str, sigma: float, name: str, weight: str | None = None) -> DataFrame:
+    """A Gaussian average over three sigmas of rows without delay; with ``weight`` each row counts by its confidence."""
+    if sigma <= 0.05:
+        return df.withColumn(name, F.col(value))
+    r = int(3 * sigma + 0.5)
+    bell = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2).tolist()
+    if weight is None:
+        return weighted_rows(df, keys, order, value, bell, name)
+    rows = weighted_rows(df.withColumn("_vw", F.col(value) * F.col(weight)), keys, order, "_vw", bell, "_up")
+    rows = weighted_rows(rows, keys, order, weight, bell, "_down")
+    return rows.withColumn(name, F.col("_up") / F.greatest("_down", F.lit(1e-9))).drop("_vw", "_up", "_down")
+
+
+def lower_envelope(df: DataFrame, keys: list[str], order: str, value: str, step: float, radius: int, name: str) -> DataFrame:
+    """A smooth curve that never exceeds ``value`` and changes by at most ``step`` a row: slope limit, running minimum, Hann mean."""
+    rows = ts.lipschitz_below(df, keys, order, value, step, name)
+    if radius <= 0:
+        return rows
+    rows = rows.withColumn("_least", F.min(name).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-radius, radius)))
+    return weighted_rows(rows.drop(name), keys, order, "_least", np.hanning(2 * radius + 3)[1:-1].tolist(), name).drop("_least")
+
+
+def _at_most(z: complex, limit: float) -> complex:
+    return z if abs(z) <= limit or z == 0 else z * (limit / abs(z))
+
+
+def chased(path: np.ndarray, dt: float, fastest: np.ndarray, strongest: np.ndarray) -> np.ndarray:
+    """A point of the plane (complex) that follows ``path`` within its speeds and accelerations and brakes in time."""
+    out, v = np.array(path, complex), 0j
+    for i in range(1, len(path)):
+        pace, error = (path[i] - path[i - 1]) / dt, path[i] - out[i - 1]
+        want = error / dt
+        brake = (2 * strongest[i] * abs(error)) ** 0.5
+        if error and abs(want - pace) > brake:
+            want = pace + error / abs(error) * brake
+        if fastest[i] > 0:
+            want = _at_most(want, fastest[i])
+        v += _at_most(want - v, strongest[i] * dt)
+        out[i] = out[i - 1] + v * dt
+    return out
+
+
+def limited_motion(rows: DataFrame, fps: float) -> DataFrame:
+    """(match_id, frame, cx, cy): the mean of a chase forwards and one backwards, so limits hold without delay.
+
+    ``rows`` is (match_id, frame, x, y, fastest, strongest), limits in units a second and a second squared. Plans of
+    fewer than three frames stay. One match is one task.
+    """
+
+    def run(match: pd.DataFrame) -> pd.DataFrame:
+        match = match.sort_values("frame")
+        path, limits = match["x"].to_numpy(float) + 1j * match["y"].to_numpy(float), (match["fastest"].to_numpy(float), match["strongest"].to_numpy(float))
+        if len(path) >= 3:
+            back = chased(path[::-1], 1 / fps, *[v[::-1] for v in limits])[::-1]
+            path = (chased(path, 1 / fps, *limits) + back) / 2
+        return match[["match_id", "frame"]].assign(cx=path.real, cy=path.imag)
+
+    kind = dict(rows.dtypes)
+    return rows.select("match_id", "frame", "x", "y", "fastest", "strongest").groupBy("match_id").applyInPandas(
+        run, f"match_id {kind['match_id']}, frame {kind['frame']}, cx double, cy double")
+
+
+def plan_summary(plan_rows: DataFrame) -> DataFrame:
+    """(match_id, frames, zoom_min, zoom_max, mean_confidence, focus_frames): ``focus_frames`` counts the frames of each focus."""
+    by_focus = plan_rows.groupBy("match_id", "focus").agg(
+        F.count(F.lit(1)).alias("n"), F.min("zoom").alias("lo"), F.max("zoom").alias("hi"), F.sum("confidence").alias("sum"), F.count("confidence").alias("known"))
+    mean = F.round(F.coalesce(F.sum("sum") / F.nullif(F.sum("known"), F.lit(0)), F.lit(0.0)), 3)
+    return by_focus.groupBy("match_id").agg(
+        F.sum("n").alias("frames"), F.round(F.min("lo"), 3).alias("zoom_min"), F.round(F.max("hi"), 3).alias("zoom_max"), mean.alias("mean_confidence"),
+        F.map_from_entries(F.collect_list(F.struct(F.coalesce("focus", F.lit("none")).alias("focus"), "n"))).alias("focus_frames"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,3 +219,98 @@ def auto_picked(events: DataFrame, target_s: float) -> DataFrame:
     picked = ranked.select("match_id", F.aggregate("s", start, choose)["chosen"].alias("chosen"))
     in_order = F.array_sort(F.transform("chosen", lambda e: F.struct(e["t"].alias("t"), e["event_id"].alias("event_id"))))
     return picked.select("match_id", F.posexplode(in_order).alias("place", "e")).select("match_id", "e.event_id", "place")
+
+
+# --- single rows and batches ------------------------------------------------------------------------------------
+
+
+def new_id(prefix: str) -> Column:
+    """A fresh identifier; not repeatable, so kept out of results that are compared."""
+    return F.concat(F.lit(prefix + "_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def first_number(*texts: Column) -> Column:
+    """The first of several texts that is a number, else 0: the offset of a trimmed video from its documents."""
+    return F.coalesce(*[t.try_cast("double") for t in texts], F.lit(0.0))
+
+
+def without_series(players: DataFrame, series: str = "speed_series") -> DataFrame:
+    """Players without their long series, only whether they have one."""
+    return players.withColumn(f"has_{series}", F.coalesce(F.size(series) > 0, F.lit(False))).drop(series)
+
+
+def least_clip(start: Column, end: Column, shortest: Column, duration: Column) -> tuple[Column, Column]:
+    """A clip lengthened to ``shortest`` seconds: to the right while the video lasts (0: unknown), the rest to the left."""
+    longer = F.when(duration > 0, F.least(duration, start + shortest)).otherwise(start + shortest)
+    to = F.when(end - start < shortest, longer).otherwise(end)
+    since = F.when(to - start < shortest, F.greatest(F.lit(0.0), to - shortest)).otherwise(start)
+    return F.round(since, 3), F.round(to, 3)
+
+
+def feedback_batches(feedback: DataFrame, criteria: DataFrame) -> DataFrame:
+    """``criteria`` with item_count, the feedback rows of its tenant and status within its lists and dates; null criteria don't restrict.
+
+    ``criteria``: (batch_id, tenant_id, status, match_ids, kinds, from_at, to_at), joined by tenant and status.
+    ``feedback``: (tenant_id, status, match_id, kind, at).
+    """
+    listed = lambda c, values: F.col(values).isNull() | (F.size(values) == 0) | F.array_contains(F.col(values), F.col(c))
+    test = listed("match_id", "match_ids") & listed("kind", "kinds") & (F.col("from_at").isNull() | (F.col("at") >= F.col("from_at"))) & (F.col("to_at").isNull() | (F.col("at") <= F.col("to_at")))
+    found = feedback.join(criteria, ["tenant_id", "status"]).where(test).groupBy("batch_id").agg(F.count(F.lit(1)).alias("item_count"))
+    return criteria.join(found, "batch_id", "left").fillna(0, ["item_count"])
+
+
+def roster_templates(roster: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """One row for each match's roster: its players in order as an array, to be used again."""
+    return roster.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), *columns))), lambda p: F.struct(*[p[c].alias(c) for c in columns])).alias("players"))
+
+
+def job_progress(jobs: DataFrame, logs: DataFrame, now: Column, active: Sequence[str]) -> DataFrame:
+    """``jobs`` (job_id, status, stage, progress, started, finished) with the latest log's stage and progress, elapsed_s and eta_s.
+
+    An active job's progress is the greater of its own and the latest log's (job_id, at, stage, progress). What is left
+    takes as long as the same share took so far; there is no estimate below 2 % or at the end.
+    """
+    last = logs.groupBy("job_id").agg(F.max_by(F.struct("stage", "progress"), F.struct("at", "stage")).alias("log"))
+    busy = F.col("status").isin(*active)
+    rows = jobs.join(last, "job_id", "left")
+    progress = F.when(busy, F.greatest(F.coalesce("progress", F.lit(0.0)), F.coalesce("log.progress", F.lit(0.0)))).otherwise(F.coalesce("progress", F.lit(0.0)))
+    seconds = (F.unix_micros(F.coalesce("finished", now)) - F.unix_micros("started")) / 1e6
+    rows = rows.withColumn("shown", progress).withColumn("elapsed_s", seconds)
+    eta = F.when(busy & (F.col("shown") > 0.02) & (F.col("shown") < 1), F.col("elapsed_s") * (1 - F.col("shown")) / F.col("shown"))
+    source = F.when(F.col("log").isNotNull(), "job_log").otherwise("job")
+    return rows.select("job_id", source.alias("source"), F.coalesce("log.stage", "stage").alias("stage"), F.round("shown", 4).alias("progress"), F.round("elapsed_s", 1).alias("elapsed_s"), F.round(eta, 1).alias("eta_s"))
+
+
+def with_players(events: DataFrame, players: DataFrame) -> DataFrame:
+    """Public events: each with its player's name and number, where the player is known."""
+    return events.join(players, ["match_id", "player_id"], "left")
+
+
+def linked_events(found: DataFrame, stored: DataFrame, within: float = 1.25, any_type: str = "shot") -> DataFrame:
+    """(match_id, event_id, stored_id, by): stored events joined to analysed ones, each side used once.
+
+    First by the id that a stored event names (the first stored event to name it has it); then, in order of stored id,
+    the nearest free event of its type within ``within`` seconds (of any type for ``any_type``). Only a match's pairs
+    within that time meet in one task. ``found``: (match_id, event_id, type, t); ``stored``: (match_id, stored_id,
+    names, stored_type, stored_t).
+    """
+    named = stored.join(found.select("match_id", F.col("event_id").alias("names")), ["match_id", "names"])
+    named = named.groupBy("match_id", F.col("names").alias("event_id")).agg(F.min("stored_id").alias("stored_id"))
+    free = found.join(named, ["match_id", "event_id"], "left_anti")
+    rest = stored.join(named.select("match_id", "stored_id"), ["match_id", "stored_id"], "left_anti")
+    at = F.floor(F.col("stored_t") / within).cast("long")
+    pairs = rest.withColumn("_bin", F.explode(F.array(at - 1, at, at + 1))).join(free.withColumn("_bin", F.floor(F.col("t") / within).cast("long")), ["match_id", "_bin"])
+    away = F.abs(F.col("t") - F.col("stored_t"))
+    pairs = pairs.where((away <= within) & ((F.col("type") == F.col("stored_type")) | (F.col("stored_type") == any_type))).select("match_id", "stored_id", "event_id", away.alias("away"))
+
+    def run(match: pd.DataFrame) -> pd.DataFrame:
+        used: dict = {}
+        for stored_id, near in match.sort_values(["stored_id", "away", "event_id"]).groupby("stored_id", sort=True):
+            left = [e for e in near["event_id"] if e not in used]
+            if left:
+                used[left[0]] = stored_id
+        return pd.DataFrame({"match_id": match["match_id"].iloc[0], "event_id": list(used), "stored_id": list(used.values())})
+
+    kinds = dict(pairs.dtypes)
+    near = pairs.groupBy("match_id").applyInPandas(run, f"match_id {kinds['match_id']}, event_id {kinds['event_id']}, stored_id {kinds['stored_id']}")
+    return named.withColumn("by", F.lit("id")).unionByName(near.withColumn("by", F.lit("time")))

@@ -8,6 +8,7 @@ Positions are metres from the centre spot unless a name ends in ``_px``.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -445,6 +446,83 @@ def turnover_events(owned: DataFrame) -> DataFrame:
     return rows.where((F.col("team") != F.col("was")) & F.coalesce(F.col("next") == F.col("team"), F.lit(True))).select("match_id", F.lit("turnover").alias("type"), "t", F.col("t").alias("t_start"), F.col("t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), F.lit(0.5).alias("confidence"))
 
 
+def held_turnovers(owners: DataFrame, memory: int, hold: int) -> DataFrame:
+    """(match_id, g, team, track_id, lost_by): play went to the other team, which nobody took back within ``hold`` steps.
+
+    ``owners`` is (match_id, g, track_id, team, in_play) for each grid step, team null when nobody has the ball. The
+    team before must have had it within ``memory`` steps.
+    """
+    w = Window.partitionBy("match_id").orderBy("g")
+    had = F.when(F.col("team").isNotNull(), F.struct("g", "track_id", "team"))
+    rows = owners.withColumn("was", F.last(had, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    ahead = w.rangeBetween(0, hold - 1)
+    alone = (F.min("team").over(ahead) == F.col("team")) & (F.max("team").over(ahead) == F.col("team"))
+    taken = (F.col("was.team") != F.col("team")) & (F.col("g") - F.col("was.g") <= memory) & F.col("in_play")
+    return rows.withColumn("_held", taken & alone).where("_held").select("match_id", "g", "team", "track_id", F.col("was.team").alias("lost_by"), F.col("was.track_id").alias("lost_by_track"))
+
+
+def dribbles(owners: DataFrame, longest_gap: int, metres: float = 15.0, pressure: float = 3.0) -> DataFrame:
+    """(match_id, track_id, team, g_start, g_end, metres, closest, g): spells of one player far enough and under pressure.
+
+    ``owners`` is (match_id, g, track_id, team, x, y, opponent_m), track_id null when nobody has the ball: gaps of up to
+    ``longest_gap`` steps belong to a spell, another player ends it. ``opponent_m`` is the nearest opponent's distance.
+    """
+    w = Window.partitionBy("match_id").orderBy("g")
+    rows = owners.where("track_id IS NOT NULL")
+    new = (F.col("track_id") != F.lag("track_id").over(w)) | (F.col("g") - F.lag("g").over(w) > longest_gap + 1)
+    rows = rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("spell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = Window.partitionBy("match_id", "spell").orderBy("g")
+    rows = rows.withColumn("_step", F.hypot(F.col("x") - F.lag("x").over(s), F.col("y") - F.lag("y").over(s)))
+    spells = rows.groupBy("match_id", "spell", "track_id", "team").agg(
+        F.min("g").alias("g_start"), F.max("g").alias("g_end"), F.sum("_step").alias("metres"), F.min("opponent_m").alias("closest"), F.min(F.struct("opponent_m", "g"))["g"].alias("g"))
+    return spells.where((F.col("g_end") > F.col("g_start")) & (F.col("metres") >= metres) & (F.col("closest") <= pressure)).drop("spell")
+
+
+def flights(ball: DataFrame, fast: float, turn: float = 30.0, kick: float = 1.6, longest_gap: float = 0.3) -> DataFrame:
+    """(match_id, t_start, t_end, n, peak): runs of a fast ball that keep their direction and aren't kicked again.
+
+    A flight ends when the ball is slower than ``fast``, when its heading differs by more than ``turn`` degrees from the
+    flight's first, when two samples are further apart than ``longest_gap``, or when it becomes ``kick`` times faster
+    than the slowest of the last three samples. ``ball`` is (match_id, t, vx, vy). Only fast samples of one match meet
+    in a task, since the first heading has to be carried along.
+    """
+
+    def run(match: pd.DataFrame) -> pd.DataFrame:
+        match = match.sort_values("t")
+        t, v = match["t"].to_numpy(float), match["vx"].to_numpy(float) + 1j * match["vy"].to_numpy(float)
+        speed, first, cuts = np.abs(v), 0, [0]
+        for i in range(1, len(t)):
+            turned = abs(np.degrees(np.angle(v[i] / v[first]))) > turn
+            kicked = i - first >= 2 and speed[i] > kick * speed[max(first, i - 3):i].min()
+            if turned or kicked or t[i] - t[i - 1] > longest_gap or match["slow_before"].iloc[i]:
+                cuts.append(first := i)
+        ends = np.append(cuts[1:], len(t))
+        return pd.DataFrame({"match_id": match["match_id"].iloc[0], "t_start": t[cuts], "t_end": t[ends - 1], "n": ends - cuts, "peak": np.maximum.reduceat(speed, cuts)})
+
+    w = Window.partitionBy("match_id").orderBy("t")
+    speed = F.coalesce(F.hypot("vx", "vy"), F.lit(0.0))
+    rows = ball.withColumn("slow_before", F.coalesce(F.lag(speed).over(w) < fast, F.lit(True))).where(speed >= fast)
+    kind = dict(ball.dtypes)["match_id"]
+    return rows.select("match_id", "t", "vx", "vy", "slow_before").groupBy("match_id").applyInPandas(run, f"match_id {kind}, t_start double, t_end double, n int, peak double")
+
+
+def review_candidates(samples: DataFrame, pre: float, post: float, most: int = 3, joined: float = 1.0) -> DataFrame:
+    """(match_id, t_start, t_end): the few strongest moments of a match without events, apart, padded and joined.
+
+    Strength is three quarters speed, scaled to the match's range, and one quarter the change of direction over pi. The
+    fold holds one match's scored samples in order and keeps ``most``. ``samples``: (match_id, t, speed, turn).
+    """
+    w = Window.partitionBy("match_id")
+    scaled = (F.col("speed") - F.min("speed").over(w)) / (F.max("speed").over(w) - F.min("speed").over(w) + 1e-9)
+    rows = samples.withColumn("score", 0.75 * scaled + 0.25 * F.coalesce(F.col("turn"), F.lit(0.0)) / (math.pi + 1e-9))
+    apart, none = max(8.0, pre + post), F.array().cast("array<double>")
+    best = F.sort_array(F.collect_list(F.struct("score", "t")), asc=False)
+    keep = lambda kept, r: F.when((F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - r["t"]) >= apart), F.array_append(kept, r["t"])).otherwise(kept)
+    folded = rows.groupBy("match_id").agg(F.max("score").alias("top"), best.alias("ordered")).where("top > 0").select("match_id", F.aggregate("ordered", none, keep).alias("kept"))
+    spans = folded.select("match_id", F.explode("kept").alias("t")).select("match_id", F.greatest(F.lit(0.0), F.col("t") - pre).alias("t_start"), (F.col("t") + post).alias("t_end"))
+    return ts.merge_intervals(spans, MATCH, "t_start", "t_end", joined).select("match_id", "t_start", "t_end")
+
+
 def area_entries(near: DataFrame, signs: DataFrame, quiet: float = 8.0, depth: float = 16.5, half_width: float = 20.16) -> DataFrame:
     """False to true edges of the ball being in a penalty area, with 8 s of quiet after each one kept."""
     inside = (F.abs(F.col("bx")) >= 52.5 - depth) & (F.abs(F.col("by")) <= half_width) & (F.abs(F.col("bx")) <= 52.5)

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from pitchlake.plans import analytics, catalog, lists, matches, series  # noqa: E402,F401  each registers its queries
+from pitchlake.plans import analytics, catalog, lists, matches, people, series  # noqa: E402,F401  each registers its queries
