@@ -347,7 +347,7 @@ def momentum(owned: DataFrame, shots: DataFrame, progress: DataFrame | None = No
 
 
 def goal_candidates(ball: DataFrame, half_length: float = 52.5, mouth: float = 3.66, cluster_s: float = 4.0, apart_s: float = 25.0) -> DataFrame:
-    """(match_id, t, side, confidence): the ball goes over the line between the posts, or dwells behind it; clustered, then 25 s apart a side."""
+    """(match_id, t, side, confidence): the ball goes over the line between the posts, or dwells behind it; clustered; of two within 25 s of a side the more confident stays."""
     w = Window.partitionBy("match_id").orderBy("g")
     rows = ball.where("visible").withColumn("was", F.lag("x").over(w)).withColumn("gap", F.col("g") - F.lag("g").over(w))
     between = F.abs(F.col("y")) <= mouth
@@ -358,8 +358,7 @@ def goal_candidates(ball: DataFrame, half_length: float = 52.5, mouth: float = 3
     groups = ts.islands_by_gap(signals, ["match_id", "side"], "t", cluster_s).groupBy("match_id", "side", "island").agg(F.min("t").alias("t"), F.max(F.col("crossed").cast("int")).alias("crossed"), F.count(F.lit(1)).alias("n"))
     confidence = F.least(F.lit(0.98), 0.35 + 0.4 * F.col("crossed") + 0.05 * F.least("n", F.lit(5)))
     found = groups.withColumn("confidence", confidence).where("confidence >= 0.6")
-    kept = ts.debounce(found, ["match_id", "side"], "t", apart_s)
-    return found.join(kept, ["match_id", "side", "t"]).select("match_id", "t", "side", "confidence")
+    return ts.best_apart(found, ["match_id", "side"], "t", "confidence", apart_s).select("match_id", "t", "side", "confidence")
 
 
 def judge_goals(candidates: DataFrame, least: float = 0.7, rejected: float = 0.59, refuted: float = 0.35, most: float = 0.98) -> DataFrame:
@@ -406,6 +405,66 @@ def shots(touched: DataFrame, ball: DataFrame, signs: DataFrame, goals: DataFram
     return found.unionByName(inferred_shots(touched, goal.join(claimed.select("match_id", "goal_t", "sign"), ["match_id", "goal_t", "sign"], "left_anti"), signs, inferred_s))
 
 
+def flight_shots(flown: DataFrame, ball: DataFrame, kin: DataFrame, signs: DataFrame, goals: DataFrame, fast: float = 10.0, half_length: float = 52.5, mouth: float = 3.66, hz: float = HZ) -> DataFrame:
+    """(match_id, type, t, t_end, side, team, track_id, keeper_id, outcome, speed): shots, chances and saves from the ball's flights.
+
+    A flight of two samples or more counts when it starts in front of the goal it heads for, its line meets the goal
+    line near the goal, and it passes the line, ends near the goal or is lost there. It is a shot when the line meets
+    the goal or a goal follows, else a chance. An unscored shot that is turned or stopped in front of the goal, beside
+    someone who stays near that line, is a save too. ``flown`` are ``flights`` of ``ball`` (match_id, t, x, y, vx, vy).
+    """
+    length, height = 2 * half_length, 2 * mouth
+    w = Window.partitionBy("match_id").orderBy("t")
+    speed, five = F.coalesce(F.hypot("vx", "vy"), F.lit(0.0)), w.rowsBetween(1, 5)
+    samples = ball.withColumn("v", speed).withColumns({
+        "prev_t": F.lag("t").over(w), "next_t": F.lead("t").over(w), "vx_lo": F.min("vx").over(five), "vx_hi": F.max("vx").over(five), "v_lo": F.min("v").over(five)}).withColumnRenamed("t", "at")
+    f = Window.partitionBy("match_id").orderBy("t_start")
+    spans = flown.withColumn("next_start", F.coalesce(F.lead("t_start").over(f), F.lit(float("inf")))).where("n >= 2")
+    spans = spans.withColumn("until", F.greatest(F.col("t_end") + 1e-6, F.least(F.col("t_end") + 1.5, "next_start")))
+    own = ts.range_join(samples, spans, MATCH, "at", "t_start", "until", 2.0)
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("match_id", "t_start").orderBy("at")))
+    flying = F.col("at") <= F.col("t_end")
+    last = lambda c: F.max_by(c, F.when(flying, F.col("at"))).alias(f"end_{c}")
+    rows = own.groupBy("match_id", "t_start", "t_end", "peak").agg(
+        F.avg(F.when((F.col("place") <= 4) & flying, F.col("vx"))).alias("mvx"), F.avg(F.when((F.col("place") <= 4) & flying, F.col("vy"))).alias("mvy"),
+        F.min_by("x", "at").alias("x0"), F.min_by("y", "at").alias("y0"), F.min_by("prev_t", "at").alias("prev_t"), F.max("x").alias("x_hi"), F.min("x").alias("x_lo"),
+        *[last(c) for c in ("x", "y", "next_t", "vx_lo", "vx_hi", "v_lo")]).where(F.abs("mvx") >= 1e-6)
+    sign = F.when(F.col("mvx") > 0, 1).otherwise(-1)
+    rows = rows.withColumns({"sign": sign, "side": F.when(sign > 0, "right").otherwise("left"), "origin": half_length - sign * F.col("x0"), "end_m": half_length - sign * F.col("end_x")})
+    rows = rows.withColumn("y_line", F.col("y0") + F.col("mvy") / F.col("mvx") * (F.col("sign") * half_length - F.col("x0")))
+    beyond = F.when(F.col("sign") > 0, F.col("x_hi") > half_length).otherwise(F.col("x_lo") < -half_length)
+    lost = F.coalesce(F.col("end_next_t") - F.col("t_end") > 1.25, F.lit(True)) & (F.col("end_m") <= length / 4)
+    rows = rows.withColumns({"beyond": beyond, "on_target": F.abs("y_line") <= mouth + 0.06 * height}).where(
+        F.col("origin").between(0, 0.65 * length) & (F.abs("y_line") <= 2.5 * height) & (F.col("beyond") | lost | ((F.col("end_m") <= 0.12 * length) & (F.abs("end_y") <= 1.5 * height))))
+    rows = rows.withColumn("t", F.when(F.col("t_start") - F.col("prev_t") <= 0.3, F.col("prev_t")).otherwise(F.col("t_start")))
+    scored = rows.join(goals.select("match_id", "side", F.col("t").alias("goal_t")), ["match_id", "side"]).where("goal_t BETWEEN t - 0.5 AND t_end + 1.5").select("match_id", "t_start", F.lit(True).alias("goal")).distinct()
+    rows = with_sign(rows.join(scored, ["match_id", "t_start"], "left").fillna(False, ["goal"]), signs, "t", "left", "sign")
+
+    def beside(at: str, x: str, y: str, name: str, test: Column) -> DataFrame:
+        """(match_id, t_start, name): the nearest player within four metres of a place at a time, by the grid."""
+        asked = rows.select("match_id", "t_start", F.col("team").alias("attackers"), F.round(F.col(at) * hz).cast("long").alias("g"), F.col(x).alias("px"), F.col(y).alias("py"))
+        away = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+        near = asked.join(kin.select("match_id", "g", "track_id", "team", "x", "y"), ["match_id", "g"]).where(test & (away <= 4.0))
+        return near.groupBy("match_id", "t_start").agg(F.min(F.struct(away.alias("d"), "track_id", "team"))["track_id"].alias(name))
+
+    ours, theirs = F.col("attackers").isNull() | (F.col("team") == F.col("attackers")), F.col("attackers").isNull() | (F.col("team") != F.col("attackers"))
+    rows = rows.join(beside("t", "x0", "y0", "track_id", ours), ["match_id", "t_start"], "left")
+    back = F.when(F.col("sign") > 0, F.col("end_vx_lo") < 0).otherwise(F.col("end_vx_hi") > 0)
+    stopped = F.coalesce(back, F.lit(False)) | F.coalesce(F.col("end_v_lo") < fast / 3, F.lit(True))
+    saved = ~F.col("goal") & F.col("on_target") & ~F.col("beyond") & (F.col("end_m") <= 0.12 * length) & stopped
+    asked = rows.where(saved).select("match_id", "t_start", "t_end", "sign").join(beside("t_end", "end_x", "end_y", "keeper_id", theirs), ["match_id", "t_start"])
+    around = asked.withColumns({"since": F.col("t_end") - 120, "till": F.col("t_end") + 120}).withColumnRenamed("keeper_id", "track_id")
+    stays = ts.range_join(kin.select("match_id", "track_id", "grid_t", "x"), around, ["match_id", "track_id"], "grid_t", "since", "till", 240.0, closed=True)
+    keepers = stays.groupBy("match_id", "t_start", F.col("track_id").alias("keeper_id")).agg(
+        F.avg((F.abs(half_length - F.col("sign") * F.col("x")) <= 0.15 * length).cast("double")).alias("share")).where("share >= 0.6").drop("share")
+    rows = rows.join(keepers, ["match_id", "t_start"], "left")
+    outcome = F.when(F.col("goal"), "goal").when(F.col("keeper_id").isNotNull(), "saved").when(F.col("beyond") & ~F.col("on_target"), "wide").when(F.col("on_target"), "on_target").otherwise("wide")
+    rows = rows.withColumn("outcome", outcome).withColumn("type", F.when(F.col("on_target") | F.col("goal"), "shot").otherwise("chance"))
+    columns = ["match_id", "type", "t", "t_end", "side", "team", "track_id", "keeper_id", "outcome", F.col("peak").alias("speed")]
+    saves = rows.where("keeper_id IS NOT NULL").withColumns({"type": F.lit("save"), "t": F.col("t_end"), "team": 1 - F.col("team")})
+    return rows.select(*columns).unionByName(saves.select(*columns))
+
+
 def inferred_shots(touched: DataFrame, goals: DataFrame, signs: DataFrame, within: float = 8.0) -> DataFrame:
     """Shots of goals (match_id, goal_t, sign) that no touch claims: of the scorers' last touch within ``within`` seconds, or of the team."""
     of_team = with_sign(goals, signs, "goal_t", by="sign")
@@ -478,7 +537,7 @@ def dribbles(owners: DataFrame, longest_gap: int, metres: float = 15.0, pressure
     return spells.where((F.col("g_end") > F.col("g_start")) & (F.col("metres") >= metres) & (F.col("closest") <= pressure)).drop("spell")
 
 
-def flights(ball: DataFrame, fast: float, turn: float = 30.0, kick: float = 1.6, longest_gap: float = 0.3) -> DataFrame:
+def flights(ball: DataFrame, fast: float, turn: float = 30.0, kick: float = 1.35, longest_gap: float = 0.3) -> DataFrame:
     """(match_id, t_start, t_end, n, peak): runs of a fast ball that keep their direction and aren't kicked again.
 
     A flight ends when the ball is slower than ``fast``, when its heading differs by more than ``turn`` degrees from the

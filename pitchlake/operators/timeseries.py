@@ -122,6 +122,20 @@ def debounce(df: DataFrame, keys: Sequence[str], t: str, gap) -> DataFrame:
     return folded.select(*keys, F.explode(kept_by_debounce(F.col("_times"), gap)).alias(t))
 
 
+def best_apart(df: DataFrame, keys: Sequence[str], t: str, score: str, gap) -> DataFrame:
+    """The rows of ``df``, a few a key, of which none is within ``gap`` of another: a later one replaces the first kept one that it is near to if it scores more, else it goes."""
+    row = F.struct(F.col(t).alias("_t"), F.col(score).alias("_score"), F.struct(*df.columns).alias("_row"))
+    kind = df.select(F.array(row).alias("a")).schema["a"].dataType
+
+    def take(kept: Column, r: Column) -> Column:
+        near = F.try_element_at(F.filter(kept, lambda k: F.abs(k["_t"] - r["_t"]) < gap), F.lit(1))
+        swapped = F.transform(kept, lambda k: F.when(k["_t"] == near["_t"], r).otherwise(k))
+        return F.when(near.isNull(), F.array_append(kept, r)).when(r["_score"] > near["_score"], swapped).otherwise(kept)
+
+    folded = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return folded.select(F.explode(F.aggregate("_rows", F.array().cast(kind), take)).alias("_kept")).select("_kept._row.*")
+
+
 def fold_rows(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, Callable], types: str = "double") -> DataFrame:
     """``df`` with columns that fold over each key's rows in order: each function maps a sorted pandas frame to an array.
 

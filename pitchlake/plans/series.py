@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs
+from pitchlake.operators import stats
 from pitchlake.operators import timeseries as ts
 from pitchlake.plans.registry import query
 from pitchlake.plans.tables import TRACKS_SQL, table, tracks
@@ -293,9 +294,7 @@ WITH q AS (SELECT vec_id AS q, embedding AS a FROM embeddings WHERE vec_id % 100
 def bhattacharyya_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar appearance histograms of a stated set of queries, against all rows."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("h"))
-    queries = F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("h").alias("hq")))
-    pairs = e.join(queries, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("m"), F.round(exprs.histogram_similarity(F.col("hq"), F.col("h")), 6).alias("sim"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "m"))).where("rank <= 5")
+    return stats.most_similar(e, e.where("vec_id % 100 = 0"), "vec_id", "h", 5)
 
 
 @query(f"""

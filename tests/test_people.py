@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import camera, control, focus, match, stats
+from pitchlake.operators import timeseries as ts
 
 
 def frame(spark, rows, schema):
@@ -63,7 +64,7 @@ def test_flights_equal_a_loop(spark):
         j = i + 1
         while j < len(rows) and speed[j] >= 12 and rows[j][1] - rows[j - 1][1] <= 0.3:
             turn = math.degrees(abs(math.remainder(math.atan2(rows[j][3], rows[j][2]) - math.atan2(rows[i][3], rows[i][2]), 2 * math.pi)))
-            if turn > 30 or j - i >= 2 and speed[j] > 1.6 * min(speed[max(i, j - 3):j]):
+            if turn > 30 or j - i >= 2 and speed[j] > 1.35 * min(speed[max(i, j - 3):j]):
                 break
             j += 1
         want.append((rows[i][1], rows[j - 1][1], j - i))
@@ -136,3 +137,44 @@ def test_empty_inputs_give_no_rows(spark):
     assert match.dribbles(none, 1).count() == 0 and match.held_turnovers(none, 3, 2).count() == 0 and match.review_candidates(none, 2.0, 2.0).count() == 0
     assert focus.keepers_by_zone(none).count() == 0 and camera.limited_motion(none, 25.0).count() == 0
     assert focus.match_summary(none, none).count() == 0 and none.where(F.col("t") > 0).count() == 0
+
+
+def test_flight_shots_find_a_goal_a_save_and_a_wide_shot(spark):
+    ball = []
+
+    def fly(t, x, y, vx, vy, seconds):
+        ball.extend((1, round(t + i / 10, 2), x + vx * i / 10, y + vy * i / 10, vx, vy) for i in range(round(seconds * 10)))
+
+    fly(100.0, 35.0, 0.0, 20.0, 0.5, 1.2)  # over the right line between the posts
+    fly(200.0, 32.0, 4.0, 20.0, -2.0, 0.9)  # at the keeper, who throws it back
+    fly(200.9, 49.0, 2.2, -5.0, 0.0, 1.0)
+    fly(300.0, -30.0, 0.0, -20.0, -9.0, 1.6)  # past the left post
+    fly(400.0, 0.0, 0.0, 20.0, 20.0, 1.0)  # nowhere near
+    ball = frame(spark, ball, "match_id int, t double, x double, y double, vx double, vy double")
+    kin = frame(spark, [(1, g, 10 if team == 0 else 20 + k, team, g / 10, x, y) for g in range(800, 3300) for k, (team, x, y) in enumerate([(0, 32.0, 4.0), (1, 50.0, 2.0), (1, -10.0, 30.0)])],
+                "match_id int, g long, track_id int, team int, grid_t double, x double, y double")
+    signs = frame(spark, [(1, 0, 1), (1, 1, -1)], "match_id int, team int, sign int")
+    goals = frame(spark, [(1, "right", 101.0, 0.9)], "match_id int, side string, t double, confidence double")
+    found = match.flight_shots(match.flights(ball.select("match_id", "t", "vx", "vy"), 10.0), ball, kin, signs, goals).orderBy("t", "type").collect()
+    assert [(r.type, r.t, r.side, r.team, r.outcome) for r in found] == [
+        ("shot", 100.0, "right", 0, "goal"), ("shot", 200.0, "right", 0, "saved"), ("save", 200.8, "right", 1, "saved"), ("chance", 300.0, "left", 1, "wide")]
+    assert found[1].track_id == 10 and found[2].keeper_id == 21 and found[3].track_id is None
+
+
+def test_best_of_two_goals_stays(spark):
+    rows = frame(spark, [(1, "left", 0.0, 0.7), (1, "left", 10.0, 0.9), (1, "left", 34.0, 0.8), (1, "left", 36.0, 0.6), (1, "right", 12.0, 0.6), (1, "left", 90.0, 0.6)], "match_id int, side string, t double, confidence double")
+    kept = ts.best_apart(rows, ["match_id", "side"], "t", "confidence", 25.0).collect()
+    assert sorted((r.side, r.t) for r in kept) == [("left", 10.0), ("left", 36.0), ("left", 90.0), ("right", 12.0)]
+
+
+def test_similar_histograms_equal_all_pairs_over_many_blocks(spark):
+    rng = random.Random(4)
+    data = [(i, [rng.random() for _ in range(6)]) for i in range(150)] + [(150, [0.0] * 6), (151, [1.0] * 3), (152, None), (153, [0.5] * 3)]
+    rows = frame(spark, data, "id long, h array<double>")
+    found = stats.most_similar(rows, rows.where("id % 10 = 1"), "id", "h", 4, block=32)
+    want = set()
+    for q, a in data:
+        if q % 10 == 1:
+            near = sorted((-round(sum(math.sqrt(x * y) for x, y in zip(a, b)) / math.sqrt(sum(a) * sum(b)), 6), m) for m, b in data if m != q and b and len(b) == len(a) and sum(b) > 0)
+            want |= {(q, m, -s, i + 1) for i, (s, m) in enumerate(near[:4])}
+    assert {(r.q, r.m, r.sim, r.rank) for r in found.collect()} == want
