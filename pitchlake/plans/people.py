@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.operators import camera, control, focus, match, stats
@@ -38,7 +38,10 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_SQL = f"""{BOUND_SQL}, cm AS (SELECT match_id, event_id, t, state, round(x * 100) AS x, CAST(round(y * 100) AS DOUBLE) AS y FROM bound),
  pairs AS (SELECT b.match_id, b.event_id, p.event_id AS sample_id, p.x, p.y, sqrt(power(p.x - b.x, 2) + power(p.y - b.y, 2)) AS d
  FROM cm b JOIN cm p ON b.match_id = p.match_id AND abs(floor(b.t / 4) - floor(p.t / 4)) <= 1 WHERE b.state = 'purchase' AND p.state <> 'purchase')"""
-AWAY = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
+
+
+def _away() -> Column:
+    return F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
 
 
 @query(f"""
@@ -47,7 +50,7 @@ SELECT match_id, event_id, n_near, CASE WHEN n_near >= 2 THEN nx ELSE ax END AS
 """)
 def centroid_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the players around each ball sample are."""
-    return focus.centroids(_near(spark, sf_dir), ["match_id", "event_id"], "x", "y", AWAY, 2000.0)
+    return focus.centroids(_near(spark, sf_dir), ["match_id", "event_id"], "x", "y", _away(), 2000.0)
 
 
 @query(f"""
@@ -57,7 +60,7 @@ SELECT match_id, event_id, sample_id, place, round(d, 4) AS distance FROM k WHER
 """)
 def engaged_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three players nearest to each ball sample."""
-    rows = focus.engaged(_near(spark, sf_dir), ["match_id", "event_id"], AWAY, "sample_id", 2500.0, 3)
+    rows = focus.engaged(_near(spark, sf_dir), ["match_id", "event_id"], _away(), "sample_id", 2500.0, 3)
     return rows.select("match_id", "event_id", "sample_id", "place", F.round("distance", 4).alias("distance"))
 
 
