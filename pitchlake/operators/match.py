@@ -675,8 +675,12 @@ def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0,
         found = scored.unionByName(tried).unionByName(sprint_events(kin())).unionByName(turnover_events(owned())).unionByName(area_entries(near(), signs()))
         return score_events(merge_events(found))
 
+    def by_flight() -> DataFrame:
+        seen = ball().where("visible").select("match_id", F.col("grid_t").alias("t"), "x", "y", "vx", "vy")
+        return flight_shots(flights(seen.select("match_id", "t", "vx", "vy"), 10.0), seen, kin(), signs(), goals())
+
     results = {
-        "kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot,
+        "flight_shots": by_flight, "kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot,
         "set_pieces": lambda: set_pieces(ball()), "events": events, "player_stats": lambda: player_stats(kin(), signs()), "team_stats": lambda: team_stats(owned(), passed()),
         "momentum": lambda: momentum(owned(), shot(), progression(ball(), owned(), signs())),
     }

@@ -43,7 +43,7 @@ def _part(name: str):
     return query()(run)
 
 
-for _name in ("segments", "goals", "touches", "passes", "shots", "set_pieces", "events", "player_stats", "team_stats", "momentum"):
+for _name in ("segments", "goals", "touches", "passes", "shots", "flight_shots", "set_pieces", "events", "player_stats", "team_stats", "momentum"):
     _part(_name)
 
 

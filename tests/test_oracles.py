@@ -1,6 +1,9 @@
 """Every registered query that SQL can express, against DuckDB on the small tables."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -47,3 +50,9 @@ def test_filters_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,error)" in plan and "props" not in plan.split("ReadSchema")[1]
     assert F is not None
+
+
+def test_queries_import_without_a_session():
+    """The driver imports the entry before it has a session."""
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, timeout=120).returncode == 0
