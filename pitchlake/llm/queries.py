@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import bpe, chat_format, exact_dedup, knn_quality, license_scan, local_descriptors, near_dedup, pfair_mix, substring_dedup, suffix_dedup
+from pitchlake.llm import bpe, chat_format, exact_dedup, knn_quality, license_scan, line_dedup, local_descriptors, near_dedup, periodic_runs, pfair_mix, spelling_groups, substring_dedup, suffix_dedup
 from pitchlake.llm.sql import ORACLES  # noqa: F401
 
 
@@ -69,6 +69,18 @@ def op10_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_descriptors.edited_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(periodic_runs.with_planted_runs(documents(spark, sf_dir)))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_knn_quality": op1_knn_quality,
     "op2_bpe": op2_bpe,
@@ -80,4 +92,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_local_descriptors": op10_local_descriptors,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_groups": op13_spelling_groups,
 }

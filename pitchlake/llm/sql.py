@@ -22,3 +22,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  bool_and(CASE role WHEN 'system' THEN was IS NULL WHEN 'user' THEN was IS NULL OR was IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(was = 'user', false) ELSE false END) AS valid
 FROM t GROUP BY conv_id
 """
+
+_WHITE = "concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+ORACLES["op11_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+ l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM d),
+ k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ m AS (SELECT k.*, g.top IS NULL OR k.doc_id = g.top AS kept FROM k LEFT JOIN g ON k.key = g.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kept), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
