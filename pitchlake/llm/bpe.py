@@ -378,8 +378,8 @@ def frequent_lexicon(docs: DataFrame, path: str, n_words: int) -> bytes:
     return compile_lexicon({w: ids.tolist() for w, ids in zip(words, load(path).merge(words))})
 
 
-def encode_documents(docs: DataFrame, path: str, n_words: int = 32_768, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]), one row per row of ``docs``."""
+def encode_documents(docs: DataFrame, path: str, n_words: int = 32_768, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, carried columns]), one row per row of ``docs``."""
     compiled = docs.sparkSession.sparkContext.broadcast(frequent_lexicon(docs, path, n_words))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if with_ids else [])]
@@ -394,6 +394,8 @@ def encode_documents(docs: DataFrame, path: str, n_words: int = 32_768, with_ids
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     decoded = decode(encoder.model, ids)
                     rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids] if with_ids else [])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), *part.columns[2:]], names=[*names, *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(encode, schema + carried)

@@ -95,11 +95,18 @@ def read_back(formatted: Column) -> Column:
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid), all read back from the output."""
-    out = format_conversations(turns).select("conv_id", "valid", "formatted", read_back(F.col("formatted")).alias("turns"))
-    loss_roles = [F.lit(r) for r, t in TEMPLATE.items() if t[2]]
+    """``digest_of`` the formatted conversations."""
+    return digest_of(format_conversations(turns))
+
+
+def digest_of(formatted: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid), all read back from the output.
+
+    The turns come from the formatted text, what is learnt from the segments under the loss mask.
+    """
+    out = formatted.select("conv_id", "valid", "formatted", "segments", read_back(F.col("formatted")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*loss_roles)), lambda t: t["text"]), "")
+    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return out.withColumn("learnt", learnt).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),

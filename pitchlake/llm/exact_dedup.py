@@ -7,7 +7,7 @@ rows), so that rows of frequent digests never move. All other digests are rarer
 error bound and use an ordinary shuffle.
 
 Defined results: null texts count as empty; of equal texts the smallest id stays; rows that share
-that id (repeated rows) all stay; a null id is larger than any other; an empty table gives no rows;
+that id (repeated rows) all stay; a null id is smaller than any other; an empty table gives no rows;
 other columns of the input are ignored, whatever they are called.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.llm.common import materialise
+from pitchlake.llm.repeats import NO_ID
 
 
 def normalised(text: Column) -> Column:
@@ -29,7 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``heavy`` bounds the broadcast table of winners; it changes the route of a row, never its result.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "digests")
+    rows = materialise(docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "digests")
     candidates = (
         rows.agg(F.expr(f"approx_top_k(text_sha256, {heavy}, {heavy * 16})").alias("top"))
         .select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("text_sha256"))
@@ -40,12 +41,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = rows.join(F.broadcast(winners), "text_sha256")
     rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
     ordinary = rest.join(rest.groupBy("text_sha256").agg(*group), "text_sha256")
+    real = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     return frequent.unionByName(ordinary).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        real("doc_id"), real("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns; a row stays by its id and its text, since ids may repeat."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
+    own = F.sha2(normalised(docs["text"]), 256)
+    return docs.join(kept, (own == kept["kept_sha256"]) & docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

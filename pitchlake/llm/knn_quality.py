@@ -135,20 +135,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64)
 
 
 def score_quality(docs: DataFrame, model: LatentModel, neighbours: int = 15, trust: float = 0.25, block: int = 256) -> DataFrame:
-    """(doc_id, score), one row per row of ``docs``."""
+    """(doc_id, text_key, score), one row per row of ``docs``; ``text_key`` is ``xxhash64(text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: broadcasts aren't pickled by value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, model = Terms(), LatentModel.__new__(LatentModel)
         vars(model).update(shared.value)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, keys, texts = batch.columns
             for first in range(0, len(texts), block):
                 part = [(t.as_py() or "").encode() for t in texts.slice(first, block)]
                 score = model.scores(term_counts(part, terms), neighbours, trust)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, block), pa.array(score.astype(np.float64))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, block), keys.slice(first, block), pa.array(score.astype(np.float64))], names=["doc_id", "text_key", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
@@ -157,7 +157,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None,
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    kept = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns; a row is accepted by its id and its text, since ids may repeat."""
+    kept = score_quality(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    return docs.join(kept, (F.xxhash64(docs["text"]) == kept["kept_key"]) & docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

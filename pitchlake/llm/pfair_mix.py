@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,8 +95,11 @@ def schedule_frame(start: int, end: int, times: np.ndarray, counts: dict, blocks
     return out
 
 
-def mixed_positions(docs: DataFrame, weights: dict | None = None, block: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(row, source_n, block, slot, position): each row of ``docs``, as a struct, and where it stands in the mixture."""
+def mixed_positions(docs: DataFrame, weights: dict | None = None, block: int = 64, id_col: str = "doc_id", source_col: str = "source", tie: Column | None = None) -> DataFrame:
+    """(row, source_n, block, slot, position): each row of ``docs``, as a struct, and where it stands in the mixture.
+
+    ``tie`` orders rows of one id, so that a task that is run again places them alike, and spreads null ids.
+    """
     spark = docs.sparkSession
     weights = dict(weights or {})
     if any(w <= 0 for w in weights.values()):
@@ -116,12 +119,12 @@ def mixed_positions(docs: DataFrame, weights: dict | None = None, block: int = 6
 
     # one row a source, MOST_SOURCES at most, so it may be broadcast
     table = spark.createDataFrame([(s, number[s]) for s in names], f"name {docs.schema[source_col].dataType.simpleString()}, source_n int")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("row", "id", "source_n", F.pmod(F.xxhash64("id"), F.lit(n_buckets)).alias("bucket"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), (F.lit(0) if tie is None else tie).alias("tie"), F.col(source_col).alias("source"))
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).select("row", "id", "tie", "source_n", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("tie")).otherwise(F.xxhash64("id")), F.lit(n_buckets)).alias("bucket"))
     bucket = rows.groupBy("source_n", "bucket").count()
     so_far = Window.partitionBy("source_n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucket.select("source_n", "bucket", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source_n", "bucket").orderBy(F.xxhash64("id"), "id")
+    within = Window.partitionBy("source_n", "bucket").orderBy(F.xxhash64("id"), "id", "tie")
     numbered = rows.join(starts, ["source_n", "bucket"]).withColumn("place", F.col("start") + F.row_number().over(within) - 1)
     numbered = numbered.select("row", "source_n", "place", F.floor(F.col("place") / block).alias("block"))
 
@@ -142,5 +145,5 @@ def mix_plan(docs: DataFrame, weights: dict | None = None, block: int = 64) -> D
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 64) -> DataFrame:
     """All rows and columns of ``docs``, laid out in the order of the mixture."""
-    placed = mixed_positions(docs, weights, block).select("row", "position")
+    placed = mixed_positions(docs, weights, block, tie=F.xxhash64("text") if "text" in docs.columns else None).select("row", "position")
     return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

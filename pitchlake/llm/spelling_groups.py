@@ -188,7 +188,7 @@ def neighbours(vocabulary: DataFrame, hot: int = 256, shard: int = 30_000) -> Da
         n_shards = max(n_tasks(vocabulary.sparkSession), math.ceil(pieces.count() / shard))
         dealt = small.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(n_shards)))
         part = dealt.groupBy("shard").applyInArrow(scan_shard, "word string, near long, form_n long, form string")
-        part = materialise(part, f"near{level}", few=True)
+        part = materialise(part, f"near{level}")
         found = part if found is None else found.unionByName(part)
         if none_large:
             break

@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pitchlake.llm import knn_quality
+from pyspark.sql import functions as F
+
+from pitchlake.llm import knn_quality, pfair_mix
 from pitchlake.llm.common import materialise
+from pitchlake.llm.queries import MIX_WEIGHTS
 from tests.llm.test_text_operators import brute_near
 
 SF = "/root/testdata/sf0.001"
@@ -53,8 +56,37 @@ def test_stages_equal_brute_force(spark):
     for i, t in before.items():
         ids = library.encode(t, add_special_tokens=False).ids
         assert after[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    mixed = pfair_mix.mixed_positions(docs, MIX_WEIGHTS, tie=F.xxhash64("text"))
+    assert {r["doc_id"]: r["position"] for r in mixed.select("row.doc_id", "position").collect()} == {i: r["position"] for i, r in after.items()}
 
 
 def test_run_returns_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
-    assert rows.columns[:2] == ["doc_id", "n_tokens"] and 100 < rows.count() < 200
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position"] and 100 < rows.count() < 200
+    assert rows.select("position").distinct().count() == rows.count()
+
+
+def folder(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_empty_documents(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    good = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] % 4]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in good]
+    extra = [(None, None, None, None, None), (None, rows[3][1] + " of a null id", None, None, 1), (rows[5][0], rows[6][1] + " and more", "xx", "src1", 2), rows[7], rows[7]]
+    path = folder(spark, tmp_path, rows + extra)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = materialise(stage(spark, docs, path), name)
+        assert 0 < docs.count() <= before
+        if name == "mix":
+            assert docs.count() == before
+    assert docs.count() == docs.select("position").distinct().count()

@@ -462,6 +462,35 @@ def test_mixing_keeps_rows_and_columns(corpus):
         pfair_mix.mix_sources(df, {"a": 0.0})
 
 
+def test_the_loss_mask_is_what_is_read(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "<tell> & [more]"), (None, 0, "user", "x"), (None, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    out = chat_format.format_conversations(turns)
+    got = {r["conv_id"]: r for r in chat_format.digest_of(out).collect()}
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"<tell> & [more]").hexdigest() and (got[None]["n_turns"], got[None]["loss_chars"]) == (2, 0)
+    masked = out.withColumn("segments", F.transform("segments", lambda s: F.struct(s["role"], s["text"], F.lit(False).alias("loss"))))
+    assert all(r["loss_chars"] == 0 for r in chat_format.digest_of(masked).collect())
+
+
+def test_rows_stay_by_id_and_text(spark):
+    docs = spark.createDataFrame([(3, "b"), (5, "a"), (5, "b"), (None, "c"), (7, "c"), (None, "a  a"), (9, None), (9, "")], "doc_id long, text string").withColumn("kept", F.lit(1))
+    got = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_duplicates(docs).collect()), key=repr)
+    assert got == [(3, "b"), (5, "a"), (9, ""), (9, None), (None, "a  a"), (None, "c")]
+
+
+def test_good_rows_stay_by_id_and_text(spark):
+    texts = ["Plain words make a calm and useful sentence here. " * 8, "x9$ zz!! @@ 11 BUY!!! " * 20]
+    docs = spark.createDataFrame([(i, texts[i % 2] + str(i)) for i in range(80)] + [(500, texts[0]), (500, texts[1]), (None, texts[0]), (None, texts[1])], "doc_id long, text string").withColumn("score", F.lit(1))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int")
+    got = [(r["doc_id"], r["text"][:5]) for r in knn_quality.keep_good(docs, labels).collect() if r["doc_id"] in (500, None)]
+    assert sorted(got, key=repr) == [(500, "Plain"), (None, "Plain")]
+
+
+def test_ties_in_the_mixture_are_ordered_by_text(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}", "a") for i in range(40)], "doc_id long, text string, source string")
+    place = lambda df: {r["row"]["text"]: r["position"] for r in pfair_mix.mixed_positions(df, {}, 4, tie=F.xxhash64("text")).collect()}
+    assert place(docs.repartition(5)) == place(docs.repartition(2, "text")) and sorted(place(docs).values()) == list(range(40))
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "a &lt; b &amp; <s>", "", None, "line\nbreak & [x]", "<<SYS>>"]
     rows = [(c, t, r, rnd.choice(said)) for c in range(30) for t, r in enumerate(rnd.choices(["user", "assistant", "system", "to<ol>", None], k=rnd.randint(1, 6)))]
@@ -506,7 +535,7 @@ def test_null_and_repeated_ids(spark):
     rows = sorted(((r["doc_id"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(df).collect()), key=repr)
     size = len(text)
     assert rows == sorted([(None, 0), (5, size), (5, size), (7, 0)], key=repr)
-    assert exact_dedup.exact_dedup(df).where("kept").count() == 3
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(df).where("kept").collect()} == {None, 7}  # a null id is the smallest
     assert near_dedup.near_duplicates(df).where("component_id IS NULL").count() == 3
     ids = {r["doc_id"] for r in license_scan.license_scan(df).collect()}
     assert ids == {None, 5, 7}
