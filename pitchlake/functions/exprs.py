@@ -175,7 +175,7 @@ def team_bucket(team: Column, home: Column, away: Column) -> Column:
     return F.when(F.coalesce(value == "", F.lit(True)), "unattributed").when(is_team("home", home), "home").when(is_team("away", away), "away").otherwise("unattributed")
 
 
-#: Event types that the store accepts.
+#: Event types that the store accepts. Fixed values.
 EVENT_TYPES = ("goal", "shot", "corner_kick", "penalty_kick", "free_kick", "goal_kick", "kickoff", "foul", "save", "yellow_card", "red_card", "chance", "sprint", "dribble", "turnover", "foul_candidate")
 
 
@@ -218,19 +218,24 @@ def interval_overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Col
     return F.greatest(F.lit(0.0), F.least(end_a, end_b) - F.greatest(start_a, start_b))
 
 
-#: Excitement of an event by its type; anything else counts 0.2.
-BASE_EXCITEMENT = {
-    "goal": 1.0, "shot_on_target": 0.8, "shot": 0.6, "save": 0.75, "chance": 0.5, "yellow_card": 0.6, "red_card": 0.6, "penalty_kick": 0.5, "corner_kick": 0.4,
-    "free_kick_threat": 0.4, "free_kick": 0.3, "goal_kick": 0.3, "kickoff": 0.3, "dribble": 0.35, "foul_candidate": 0.3, "sprint": 0.25, "turnover": 0.2,
+#: Excitement of an event by its type; anything else counts 0.2. Fixed values.
+EXCITEMENT = {
+    "goal": 1.0, "shot": 0.6, "save": 0.75, "chance": 0.5, "yellow_card": 0.6, "red_card": 0.6, "penalty_kick": 0.5, "corner_kick": 0.4,
+    "free_kick": 0.3, "goal_kick": 0.3, "kickoff": 0.3, "dribble": 0.35, "foul_candidate": 0.3, "sprint": 0.25, "turnover": 0.2,
 }
+#: Of a shot on target, and of a free kick that a side is known for. Fixed values.
+SHOT_ON_TARGET, KNOWN_FREE_KICK = 0.8, 0.4
 
 
 def base_excitement(kind: Column, on_target: Column, side: Column) -> Column:
-    key = F.when((kind == "shot") & F.coalesce(on_target, F.lit(False)), "shot_on_target").when((kind == "free_kick") & side.isNotNull(), "free_kick_threat").otherwise(kind)
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BASE_EXCITEMENT.items() for x in pair]), key), F.lit(0.2))
+    """By type; shots on target and free kicks of a known side count more."""
+    value = F.when((kind == "shot") & on_target, SHOT_ON_TARGET).when((kind == "free_kick") & side.isNotNull(), KNOWN_FREE_KICK)
+    for name, points in EXCITEMENT.items():
+        value = value.when(kind == name, points)
+    return value.otherwise(0.2)
 
 
-#: Providers by host name.
+#: Providers by host name. Fixed values.
 SOURCE_HOSTS = {
     "youtube": ("youtube.com", "www.youtube.com", "youtu.be", "m.youtube.com"), "vimeo": ("vimeo.com", "player.vimeo.com"), "veo": ("veo.co", "app.veo.co"),
     "hudl": ("hudl.com", "www.hudl.com", "fan.hudl.com"), "pixellot": ("pixellot.tv", "www.pixellot.tv"), "xbotgo": ("xbotgo.com", "www.xbotgo.com"),

@@ -127,40 +127,40 @@ def lower_envelope(df: DataFrame, keys: list[str], order: str, value: str, step:
     return weighted_rows(rows.drop(name), keys, order, "_least", np.hanning(2 * radius + 3)[1:-1].tolist(), name).drop("_least")
 
 
-def _at_most(z: complex, limit: float) -> complex:
-    return z if abs(z) <= limit or z == 0 else z * (limit / abs(z))
-
-
-def chased(path: np.ndarray, dt: float, fastest: np.ndarray, strongest: np.ndarray) -> np.ndarray:
-    """A point of the plane (complex) that follows ``path`` within its speeds and accelerations and brakes in time."""
-    out, v = np.array(path, complex), 0j
-    for i in range(1, len(path)):
-        pace, error = (path[i] - path[i - 1]) / dt, path[i] - out[i - 1]
-        want = error / dt
-        brake = (2 * strongest[i] * abs(error)) ** 0.5
-        if error and abs(want - pace) > brake:
-            want = pace + error / abs(error) * brake
-        if fastest[i] > 0:
-            want = _at_most(want, fastest[i])
-        v += _at_most(want - v, strongest[i] * dt)
-        out[i] = out[i - 1] + v * dt
-    return out
+def within_limits(path: np.ndarray, fastest: float, strongest: float, dt: float) -> np.ndarray:
+    """One coordinate of a path as the nearest that changes by ``fastest`` a second at most, eased so that its speed changes by ``strongest``.
+
+    The greatest curve of that slope below the path and the least one above it are two running extremes each; their mean is
+    as close to the path as such a curve can be. Its mean over the time in which the full speed can be turned round holds
+    the acceleration, and the speed still. Neither has a delay.
+    """
+    reach = fastest * dt * np.arange(len(path))
+
+    def lower(v: np.ndarray) -> np.ndarray:
+        ahead = np.minimum.accumulate(v - reach) + reach
+        behind = (np.minimum.accumulate((v + reach)[::-1]))[::-1] - reach
+        return np.minimum(ahead, behind)
+
+    middle = (lower(path) - lower(-path)) / 2
+    r = int(np.ceil(fastest / (strongest * dt) - 0.5)) if strongest > 0 else 0
+    r = max(r, 0)
+    total = np.concatenate(([0.0], np.cumsum(np.pad(middle, r, mode="edge"))))
+    return (total[2 * r + 1:] - total[:-2 * r - 1]) / (2 * r + 1)
 
 
 def limited_motion(rows: DataFrame, fps: float) -> DataFrame:
-    """(match_id, frame, cx, cy): the mean of a chase forwards and one backwards, so limits hold without delay.
+    """(match_id, frame, cx, cy): paths within limits of speed and acceleration, without delay.
 
-    ``rows`` is (match_id, frame, x, y, fastest, strongest), limits in units a second and a second squared. Plans of
-    fewer than three frames stay. One match is one task.
+    ``rows`` is (match_id, frame, x, y, fastest, strongest), limits in units a second and a second squared; a match is held
+    to its smallest ones. Each coordinate has its share, so that the limits hold in every direction. Plans of fewer than
+    three frames stay. One match is one task.
     """
 
     def run(match: pd.DataFrame) -> pd.DataFrame:
         match = match.sort_values("frame")
-        path, limits = match["x"].to_numpy(float) + 1j * match["y"].to_numpy(float), (match["fastest"].to_numpy(float), match["strongest"].to_numpy(float))
-        if len(path) >= 3:
-            back = chased(path[::-1], 1 / fps, *[v[::-1] for v in limits])[::-1]
-            path = (chased(path, 1 / fps, *limits) + back) / 2
-        return match[["match_id", "frame"]].assign(cx=path.real, cy=path.imag)
+        limits = (match["fastest"].min() / 2 ** 0.5, match["strongest"].min() / 2 ** 0.5)
+        moved = [match[c].to_numpy(float) if len(match) < 3 else within_limits(match[c].to_numpy(float), *limits, 1 / fps) for c in ("x", "y")]
+        return match[["match_id", "frame"]].assign(cx=moved[0], cy=moved[1])
 
     kind = dict(rows.dtypes)
     return rows.select("match_id", "frame", "x", "y", "fastest", "strongest").groupBy("match_id").applyInPandas(

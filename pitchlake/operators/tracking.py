@@ -1,7 +1,7 @@
 """Detections to tracks: boxes, suppression, assignment, a Kalman tracker, stitching, identity measures.
 
 Detections are rows (match_id, frame, det, x1, y1, x2, y2, conf). Tracking is sequential by nature and runs
-as one small function over each match's frames; everything around it is relational.
+as one small class (``tracker``) over each match's frames; everything around it is relational.
 """
 
 from __future__ import annotations
@@ -13,48 +13,11 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs
 from pitchlake.operators import timeseries as ts
+from pitchlake.operators.tracker import Settings, Tracker, assign, iou  # noqa: F401  assign: for users of this module
 
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All pairs of two box arrays."""
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    meet = np.prod(np.clip(high - low, 0, None), axis=2)
-    area = lambda r: np.prod(np.clip(r[:, 2:] - r[:, :2], 0, None), axis=1)
-    return meet / np.maximum(area(a)[:, None] + area(b)[None] - meet, 1e-9)
-
-
-def assign(cost: np.ndarray, worst: float) -> list[tuple[int, int]]:
-    """Least-cost one-to-one pairs of cost at most ``worst``, by shortest augmenting paths with potentials."""
-    n, m = cost.shape
-    if not n or not m:
-        return []
-    if n > m:
-        return sorted((i, j) for j, i in assign(cost.T, worst))
-    c = np.minimum(cost, worst * 10 + 1)
-    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
-    for i in range(n):
-        owner[m], j = i, m
-        reach, before, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
-        while owner[j] >= 0:
-            done[j] = True
-            row = owner[j]
-            free = np.flatnonzero(~done[:m])
-            slack = c[row, free] - u[row] - v[free]
-            closer = slack < reach[free]
-            reach[free[closer]], before[free[closer]] = slack[closer], j
-            j = free[reach[free].argmin()]
-            step = reach[j]
-            u[owner[done]] += step
-            v[done] -= step
-            reach[~done[:m]] -= step
-        while j != m:
-            owner[j], j = owner[before[j]], before[j]
-    return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0 and cost[owner[j], j] <= worst)
-
-
 def suppress(detections: DataFrame, most: float = 0.5) -> DataFrame:
     """Greedy suppression in each frame: a box goes when a more confident one that stays overlaps it too much."""
 
@@ -76,52 +39,79 @@ def strongest(detections: DataFrame, most: int) -> DataFrame:
     return detections.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def track(detections: DataFrame, sure: float = 0.5, doubtful: float = 0.1, worst: float = 0.85, lost: int = 45, confirm: int = 2) -> DataFrame:
-    """(match_id, frame, det, track_id): constant-velocity boxes, sure detections first, doubtful ones for what is left, then nearby centres."""
+def track_frames(tracker: Tracker, rows: pd.DataFrame) -> list[tuple]:
+    """(frame, det, track) of whole frames in order, by ``tracker``."""
+    out = []
+    for now, frame in rows.sort_values(["frame", "det"]).groupby("frame", sort=True):
+        looks = list(frame["look"]) if "look" in frame else None
+        out += tracker.step(int(now), frame["det"].tolist(), frame[list(BOX)].to_numpy(float), frame["conf"].to_numpy(float), looks)
+    return out
+
+
+def track(detections: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(match_id, frame, det, track_id): the tracker over each match's frames; ``look`` (histogram array) is used where it is a column."""
+    settings = settings or Settings()
 
     def run(match: pd.DataFrame) -> pd.DataFrame:
-        match = match.sort_values(["frame", "det"])
-        state = np.zeros((0, 8))  # box, velocity
-        gain, seen, hits, ids, number, out = np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 0, []
-        for now, frame in match.groupby("frame", sort=True):
-            state[:, :4] += state[:, 4:]
-            gain = gain + 0.05
-            boxes, conf, left = frame[list(BOX)].to_numpy(float), frame["conf"].to_numpy(float), np.arange(len(state))
-            taken = np.full(len(frame), -1)
-            for least, most, by_centre in ((sure, 2.0, False), (doubtful, sure, False), (sure, 2.0, True)):
-                free = np.flatnonzero((conf >= least) & (conf < most) & (taken < 0))
-                if not len(free) or not len(left):
-                    continue
-                a, b = state[left, :4], boxes[free]
-                if by_centre:
-                    gap = np.linalg.norm((a[:, None, :2] + a[:, None, 2:] - b[None, :, :2] - b[None, :, 2:]) / 2, axis=2)
-                    cost = gap / np.maximum(((a[:, 3] - a[:, 1])[:, None] + (b[:, 3] - b[:, 1])[None]) / 2, 1e-6)
-                else:
-                    cost = 1 - iou(a, b)
-                pairs = assign(cost, worst)
-                for i, j in pairs:
-                    k, d = left[i], free[j]
-                    weight = (gain[k] + 0.1) / (gain[k] + 0.3)
-                    error = boxes[d] - state[k, :4]
-                    state[k, :4] += weight * error
-                    state[k, 4:] += 0.3 * weight * error
-                    gain[k] *= 1 - weight
-                    taken[d], seen[k], hits[k] = k, now, hits[k] + 1
-                left = np.delete(left, [i for i, _ in pairs])
-            new = np.flatnonzero((taken < 0) & (conf >= sure))
-            taken[new] = len(state) + np.arange(len(new))
-            state = np.concatenate([state, np.hstack([boxes[new], np.zeros((len(new), 4))])])
-            gain, seen, hits = np.append(gain, np.ones(len(new))), np.append(seen, np.full(len(new), now)), np.append(hits, np.ones(len(new), int))
-            ids, number = np.append(ids, number + np.arange(len(new))), number + len(new)
-            out += [(now, d, ids[k]) for d, k in zip(frame["det"], taken) if k >= 0]
-            stay = (now - seen <= lost) & ((hits >= confirm) | (now - seen <= 1))
-            state, gain, seen, hits, ids = state[stay], gain[stay], seen[stay], hits[stay], ids[stay]
-        found = pd.DataFrame(out, columns=["frame", "det", "track_id"]).assign(match_id=match["match_id"].iloc[0])
-        counts = found.groupby("track_id")["det"].transform("size")
-        return found[counts >= confirm][["match_id", "frame", "det", "track_id"]]
+        found = pd.DataFrame(track_frames(Tracker(settings), match), columns=["frame", "det", "track_id"])
+        return found.assign(match_id=match["match_id"].iloc[0])[["match_id", "frame", "det", "track_id"]]
 
     kind = dict(detections.dtypes)
-    return detections.select("match_id", "frame", "det", *BOX, "conf").groupBy("match_id").applyInPandas(run, f"match_id {kind['match_id']}, frame {kind['frame']}, det {kind['det']}, track_id int")
+    looks = ["look"] if "look" in kind else []
+    return detections.select("match_id", "frame", "det", *BOX, "conf", *looks).groupBy("match_id").applyInPandas(run, f"match_id {kind['match_id']}, frame {kind['frame']}, det {kind['det']}, track_id int")
+
+
+def appearance_samples(tracked: DataFrame, every: int = 25, keep: int = 8, apart: float = 0.05) -> DataFrame:
+    """(match_id, track_id, n, total, head, tail): histograms of each track, one in ``every`` frames, where its box stands alone.
+
+    ``tracked`` is (match_id, frame, track_id, x1, y1, x2, y2, look). A box that overlaps another of its frame by more than
+    ``apart`` waits for the next frame. ``head`` and ``tail`` are the first and last ``keep`` samples in order: bounded,
+    however long the track; ``total`` is the sum of all samples.
+    """
+    frame = Window.partitionBy("match_id", "frame")
+    others = F.collect_list(F.struct("track_id", *BOX)).over(frame)
+    crowded = F.exists(others, lambda o: (o["track_id"] != F.col("track_id")) & (exprs.box_iou([F.col(c) for c in BOX], [o[c] for c in BOX]) > apart))
+    alone = tracked.where(F.col("look").isNotNull()).withColumn("_crowded", crowded).where("NOT _crowded").drop("_crowded")
+    keys = ["match_id", "track_id"]
+    due = ts.debounce(alone, keys, "frame", every)
+    rows = alone.join(due.withColumn("frame", F.col("frame").cast(dict(alone.dtypes)["frame"])), [*keys, "frame"])
+    order = Window.partitionBy(*keys)
+    rows = rows.withColumn("_first", F.row_number().over(order.orderBy("frame"))).withColumn("_last", F.row_number().over(order.orderBy(F.desc("frame"))))
+    pick = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c) <= keep, F.struct("frame", "look")))), lambda r: r["look"])
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pick("_first").alias("head"), pick("_last").alias("tail"))
+    bins = rows.select(*keys, F.posexplode("look").alias("bin", "v")).groupBy(*keys, "bin").agg(F.sum("v").alias("v"))
+    total = bins.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "v"))), lambda r: r["v"]).alias("total"))
+    return ends.join(total, keys).select(*keys, "n", "total", "head", "tail")
+
+
+def stitch_target(parts: DataFrame, seeds: DataFrame, longest: float = 3.0, **gates: float) -> DataFrame:
+    """(match_id, place, track_id): the chain that grows forward from one seed track of each match, cheapest successor first.
+
+    ``seeds`` is (match_id, track_id). Successors are ``link_candidates``, found by a range join of ends and heads; a link
+    starts after its tail's own start, so a chain never turns back, and growth stops at the first tail that has none. A
+    match's candidates meet in one task, sorted once, so a step is one look-up.
+    """
+
+    def run(match: pd.DataFrame) -> pd.DataFrame:
+        links = match.dropna(subset=["cost"]).sort_values(["cost", "t_start", "later"])
+        best = {}
+        for row in links.itertuples(index=False):
+            best.setdefault(int(row.earlier), []).append(int(row.later))
+        chain, used = [], set()
+        for at in match.loc[match["cost"].isna(), "earlier"].astype(int):
+            while at is not None:
+                chain.append(at)
+                used.add(at)
+                at = next((x for x in best.get(at, ()) if x not in used), None)
+        return pd.DataFrame({"match_id": match["match_id"].iloc[0], "place": np.arange(len(chain)), "track_id": chain})
+
+    wanted = seeds.select("match_id").distinct()
+    starts = parts.select("match_id", F.col("track_id").alias("later"), "t_start")
+    links = link_candidates(parts.join(wanted, "match_id", "left_semi"), longest, **gates).join(starts, ["match_id", "later"])
+    first = seeds.select("match_id", F.col("track_id").alias("earlier"), F.lit(None).cast("int").alias("later"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("t_start"))
+    kind = dict(parts.dtypes)["match_id"]
+    rows = first.unionByName(links.select(first.columns))
+    return rows.groupBy("match_id").applyInPandas(run, f"match_id {kind}, place int, track_id int")
 
 
 def fragments(tracked: DataFrame, t: str = "t") -> DataFrame:

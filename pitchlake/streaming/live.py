@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pitchlake.operators.tracker import Settings, Tracker
+from pitchlake.operators.tracking import BOX, track_frames
 from pitchlake.sources import schemas
 
 #: The longest look-ahead of a batch operator; a live result is final after it.
@@ -65,6 +67,30 @@ def live_ball(rows: DataFrame, limit: float, gate: float, alpha: float = 0.5, be
     return rows.groupBy("match_id").applyInPandasWithState(run, f"match_id {kind}, t double, x double, y double", "last double, x double, y double, vx double, vy double", "append", GroupStateTimeout.NoTimeout)
 
 
+def live_tracks(rows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(match_id, frame, det, track_id): ``tracking.track`` as frames arrive, its tracks kept as state between batches.
+
+    A match's frames must come in order and a frame whole, as a file of frames does; frames at or before the last one are
+    dropped as late. The state is the packed tracker, bounded by the tracks alive. After a restart from the checkpoint the
+    tracks go on as in the batch form.
+    """
+    settings = settings or Settings()
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracker = Tracker.unpack(bytes(state.get[0])) if state.exists else Tracker(settings)
+        whole = pd.concat(list(parts))
+        if tracker.last is not None:
+            whole = whole[whole["frame"] > tracker.last]
+        found = pd.DataFrame(track_frames(tracker, whole), columns=["frame", "det", "track_id"])
+        state.update((tracker.pack(),))
+        yield found.assign(match_id=key[0])[["match_id", "frame", "det", "track_id"]]
+
+    kind = dict(rows.dtypes)
+    looks = ["look"] if "look" in kind else []
+    schema = f"match_id {kind['match_id']}, frame {kind['frame']}, det {kind['det']}, track_id int"
+    return rows.select("match_id", "frame", "det", *BOX, "conf", *looks).groupBy("match_id").applyInPandasWithState(run, schema, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def write_once(rows: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """All that is there now, then stop; a restart goes on from the checkpoint."""
     return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
