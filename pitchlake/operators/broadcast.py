@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.operators import timeseries as ts
@@ -67,14 +67,55 @@ def stopped_windows(segments: DataFrame, pad: float = 2.0, shortest: float = 1.0
     return ts.merge_intervals(stops, MATCH, "start_s", "end_s").where(F.col("end_s") - F.col("start_s") >= shortest)
 
 
-def foul_candidates(peaks: DataFrame, segments: DataFrame, near: DataFrame, within: float = 4.0, radius: float = 10.0, more: int = 2) -> DataFrame:
-    """(match_id, t, confidence): loud, play stops within 4 s, and more players are around the ball two seconds later than at the time.
+def merge_cards(cards: DataFrame, window: float = 20.0, least: float = 0.5) -> DataFrame:
+    """``cards`` (match_id, t, kind, confidence and others), where one within ``window`` seconds of the card kept last, of its kind, is the same card.
 
-    near: (match_id, g, players_within_radius) on the 10 Hz grid.
+    The more confident one is kept, and what follows is compared with it and not with the row before: a card that replaces
+    another moves the window on, one that goes does not. A match's few cards are folded in order. Those below ``least`` go.
     """
-    stops = segments.where(F.col("state").startswith("restart") | (F.col("state") == "ball_lost")).select("match_id", F.col("start_s").alias("stop"))
-    spans = peaks.select("match_id", "peak_t", "strength", F.col("peak_t").alias("lo"), (F.col("peak_t") + within).alias("hi"))
-    stopped = ts.range_join(stops, spans, MATCH, "stop", "lo", "hi", within, closed=True).groupBy("match_id", "peak_t", "strength").agg(F.min("stop").alias("stop"))
-    at = lambda name, shift: near.select("match_id", (F.col("g") - shift).alias("g"), F.col("players").alias(name))
-    both = stopped.withColumn("g", F.rint(F.col("peak_t") * 10).cast("long")).join(at("before", 0), ["match_id", "g"]).join(at("after", 20), ["match_id", "g"])
-    return both.where(F.col("after") >= F.col("before") + more).select("match_id", F.col("peak_t").alias("t"), F.least(F.lit(0.55), 0.3 + 0.25 * F.col("strength")).alias("confidence"))
+    row = F.struct(F.col("t").alias("_t"), F.col("kind").alias("_kind"), F.col("confidence").alias("_confidence"), F.struct(*cards.columns).alias("_row"))
+    kind = cards.select(F.array(row).alias("a")).schema["a"].dataType
+
+    def take(kept: Column, r: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        same = F.coalesce((last["_kind"] == r["_kind"]) & (r["_t"] - last["_t"] <= window), F.lit(False))
+        swapped = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(r))
+        return F.when(~same, F.array_append(kept, r)).when(r["_confidence"] > last["_confidence"], swapped).otherwise(kept)
+
+    folded = cards.groupBy("match_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    kept = folded.select(F.explode(F.aggregate("_rows", F.array().cast(kind), take)).alias("_kept")).select("_kept._row.*")
+    return kept.where(F.col("confidence") >= least)
+
+
+def foul_candidates(peaks: DataFrame, events: DataFrame, ball: DataFrame, segments: DataFrame, kin: DataFrame, within: float = 4.0, radius: float = 10.0, more: int = 2, hz: float = 10.0) -> DataFrame:
+    """(match_id, t, before, after, confidence): the crowd is loud, play stops, and players come together where the ball was.
+
+    ``peaks`` (match_id, peak_t, strength) beside a goal, shot, save or card of ``events`` (match_id, type, t) don't count.
+    Play stops when from one to ``within`` seconds later half of the ball's grid isn't in play, or the ball is slower than a
+    metre a second for a second and a half. ``more`` players than a second before are within ``radius`` two seconds later. A
+    free kick or penalty within half a minute adds to the confidence. Joins by time or by grid step, keyed by match.
+    """
+    step = lambda t: F.rint(t * hz).cast("long")
+    spans = peaks.select("match_id", "peak_t", "strength", (F.col("peak_t") - 4.0).alias("lo"), (F.col("peak_t") + 4.0).alias("hi"))
+    known = events.where(F.col("type").isin("goal", "shot", "save", "yellow_card", "red_card")).select("match_id", "t")
+    told = ts.range_join(known, spans, MATCH, "t", "lo", "hi", 8.0, closed=True).select("match_id", "peak_t").distinct()
+    free = peaks.join(told, ["match_id", "peak_t"], "left_anti")
+
+    # the ball's grid between one second and ``within`` after each peak
+    after = free.select("match_id", "peak_t", F.explode(F.sequence(step(F.col("peak_t") + 1.0), step(F.col("peak_t") + within))).alias("g"))
+    stopped = ts.asof_backward(after.withColumn("t", F.col("g") / hz), segments.select("match_id", "start_s", "state"), MATCH, "t", "start_s", "seg", fall_back_to_first=True)
+    rows = stopped.join(ball.select("match_id", "g", "speed"), ["match_id", "g"], "left")
+    out = F.avg((F.coalesce(F.col("seg.state"), F.lit("in_play")) != "in_play").cast("int"))
+    calm = rows.groupBy("match_id", "peak_t").agg(out.alias("out"), (F.count_if(F.col("speed") < 1.0) / hz).alias("slow")).where("out >= 0.5 OR slow >= 1.5")
+
+    place = ball.where("x IS NOT NULL").select("match_id", "g", F.col("x").alias("bx"), F.col("y").alias("by"))
+    at = free.join(calm, ["match_id", "peak_t"]).withColumn("g", step(F.col("peak_t"))).join(place, ["match_id", "g"]).drop("g")
+    asked = at.withColumn("w", F.explode(F.array(F.struct(F.lit("before").alias("when"), step(F.col("peak_t") - 1.0).alias("g")), F.struct(F.lit("after").alias("when"), step(F.col("peak_t") + 2.0).alias("g")))))
+    asked = asked.select("match_id", "peak_t", "strength", "bx", "by", "w.*")
+    near = asked.join(kin.select("match_id", "g", "x", "y"), ["match_id", "g"], "left").groupBy("match_id", "peak_t", "strength").agg(
+        *[F.count_if((F.col("when") == k) & (F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= radius)).alias(k) for k in ("before", "after")])
+    found = near.where(F.col("after") >= F.col("before") + more).withColumn("until", F.col("peak_t") + 30.0)
+    kicks = events.where(F.col("type").isin("free_kick", "penalty_kick")).select("match_id", F.col("t").alias("kick_t"))
+    followed = ts.range_join(kicks, found.select("match_id", "peak_t", "until"), MATCH, "kick_t", "peak_t", "until", 30.0, closed=True).select("match_id", "peak_t").distinct().withColumn("followed", F.lit(0.1))
+    confidence = F.least(F.lit(0.55), 0.3 + 0.1 * F.col("strength") + F.coalesce("followed", F.lit(0.0)))
+    return found.join(followed, ["match_id", "peak_t"], "left").select("match_id", F.col("peak_t").alias("t"), "before", "after", confidence.alias("confidence"))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import exprs
+from pitchlake.operators import broadcast, restarts
+from pitchlake.operators import goals as goals_of
 from pitchlake.operators import timeseries as ts
 
 HZ = 10.0
@@ -262,6 +264,31 @@ def nearest_players(ball: DataFrame, kin: DataFrame) -> DataFrame:
         F.min(F.when(F.col("d").isNotNull(), F.struct("d", "track_id", "team"))).alias("near"), F.min(F.when(F.col("team") == 0, F.col("d"))).alias("d0"), F.min(F.when(F.col("team") == 1, F.col("d"))).alias("d1"))
 
 
+def touch_ball(filtered: DataFrame, raw: DataFrame, near_s: float = 0.1, gate: float = 2.5, share: float = 0.5) -> DataFrame:
+    """(match_id, t, x, y): the raw ball where it agrees with the filtered one, in matches where enough of it does, else the filtered.
+
+    A filter lags where a kick turns the ball, which is where touches are. A raw sample agrees when a filtered one is within
+    ``near_s`` and the filtered path is within ``gate`` metres at its time. A match takes them if they are ``share`` of its
+    filtered samples at least and both have three; of several at a time the first stays.
+    """
+    whole = Window.partitionBy("match_id").orderBy("t", "_raw")
+    path = F.when(~F.col("_raw"), F.struct("t", "x", "y"))
+    rows = filtered.select("match_id", "t", "x", "y", F.lit(False).alias("_raw")).unionByName(raw.select("match_id", "t", "x", "y", F.lit(True).alias("_raw")))
+    rows = rows.withColumn("_before", F.last(path, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_after", F.first(path, ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing)))
+    a, b = F.col("_before"), F.col("_after")
+    part = F.when(a.isNull() | b.isNull() | (b["t"] <= a["t"]), F.when(a.isNull(), 1.0).otherwise(0.0)).otherwise((F.col("t") - a["t"]) / (b["t"] - a["t"]))
+    at = lambda c: F.coalesce(a[c], b[c]) + part * F.coalesce(b[c] - a[c], F.lit(0.0))
+    closest = F.least(F.col("t") - a["t"], b["t"] - F.col("t"))
+    fits = F.coalesce((closest <= near_s) & (F.hypot(F.col("x") - at("x"), F.col("y") - at("y")) <= gate), F.lit(False))
+    rows = rows.withColumn("_fits", F.col("_raw") & fits)
+    gate_of = rows.groupBy("match_id").agg(F.count_if(~F.col("_raw")).alias("n"), F.count_if("_raw").alias("n_raw"), F.count_if("_fits").alias("n_fit"))
+    take = (F.col("n") >= 3) & (F.col("n_raw") >= 3) & (F.col("n_fit") >= share * F.col("n"))
+    chosen = rows.join(gate_of.select("match_id", take.alias("_take")), "match_id").where(F.when(F.col("_take"), F.col("_fits")).otherwise(~F.col("_raw")))
+    first = Window.partitionBy("match_id", F.rint(F.col("t") * 1e6)).orderBy("x", "y")
+    return chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("match_id", "t", "x", "y")
+
+
 def touches(near: DataFrame, radius: float = 1.0, kick_radius: float = 2.0, angle: float = 35.0, gain: float = 4.0, slowest: float = 2.0, refractory: float = 0.5) -> DataFrame:
     """(match_id, t, track_id, team, x, y, kind): dwells near one player, and kicks (turns or gains of speed), debounced per player."""
     rows = near.where("near IS NOT NULL").withColumn("who", F.col("near.track_id")).withColumn("d", F.col("near.d"))
@@ -346,21 +373,6 @@ def momentum(owned: DataFrame, shots: DataFrame, progress: DataFrame | None = No
 # --- goals, shots, set pieces -------------------------------------------------------------------------------------
 
 
-def goal_candidates(ball: DataFrame, half_length: float = 52.5, mouth: float = 3.66, cluster_s: float = 4.0, apart_s: float = 25.0) -> DataFrame:
-    """(match_id, t, side, confidence): the ball goes over the line between the posts, or dwells behind it; clustered; of two within 25 s of a side the more confident stays."""
-    w = Window.partitionBy("match_id").orderBy("g")
-    rows = ball.where("visible").withColumn("was", F.lag("x").over(w)).withColumn("gap", F.col("g") - F.lag("g").over(w))
-    between = F.abs(F.col("y")) <= mouth
-    side = F.when(F.col("x") < 0, "left").otherwise("right")
-    crossing = between & (F.abs(F.col("x")) > half_length) & (F.abs(F.col("was")) <= half_length) & (F.col("gap") <= 13)
-    behind = between & F.abs(F.col("x")).between(half_length, half_length + 3.0)
-    signals = rows.where(crossing | behind).select("match_id", side.alias("side"), F.col("grid_t").alias("t"), crossing.alias("crossed"))
-    groups = ts.islands_by_gap(signals, ["match_id", "side"], "t", cluster_s).groupBy("match_id", "side", "island").agg(F.min("t").alias("t"), F.max(F.col("crossed").cast("int")).alias("crossed"), F.count(F.lit(1)).alias("n"))
-    confidence = F.least(F.lit(0.98), 0.35 + 0.4 * F.col("crossed") + 0.05 * F.least("n", F.lit(5)))
-    found = groups.withColumn("confidence", confidence).where("confidence >= 0.6")
-    return ts.best_apart(found, ["match_id", "side"], "t", "confidence", apart_s).select("match_id", "t", "side", "confidence")
-
-
 def judge_goals(candidates: DataFrame, least: float = 0.7, rejected: float = 0.59, refuted: float = 0.35, most: float = 0.98) -> DataFrame:
     """Candidates with ``confidence``, ``corroborated`` and ``verdict`` (goal, shot or chance).
 
@@ -475,18 +487,6 @@ def inferred_shots(touched: DataFrame, goals: DataFrame, signs: DataFrame, withi
         F.lit(0.0).alias("speed"), F.lit(True).alias("on_target"), F.lit(True).alias("goal"))
 
 
-def set_pieces(ball: DataFrame, still: float = 0.6, shortest: float = 1.2, kick: float = 4.0, half_length: float = 52.5, half_width: float = 34.0) -> DataFrame:
-    """(match_id, t, kind, side): the ball rests and is then kicked; the place names the kind."""
-    runs = ts.islands_by_value(ball.where("visible"), MATCH, ["g"], F.col("speed") <= still).where(F.col("speed") <= still)
-    rest = runs.groupBy("match_id", "island").agg(F.min("grid_t").alias("start_s"), F.max("grid_t").alias("t"), F.avg("x").alias("x"), F.avg("y").alias("y")).where(F.col("t") - F.col("start_s") >= shortest)
-    rest = rest.withColumn("until", F.col("t") + 0.8)
-    after = ts.range_join(ball.where("visible").select("match_id", "grid_t", "speed"), rest, MATCH, "grid_t", "t", "until", 1.0, closed=True)
-    kicked = after.groupBy("match_id", "t", "x", "y").agg(F.max("speed").alias("speed")).where(F.col("speed") >= kick)
-    ax, ay = F.abs(F.col("x")), F.abs(F.col("y"))
-    kind = F.when((ax <= 2) & (ay <= 2), "kickoff").when((ax >= half_length - 3) & (ay >= half_width - 3), "corner_kick").when((F.abs(ax - (half_length - 11)) <= 1.5) & (ay <= 2), "penalty_kick").when((ax >= half_length - 7) & (ay <= 10), "goal_kick").otherwise("free_kick")
-    return kicked.select("match_id", "t", kind.alias("kind"), F.when(F.col("x") < 0, "left").otherwise("right").alias("side"), "speed")
-
-
 # --- events -------------------------------------------------------------------------------------------------------
 
 
@@ -648,40 +648,84 @@ def plan_reel(events: DataFrame, target_s: float, must: tuple[str, ...] = ("goal
     return events.groupBy("match_id").applyInPandas(run, f"match_id {dict(events.dtypes)['match_id']}, clip int, start_s double, end_s double, event_ids array<string>")
 
 
-def analyse(samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, halves: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def grid_owners(near: DataFrame, touched: DataFrame, segments: DataFrame, kin: DataFrame, timeout: float = 10.0) -> DataFrame:
+    """(match_id, g, track_id, team, in_play, x, y, opponent_m): who has the ball at each grid step, null when nobody does.
+
+    The player of the last touch, while it is fresh and no stop of play came between.
+    """
+    steps = near.select("match_id", "g", F.col("grid_t").alias("t"), "d0", "d1")
+    rows = ts.asof_backward(steps, touched.select("match_id", F.col("t").alias("touch_t"), "track_id", "team"), MATCH, "t", "touch_t", "touch")
+    rows = ts.asof_backward(rows, segments.select("match_id", "start_s", "state"), MATCH, "t", "start_s", "seg", fall_back_to_first=True)
+    stops = segments.where(exprs.is_interrupt(F.col("state"))).select("match_id", F.col("end_s").alias("stopped"))
+    rows = ts.asof_backward(rows, stops, MATCH, "t", "stopped", "stop")
+    fresh = (F.col("t") - F.col("touch.touch_t") <= timeout) & (F.coalesce(F.col("stop.stopped"), F.lit(-1e9)) <= F.col("touch.touch_t"))
+    in_play = F.coalesce(F.col("seg.state"), F.lit("in_play")) == "in_play"
+    owned = rows.select("match_id", "g", F.when(fresh, F.col("touch.track_id")).alias("track_id"), F.when(fresh, F.col("touch.team")).alias("team"), in_play.alias("in_play"), "d0", "d1")
+    placed = owned.join(kin.select("match_id", "g", "track_id", "x", "y"), ["match_id", "g", "track_id"], "left")
+    return placed.select("match_id", "g", "track_id", "team", "in_play", "x", "y", F.when(F.col("team") == 0, F.col("d1")).when(F.col("team") == 1, F.col("d0")).alias("opponent_m"))
+
+
+def analyse(
+    samples: DataFrame, ball_raw: DataFrame, frame_width: float = 105.0, halves: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    only: Sequence[str] | None = None, envelope: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """The chain over samples (match_id, track_id, team, t, x, y) and raw ball detections (match_id, t, x, y), in metres.
 
     ``keep`` is applied to what several results share: DataFrame.cache, or a function that writes and reads back.
-    ``halves`` (match_id, half_s) says when the teams change sides; without it they don't. ``only`` names the results
-    that are wanted; nothing else is built.
+    ``halves`` (match_id, half_s) says when the teams change sides; without it they don't. ``envelope`` (match_id, t, rms)
+    is the crowd's loudness. ``only`` names the results that are wanted; nothing else is built.
     """
     once = functools.cache
     kin = once(lambda: keep(kinematics(samples)))
-    ball = once(lambda: keep(ball_on_grid(filter_ball(ball_raw, frame_width, base_gate=6.0))))
-    segments = once(lambda: keep(game_states(ball())))
-    near = once(lambda: keep(nearest_players(ball(), kin())))
+    filtered = once(lambda: keep(filter_ball(ball_raw, frame_width, base_gate=6.0)))
+    ball = once(lambda: keep(ball_on_grid(filtered())))
+    seen = once(lambda: ball().where("visible").select("match_id", F.col("grid_t").alias("t"), "x", "y"))
     signs = once(lambda: keep(attack_signs(kin(), halves)))
+    peaks = once(lambda: None if envelope is None else keep(broadcast.audio_peaks(envelope)))
+    judged = once(lambda: keep(goals_of.goal_events(seen(), kin(), signs(), peaks())))
+    goals = once(lambda: judged().where("verdict = 'goal'").select("match_id", "t", "side", "confidence"))
+    pieces = once(lambda: keep(restarts.set_pieces(seen(), frame_width=frame_width)))
+    base_segments = once(lambda: keep(game_states(ball())))
+    near = once(lambda: keep(nearest_players(ball_on_grid(touch_ball(filtered(), ball_raw)), kin())))
     touched = once(lambda: keep(touches(near())))
-    goals = once(lambda: keep(goal_candidates(ball())))
-    passed = once(lambda: passes(touched(), segments()))
-    owned = once(lambda: keep(possession(near(), touched(), segments())))
+
+    def segments() -> DataFrame:
+        """States with the set-up of corners and free kicks carved in."""
+        setups = pieces().where("kind IN ('corner_kick', 'free_kick')").select("match_id", F.col("t_start").alias("w_start"), F.col("t").alias("w_end"), F.concat("kind", F.lit("_setup")).alias("w_state"))
+        whole = overlay(base_segments().select("match_id", "start_s", "end_s", "state"), setups)
+        return whole.withColumn("side", F.when(F.col("state").isin("restart_left", "restart_right"), F.substring_index("state", "_", -1)))
+
+    passed = once(lambda: passes(touched(), base_segments()))
+    owned = once(lambda: keep(possession(near(), touched(), base_segments())))
+    owners = once(lambda: keep(grid_owners(near(), touched(), base_segments(), kin())))
     shot = once(lambda: keep(shots(touched(), ball(), signs(), goals())))
+    flown = once(lambda: flight_shots(flights(with_velocity().select("match_id", "t", "vx", "vy"), 10.0), with_velocity(), kin(), signs(), goals()))
+    with_velocity = once(lambda: ball().where("visible").select("match_id", F.col("grid_t").alias("t"), "x", "y", "vx", "vy"))
+    dribbled = once(lambda: dribbles(owners(), round(0.5 * HZ)))
+    turned = once(lambda: held_turnovers(owners().select("match_id", "g", "track_id", "team", "in_play"), round(3 * HZ), round(0.2 * HZ)))
 
-    def events() -> DataFrame:
+    def listed() -> DataFrame:
         nobody, at = F.lit(None).cast("int").alias("track_id"), (F.col("t").alias("t_start"), F.col("t").alias("t_end"))
-        side = F.when(F.col("side") == "right", 1).otherwise(-1)
-        scored = with_sign(goals().withColumn("sign", side), signs(), "t", by="sign").select("match_id", F.lit("goal").alias("type"), "t", *at, "team", nobody, "confidence")
-        tried = shot().where("NOT goal").select("match_id", F.lit("shot").alias("type"), "t", *at, "team", "track_id", F.lit(0.6).alias("confidence"))
-        found = scored.unionByName(tried).unionByName(sprint_events(kin())).unionByName(turnover_events(owned())).unionByName(area_entries(near(), signs()))
-        return score_events(merge_events(found))
-
-    def by_flight() -> DataFrame:
-        seen = ball().where("visible").select("match_id", F.col("grid_t").alias("t"), "x", "y", "vx", "vy")
-        return flight_shots(flights(seen.select("match_id", "t", "vx", "vy"), 10.0), seen, kin(), signs(), goals())
+        sign = F.when(F.col("side") == "right", 1).otherwise(-1)
+        of_side = lambda rows: with_sign(rows.withColumn("sign", sign), signs(), "t", "left", by="sign")
+        parts = [
+            of_side(judged()).select("match_id", F.col("verdict").alias("type"), "t", *at, "team", nobody, "confidence"),
+            shot().where("NOT goal").select("match_id", F.lit("shot").alias("type"), "t", *at, "team", "track_id", F.lit(0.6).alias("confidence")),
+            flown().where("type = 'save'").select("match_id", "type", "t", *at, "team", F.col("keeper_id").cast("int").alias("track_id"), F.lit(0.5).alias("confidence")),
+            of_side(pieces()).select("match_id", F.col("kind").alias("type"), "t", "t_start", F.col("t").alias("t_end"), "team", nobody, F.lit(0.6).alias("confidence")),
+            sprint_events(kin()), area_entries(near(), signs()),
+            turned().select("match_id", F.lit("turnover").alias("type"), (F.col("g") / HZ).alias("t"), (F.col("g") / HZ).alias("t_start"), (F.col("g") / HZ).alias("t_end"), "team", "track_id", F.lit(0.5).alias("confidence")),
+            dribbled().select("match_id", F.lit("dribble").alias("type"), (F.col("g") / HZ).alias("t"), (F.col("g_start") / HZ).alias("t_start"), (F.col("g_end") / HZ).alias("t_end"), "team", "track_id", F.lit(0.5).alias("confidence")),
+        ]
+        found = functools.reduce(DataFrame.unionByName, parts)
+        if peaks() is None:
+            return found
+        fouls = broadcast.foul_candidates(peaks(), found, ball(), base_segments(), kin())
+        return found.unionByName(fouls.select("match_id", F.lit("foul_candidate").alias("type"), "t", *at, F.lit(None).cast("int").alias("team"), nobody, "confidence"))
 
     results = {
-        "flight_shots": by_flight, "kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "shots": shot,
-        "set_pieces": lambda: set_pieces(ball()), "events": events, "player_stats": lambda: player_stats(kin(), signs()), "team_stats": lambda: team_stats(owned(), passed()),
-        "momentum": lambda: momentum(owned(), shot(), progression(ball(), owned(), signs())),
+        "flight_shots": flown, "kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "goal_candidates": judged, "shots": shot,
+        "set_pieces": pieces, "dribbles": dribbled, "turnovers": turned, "events": lambda: score_events(merge_events(keep(listed())), peaks()), "player_stats": lambda: player_stats(kin(), signs()),
+        "team_stats": lambda: team_stats(owned(), passed()), "momentum": lambda: momentum(owned(), shot(), progression(ball(), owned(), signs())),
     }
     return {name: results[name]() for name in only or results}

@@ -26,10 +26,3 @@ def test_refined_intervals_and_stops(spark):
     assert [(r["start_s"], r["end_s"]) for r in broadcast.refined(spans, events).collect()] == [(8.0, 30.0)]
     segments = spark.createDataFrame([(1, 0.0, 5.0, "in_play"), (1, 5.0, 8.0, "restart_left"), (1, 8.0, 9.0, "in_play"), (1, 9.0, 12.0, "ball_lost")], "match_id long, start_s double, end_s double, state string")
     assert [(r["start_s"], r["end_s"]) for r in broadcast.stopped_windows(segments).collect()] == [(3.0, 14.0)]
-
-
-def test_foul_needs_noise_stop_and_crowd(spark):
-    peaks = spark.createDataFrame([(1, 10.0, 0.8), (1, 50.0, 0.8)], "match_id long, peak_t double, strength double")
-    segments = spark.createDataFrame([(1, 12.0, 20.0, "restart_left")], "match_id long, start_s double, end_s double, state string")
-    near = spark.createDataFrame([(1, 100, 2), (1, 120, 5)], "match_id long, g long, players int")
-    assert [r["t"] for r in broadcast.foul_candidates(peaks, segments, near).collect()] == [10.0]

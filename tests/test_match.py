@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import match
-from pitchlake.sources.synthetic import BALL, synthetic_matches
+from tests.synthetic import BALL, synthetic_matches
 from pitchlake.sources.working import kept
 
 
