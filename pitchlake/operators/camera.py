@@ -42,7 +42,7 @@ def zoom_setpoints(required: DataFrame, fraction: float = 0.12, hold: int = 25)
 def plan(ball: DataFrame, width: float, height: float, view: float = 0.4, alpha: float = 0.15, fastest: float = 30.0) -> DataFrame:
     """(match_id, frame, cx, cy): the last seen ball, smoothed both ways, limited in speed and kept inside the frame. ``ball`` is (match_id, frame, x, y)."""
     w = Window.partitionBy("match_id").orderBy("frame")
-    held = ball.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)) for c in ("x", "y")})
+    held = ball.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0)) for c in ("x", "y")})
     path = lambda c: lambda rows: ts.followed(both_ways(rows[c].to_numpy(float), alpha), fastest)
     rows = ts.fold_rows(held.select("match_id", "frame", "x", "y"), ["match_id"], "frame", {"cx": path("x"), "cy": path("y")})
     inside = lambda c, size: F.greatest(F.lit(size * view / 2), F.least(F.lit(size * (1 - view / 2)), c))

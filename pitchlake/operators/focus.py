@@ -172,7 +172,7 @@ def coverage(samples: DataFrame, windows: DataFrame, keys: Sequence[str], step:
     seen = F.when(F.col("_asked") == 0, F.col("_t"))
     w = Window.partitionBy(*keys).orderBy("_t")  # its range frames take all rows of one time
     before = F.max(seen).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(seen).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.min(seen).over(Window.partitionBy(*keys).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = both.withColumn("_before", before).withColumn("_after", after).where("_asked = 1")
     near = F.least(F.col("_t") - F.col("_before"), F.col("_after") - F.col("_t"))
     visible = F.coalesce(F.col("_after") - F.col("_before") <= max_gap, F.lit(False)) | F.coalesce(near <= tolerance, F.lit(False))

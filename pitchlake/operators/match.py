@@ -38,28 +38,30 @@ def filter_ball(raw: DataFrame, frame_width: float, speed: float = 2.2, base_gat
 
     def agree(aside: list) -> list:
         recent = [p for p in aside if aside[-1][0] - p[0] <= confirm] if aside else []
-        fits = all(np.hypot(b[1] - a[1], b[2] - a[2]) <= limit * max(1e-3, b[0] - a[0]) for a, b in zip(recent, recent[1:]))
+        fits = all(math.hypot(b[1] - a[1], b[2] - a[2]) <= limit * max(1e-3, b[0] - a[0]) for a, b in zip(recent, recent[1:]))
         return recent if len(recent) >= 2 and fits else []
 
     def run(match: pd.DataFrame) -> pd.DataFrame:
         match = match.dropna(subset=["t", "x", "y"]).sort_values("t", kind="stable")
         out, aside, state = {}, [], None
-        for t, frame in match.groupby(match["t"].round(4), sort=True):
-            seen = frame[["t", "x", "y"]].to_numpy(float)
+        times = match["t"].round(4).to_numpy(float)
+        starts = np.flatnonzero(np.diff(times, prepend=np.nan) != 0).tolist()
+        points = list(zip(*(match[c].to_numpy(float).tolist() for c in ("t", "x", "y"))))
+        for a, b in zip(starts, [*starts[1:], len(points)]):
+            t, seen = float(times[a]), points[a:b]
             if state is not None:
                 last, x, y, vx, vy = state
                 dt = max(1e-3, t - last)
                 px, py = x + vx * min(dt, 0.5), y + vy * min(dt, 0.5)
-                away = np.hypot(seen[:, 1] - px, seen[:, 2] - py)
-                best = int(away.argmin())
-                if away[best] <= min(base_gate + limit * dt, widest * frame_width):
-                    rx, ry = seen[best, 1] - px, seen[best, 2] - py
+                away, best = min((math.hypot(p[1] - px, p[2] - py), i) for i, p in enumerate(seen))
+                if away <= min(base_gate + limit * dt, widest * frame_width):
+                    rx, ry = seen[best][1] - px, seen[best][2] - py
                     vx, vy = vx + beta * rx / dt, vy + beta * ry / dt
-                    slow = min(1.0, limit / max(np.hypot(vx, vy), 1e-9))
+                    slow = min(1.0, limit / max(math.hypot(vx, vy), 1e-9))
                     state = (t, px + alpha * rx, py + alpha * ry, vx * slow, vy * slow)
                     out[t], aside = state[1:3], []
                     continue
-            aside = [p for p in aside if t - p[0] <= max(confirm, 1.0)] + [tuple(p) for p in seen]
+            aside = [p for p in aside if t - p[0] <= max(confirm, 1.0)] + seen
             start = agree(aside) if state is None or t - state[0] > silence else []
             if start:
                 out |= {p[0]: p[1:3] for p in start}
@@ -275,7 +277,7 @@ def touch_ball(filtered: DataFrame, raw: DataFrame, near_s: float = 0.1, gate: f
     path = F.when(~F.col("_raw"), F.struct("t", "x", "y"))
     rows = filtered.select("match_id", "t", "x", "y", F.lit(False).alias("_raw")).unionByName(raw.select("match_id", "t", "x", "y", F.lit(True).alias("_raw")))
     rows = rows.withColumn("_before", F.last(path, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_after", F.first(path, ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing)))
+        "_after", F.last(path, ignorenulls=True).over(Window.partitionBy("match_id").orderBy(F.desc("t"), F.desc("_raw")).rowsBetween(Window.unboundedPreceding, 0)))
     a, b = F.col("_before"), F.col("_after")
     part = F.when(a.isNull() | b.isNull() | (b["t"] <= a["t"]), F.when(a.isNull(), 1.0).otherwise(0.0)).otherwise((F.col("t") - a["t"]) / (b["t"] - a["t"]))
     at = lambda c: F.coalesce(a[c], b[c]) + part * F.coalesce(b[c] - a[c], F.lit(0.0))

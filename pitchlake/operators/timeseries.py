@@ -27,7 +27,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str
     order = Window.partitionBy(*keys).orderBy("_t", "_side")
     found = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     if fall_back_to_first:
-        found = F.coalesce(found, F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+        # before the first right row the first of the whole key; a frame from each row to the end would be quadratic
+        found = F.coalesce(found, F.first("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return both.withColumn("_found", found).where("_side = 1").select("_left.*", F.col("_found").alias(name))
 
 
@@ -39,7 +40,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str,
     )
     order = Window.partitionBy(*keys).orderBy("_t", "_side")
     before = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("_right", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("_before", before).withColumn("_after", after).where("_side = 1")
     gap_before, gap_after = F.col("_t") - F.col("_before")[right_t], F.col("_after")[right_t] - F.col("_t")
     best = F.when(gap_after < F.coalesce(gap_before, F.lit(float("inf"))), F.col("_after")).otherwise(F.coalesce("_before", "_after"))
@@ -186,7 +187,7 @@ def lipschitz_below(df: DataFrame, keys: Sequence[str], i: str, value: str, step
     """The greatest curve below ``value`` whose slope is at most ``step`` a row, in closed form from two running minima."""
     w = Window.partitionBy(*keys).orderBy(i)
     ahead = F.min(F.col(value) - step * F.col(i)).over(w.rowsBetween(Window.unboundedPreceding, 0)) + step * F.col(i)
-    behind = F.min(F.col(value) + step * F.col(i)).over(w.rowsBetween(0, Window.unboundedFollowing)) - step * F.col(i)
+    behind = F.min(F.col(value) + step * F.col(i)).over(Window.partitionBy(*keys).orderBy(F.desc(i)).rowsBetween(Window.unboundedPreceding, 0)) - step * F.col(i)
     return df.withColumn(name, F.least(ahead, behind))
 
 

@@ -1,20 +1,22 @@
 """Match analytics over the driver's events: sequential operators that SQL doesn't express, so rows only.
 
-A match is the month of 22 users, 21 players and a ball; hours stand for seconds. So matches grow in number with the
-users and each stays bounded.
+A match is the month of 22 users, and its events in order are moments of play two seconds apart: the ball goes to the event's
+user, who passes it on. So matches grow in number with the users and each stays bounded. Every event gives its user's samples
+around the moment and the ball's path to the next one. By the event's type the ball is lost for a while (error), lies still
+and is kicked (signup), goes into a goal (purchases above 60) or just goes on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchlake.operators import match
+from pitchlake.operators import camera_plan, match, tracking
 from pitchlake.plans.registry import query
 from pitchlake.plans.tables import tracks
 from pitchlake.sources.working import kept
 
-CROWD, BALL = 22, 21
+CROWD, PACE = 22, 2.0
 
 
 def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,27 +28,82 @@ def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.select("match_id", "track_id", "t", "r.*")
 
 
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, track_id, team, at, hx, hy, state, value, to_x, to_y): each event as a moment of play, with the next one's place."""
+    w = Window.partitionBy("match_id").orderBy("t", "event_id")
+    rows = tracks(spark, sf_dir).select(F.floor(F.col("track") / CROWD).alias("match_id"), (F.col("track") % CROWD).cast("int").alias("track_id"), "us", "x", "y", "event_id", "state").withColumnsRenamed({"us": "t", "x": "value", "y": "k"})
+    team = F.col("track_id") % 2
+    rows = rows.withColumn("team", team).withColumn("at", F.row_number().over(w) * PACE)
+    # homes all over the pitch, a team's a little on its own side, moved by the event's own number
+    rows = rows.withColumn("hx", F.lit(-42.0) + F.col("track_id") * 5 % CROWD * 4 - F.when(team == 0, 5).otherwise(-5) + F.col("k") % 7 - 3.0)
+    rows = rows.withColumn("hy", F.lit(-29.0) + F.col("track_id") * 7 % CROWD * 2.7 + F.col("k") % 5 - 2.0)
+    return rows.withColumns({"to_x": F.lead("hx").over(w), "to_y": F.lead("hy").over(w)}).drop("t", "k")
+
+
+def _players(rows: DataFrame) -> DataFrame:
+    """Each user for a second before and after its moments, walking through the place; samples every fifth of a second."""
+    steps = rows.select("match_id", "track_id", "team", "at", "hx", "hy", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("i"))
+    t = F.round(F.col("at") + F.col("i") / 5, 1)
+    walked = steps.select("match_id", "track_id", "team", t.alias("t"), (F.col("hx") + F.col("i") * 0.3).alias("x"), (F.col("hy") + F.col("i") * 0.1).alias("y"), "at")
+    once = walked.groupBy("match_id", "track_id", "t").agg(F.min_by(F.struct("team", "x", "y"), "at").alias("r"))
+    return once.select("match_id", "track_id", "r.team", "t", "r.x", "r.y")
+
+
+def _ball(rows: DataFrame) -> DataFrame:
+    """The ball ten times a second from each moment's place to the next."""
+    goal = (F.col("state") == "purchase") & (F.col("value") > 60)
+    side = F.when(F.col("hx") < 0, -1.0).otherwise(1.0)
+    steps = rows.where("to_x IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    lie = F.when(F.col("state") == "signup", 14).otherwise(2)
+    share = F.greatest(F.lit(0.0), (F.col("i") - lie) / (20.0 - lie))
+    shot = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("i") - 2) / 8.0))
+
+    def place(home: str, to: str, net: Column) -> Column:
+        return F.when(goal, F.col(home) + (net - F.col(home)) * shot).otherwise(F.col(home) + (F.col(to) - F.col(home)) * share)
+
+    hidden = (F.col("state") == "error") & F.col("i").between(3, 18)
+    return steps.where(~hidden).select("match_id", F.round(F.col("at") + F.col("i") / 10, 1).alias("t"), place("hx", "to_x", side * 54.0).alias("x"), place("hy", "to_y", F.col("value") % 4 - 2.0).alias("y"))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Players at ten times the pace, so that a walk of hours is one of seconds, and the ball."""
-    rows = _bound(spark, sf_dir).withColumn("t", F.col("t") / 10)
-    players = rows.where(F.col("track_id") != BALL).select("match_id", "track_id", "team", "t", "x", "y")
-    return players, rows.where(F.col("track_id") == BALL).select("match_id", "t", "x", "y")
+    rows = kept(moments(spark, sf_dir))
+    return _players(rows), _ball(rows)
 
 
 def _part(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         players, ball = _samples(spark, sf_dir)
-        halves = players.select("match_id").distinct().withColumn("half_s", F.lit(36.0))
+        halves = players.groupBy("match_id").agg((F.max("t") / 2).alias("half_s"))
         return match.analyse(players, ball, halves=halves, keep=kept, only=[name])[name]
 
     run.__name__ = f"match_{name}"
     return query()(run)
 
 
-for _name in ("segments", "goals", "touches", "passes", "shots", "flight_shots", "set_pieces", "events", "player_stats", "team_stats", "momentum"):
+for _name in ("segments", "goals", "goal_candidates", "touches", "passes", "shots", "flight_shots", "set_pieces", "dribbles", "turnovers", "events", "player_stats", "team_stats", "momentum"):
     _part(_name)
 
 
+@query()
+def match_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first minute of each match as a camera plan; its phases and figures are held in the tests."""
+    players, ball = _samples(spark, sf_dir)
+    px = lambda df: df.where("t <= 60").withColumns({"x": (F.col("x") + 60) * 16.0, "y": (F.col("y") + 40) * 13.5})
+    states = match.analyse(players, ball.where("t <= 60"), keep=kept, only=["segments"])["segments"]
+    spans = players.select("match_id").distinct().withColumns({"start_s": F.lit(0.0), "end_s": F.lit(60.0)})
+    field = spans.select("match_id", *[F.lit(v).alias(c) for c, v in (("x_min", 120.0), ("x_max", 1800.0), ("y_min", 81.0), ("y_max", 999.0))])
+    return camera_plan.plan_camera(spans, px(ball), states, px(players), field)
+
+
+@query()
+def match_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes around the samples of every match, tracked; ``det`` is the player, whose samples a track should follow."""
+    players, _ = _samples(spark, sf_dir)
+    x, y = (F.col("x") + 60) * 16.0, (F.col("y") + 40) * 13.5
+    boxes = players.select("match_id", F.rint(F.col("t") * 5).cast("int").alias("frame"), F.col("track_id").alias("det"), (x - 9).alias("x1"), (y - 22).alias("y1"), (x + 9).alias("x2"), (y + 22).alias("y2"), F.lit(0.9).alias("conf"))
+    return tracking.track(boxes)
+
+
 def _bound_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bound(spark, sf_dir).groupBy("match_id", "t").agg(F.min_by(F.struct("x", "y"), "event_id").alias("p")).select("match_id", "t", "p.*")
 
