@@ -40,11 +40,11 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"to_x": F.lead("hx").over(w), "to_y": F.lead("hy").over(w)}).drop("t", "k")
 
 
-def _players(rows: DataFrame) -> DataFrame:
-    """Each user for a second before and after its moments, walking through the place; samples every fifth of a second."""
-    steps = rows.select("match_id", "track_id", "team", "at", "hx", "hy", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("i"))
-    t = F.round(F.col("at") + F.col("i") / 5, 1)
-    walked = steps.select("match_id", "track_id", "team", t.alias("t"), (F.col("hx") + F.col("i") * 0.3).alias("x"), (F.col("hy") + F.col("i") * 0.1).alias("y"), "at")
+def _players(rows: DataFrame, rate: int = 5) -> DataFrame:
+    """Each user for a second before and after its moments, walking through the place; ``rate`` samples a second."""
+    steps = rows.select("match_id", "track_id", "team", "at", "hx", "hy", F.explode(F.sequence(F.lit(-rate), F.lit(rate))).alias("i")).withColumn("i", F.col("i") / rate)
+    t = F.round(F.col("at") + F.col("i"), 1)
+    walked = steps.select("match_id", "track_id", "team", t.alias("t"), (F.col("hx") + F.col("i") * 1.5).alias("x"), (F.col("hy") + F.col("i") * 0.5).alias("y"), "at")
     once = walked.groupBy("match_id", "track_id", "t").agg(F.min_by(F.struct("team", "x", "y"), "at").alias("r"))
     return once.select("match_id", "track_id", "r.team", "t", "r.x", "r.y")
 
@@ -86,21 +86,21 @@ for _name in ("segments", "goals", "goal_candidates", "touches", "passes", "shot
 
 @query()
 def match_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first minute of each match as a camera plan; its phases and figures are held in the tests."""
+    """A camera plan of every match at five frames a second; its phases and figures are held in the tests."""
     players, ball = _samples(spark, sf_dir)
-    px = lambda df: df.where("t <= 60").withColumns({"x": (F.col("x") + 60) * 16.0, "y": (F.col("y") + 40) * 13.5})
-    states = match.analyse(players, ball.where("t <= 60"), keep=kept, only=["segments"])["segments"]
-    spans = players.select("match_id").distinct().withColumns({"start_s": F.lit(0.0), "end_s": F.lit(60.0)})
+    px = lambda df: df.withColumns({"x": (F.col("x") + 60) * 16.0, "y": (F.col("y") + 40) * 13.5})
+    states = match.analyse(players, ball, keep=kept, only=["segments"])["segments"]
+    spans = players.groupBy("match_id").agg(F.lit(0.0).alias("start_s"), F.max("t").alias("end_s"))
     field = spans.select("match_id", *[F.lit(v).alias(c) for c, v in (("x_min", 120.0), ("x_max", 1800.0), ("y_min", 81.0), ("y_max", 999.0))])
-    return camera_plan.plan_camera(spans, px(ball), states, px(players), field)
+    return camera_plan.plan_camera(spans, px(ball), states, px(players), field, camera_plan.Style(fps=5.0))
 
 
 @query()
 def match_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes around the samples of every match, tracked; ``det`` is the player, whose samples a track should follow."""
-    players, _ = _samples(spark, sf_dir)
+    """Boxes around every match's players, one frame a second, tracked; ``det`` is the player, whose boxes a track should follow."""
+    players = _players(moments(spark, sf_dir), 1)
     x, y = (F.col("x") + 60) * 16.0, (F.col("y") + 40) * 13.5
-    boxes = players.select("match_id", F.rint(F.col("t") * 5).cast("int").alias("frame"), F.col("track_id").alias("det"), (x - 9).alias("x1"), (y - 22).alias("y1"), (x + 9).alias("x2"), (y + 22).alias("y2"), F.lit(0.9).alias("conf"))
+    boxes = players.select("match_id", F.rint("t").cast("int").alias("frame"), F.col("track_id").alias("det"), (x - 60).alias("x1"), (y - 40).alias("y1"), (x + 60).alias("x2"), (y + 40).alias("y2"), F.lit(0.9).alias("conf"))
     return tracking.track(boxes)
 
 
