@@ -68,21 +68,24 @@ def _measures() -> dict[str, Column]:
     return {"iou": exprs.box_iou(roi, box), "inside": F.coalesce(inside.cast("int"), F.lit(0)), "away": F.hypot(cx - ux, cy - uy)}
 
 
-def track_at_box(boxes: DataFrame, requests: DataFrame, window_s: float = 0.5, reach: float = 1.5) -> DataFrame:
+def track_at_box(boxes: DataFrame, requests: DataFrame, window_s: float = 0.5, reach: float = 1.5, retry_s: float | None = None) -> DataFrame:
     """(match_id, track_id): the track under a wanted box near its time; matches without any have no row.
 
+    With ``retry_s`` tracks up to that far in time are taken where none within ``window_s`` fits.
+
     Each track's sample nearest in time (the earlier of two) counts if it is within ``window_s``, and overlaps, lies in
     the box or is at most ``reach`` diagonals away. Most overlap wins, then lying inside, then being near, then the
     lower id. ``boxes`` is (match_id, track_id, t, x1, y1, x2, y2); ``requests`` (match_id, roi_t, roi_x1, ...).
     """
-    rows = boxes.join(requests, "match_id").where(F.abs(F.col("t") - F.col("roi_t")) <= window_s)
+    rows = boxes.join(requests, "match_id").where(F.abs(F.col("t") - F.col("roi_t")) <= max(window_s, retry_s or 0.0))
     nearest = rows.groupBy("match_id", "track_id", "roi_t", *[f"roi_{c}" for c in BOX]).agg(
-        F.min_by(F.struct(*BOX), F.struct(F.abs(F.col("t") - F.col("roi_t")), F.col("t"))).alias("box")).select("*", "box.*").drop("box")
+        F.min_by(F.struct(*BOX), F.struct(F.abs(F.col("t") - F.col("roi_t")), F.col("t"))).alias("box"),
+        (F.min(F.abs(F.col("t") - F.col("roi_t"))) <= window_s).cast("int").alias("soon")).select("*", "box.*").drop("box")
     scored = nearest.withColumns(_measures())
     roi = _roi()
     diagonal = F.greatest(F.hypot(roi[2] - roi[0], roi[3] - roi[1]), F.lit(1.0))
     fit = scored.where((F.col("iou") > 0) | (F.col("inside") == 1) | (F.col("away") <= reach * diagonal))
-    return fit.groupBy("match_id").agg(F.max_by("track_id", F.struct("iou", "inside", -F.col("away"), -F.col("track_id"))).alias("track_id"))
+    return fit.groupBy("match_id").agg(F.max_by("track_id", F.struct("soon", "iou", "inside", -F.col("away"), -F.col("track_id"))).alias("track_id"))
 
 
 def early_target(boxes: DataFrame, requests: DataFrame, window_t: float = 3.0) -> DataFrame:
@@ -109,17 +112,18 @@ def longest_tracks(spans: DataFrame) -> DataFrame:
     return spans.groupBy("match_id").agg(F.max_by("track_id", rank).alias("track_id"))
 
 
-def select_focus(requests: DataFrame, boxes: DataFrame, identities: DataFrame, window_s: float = 0.5) -> DataFrame:
+def select_focus(requests: DataFrame, boxes: DataFrame, identities: DataFrame, window_s: float = 0.5, retry_s: float = 3.0) -> DataFrame:
     """(match_id, method, track_id): a wanted id, the identity it was stitched into, the track under a box, or the longest.
 
     ``requests`` is (match_id, focus_track_id, roi_t, roi_x1, ...), either part null; with neither the method is "none".
+    A box that no track fits within ``window_s`` (two frame steps, half a second at least) is tried again within ``retry_s``.
     ``identities`` is (match_id, track_id, source_track_id), one row for each fragment of an identity.
     """
     spans = track_spans(boxes)
     exact = spans.select("match_id", F.col("track_id").alias("exact_id"))
     sources = identities.groupBy("match_id", "source_track_id").agg(F.min("track_id").alias("stitched_id"))
     wanted_box = requests.where("roi_x1 IS NOT NULL").select("match_id", "roi_t", *[f"roi_{c}" for c in BOX])
-    under = track_at_box(boxes, wanted_box, window_s).withColumnRenamed("track_id", "roi_id")
+    under = track_at_box(boxes, wanted_box, window_s, retry_s=retry_s).withColumnRenamed("track_id", "roi_id")
     longest = longest_tracks(spans).withColumnRenamed("track_id", "longest_id")
     same = lambda right, c: (F.col("r.match_id") == F.col(f"{right}.match_id")) & (F.col("r.focus_track_id") == F.col(f"{right}.{c}"))
     rows = requests.alias("r").join(exact.alias("e"), same("e", "exact_id"), "left").join(sources.alias("s"), same("s", "source_track_id"), "left")

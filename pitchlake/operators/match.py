@@ -584,14 +584,31 @@ def review_candidates(samples: DataFrame, pre: float, post: float, most: int = 3
     return ts.merge_intervals(spans, MATCH, "t_start", "t_end", joined).select("match_id", "t_start", "t_end")
 
 
-def area_entries(near: DataFrame, signs: DataFrame, quiet: float = 8.0, depth: float = 16.5, half_width: float = 20.16) -> DataFrame:
-    """False to true edges of the ball being in a penalty area, with 8 s of quiet after each one kept."""
-    inside = (F.abs(F.col("bx")) >= 52.5 - depth) & (F.abs(F.col("by")) <= half_width) & (F.abs(F.col("bx")) <= 52.5)
+def area_entries(
+    near: DataFrame, signs: DataFrame, owners: DataFrame, existing: DataFrame, quiet: float = 8.0, depth: float = 16.5, half_width: float = 20.16, slowest: float = 2.0, reach: float = 4.0,
+    half_length: float = 52.5,
+) -> DataFrame:
+    """Chances: the attackers bring the ball into a penalty area, in play, with a top speed of ``slowest`` within two steps.
+
+    ``owners`` (match_id, g, team, in_play) says who has the ball; ``existing`` (match_id, t, sign) are attempts on a goal,
+    which stand for entries from 6 s before to 2 s after them. After each chance kept that area is ``quiet``; entries that
+    fail a test make none. The nearest player is named if of the attackers and within ``reach``.
+    """
+    inside = (F.abs(F.col("bx")) >= half_length - depth) & (F.abs(F.col("by")) <= half_width) & (F.abs(F.col("bx")) <= half_length)
     w = Window.partitionBy("match_id").orderBy("g")
-    edges = near.withColumn("inside", inside).withColumn("was", F.lag("inside").over(w)).where("inside AND NOT coalesce(was, false)").withColumn("sign", F.when(F.col("bx") > 0, 1).otherwise(-1))
-    kept = ts.debounce(edges, ["match_id", "sign"], "grid_t", quiet)
-    rows = with_sign(kept, signs, "grid_t", by="sign")
-    return rows.select("match_id", F.lit("chance").alias("type"), F.col("grid_t").alias("t"), F.col("grid_t").alias("t_start"), F.col("grid_t").alias("t_end"), "team", F.lit(None).cast("int").alias("track_id"), F.lit(0.45).alias("confidence"))
+    sign = F.when(F.col("bx") > 0, 1).otherwise(-1)
+    rows = near.withColumns({"sign": sign, "inside": inside, "top": F.max("ball_speed").over(w.rangeBetween(-2, 2))})
+    stayed = F.lag("inside").over(w) & (F.lag("sign").over(w) == F.col("sign")) & (F.col("g") - F.lag("g").over(w) == 1)
+    rows = rows.withColumn("was", F.coalesce(stayed, F.lit(False))).where(F.col("inside") & ~F.col("was") & (F.col("g") > 0) & (F.col("top") >= slowest))
+    edges = with_sign(rows.select("match_id", "g", "grid_t", "sign", "near"), signs, "grid_t", by="sign")
+    controlled = edges.join(owners.where("in_play").select("match_id", "g", "team"), ["match_id", "g", "team"])
+    around = existing.select("match_id", "sign", F.col("t").alias("made_t"))
+    free = controlled.join(ts.range_join(around, controlled.select("match_id", "sign", "g", (F.col("grid_t") - 2.0).alias("lo"), (F.col("grid_t") + 6.0).alias("hi")), ["match_id", "sign"], "made_t", "lo", "hi", 8.0, closed=True)
+                           .select("match_id", "sign", "g").distinct(), ["match_id", "sign", "g"], "left_anti")
+    kept = ts.debounce(free, ["match_id", "sign"], "grid_t", quiet)
+    carrier = F.when((F.col("near.team") == F.col("team")) & (F.col("near.d") <= reach), F.col("near.track_id"))
+    at = (F.col("grid_t").alias("t"), F.col("grid_t").alias("t_start"), F.col("grid_t").alias("t_end"))
+    return kept.join(free, ["match_id", "sign", "grid_t"]).select("match_id", F.lit("chance").alias("type"), *at, "team", carrier.cast("int").alias("track_id"), F.lit(0.5).alias("confidence"))
 
 
 def merge_events(events: DataFrame, gap: float = 3.0) -> DataFrame:
@@ -677,6 +694,8 @@ def analyse(
     ``halves`` (match_id, half_s) says when the teams change sides; without it they don't. ``envelope`` (match_id, t, rms)
     is the crowd's loudness. ``only`` names the results that are wanted; nothing else is built.
     """
+    from pitchlake.operators import documents  # which builds on this module
+
     once = functools.cache
     kin = once(lambda: keep(kinematics(samples)))
     filtered = once(lambda: keep(filter_ball(ball_raw, frame_width, base_gate=6.0)))
@@ -701,11 +720,17 @@ def analyse(
     owned = once(lambda: keep(possession(near(), touched(), base_segments())))
     owners = once(lambda: keep(grid_owners(near(), touched(), base_segments(), kin())))
     shot = once(lambda: keep(shots(touched(), ball(), signs(), goals())))
-    flown = once(lambda: flight_shots(flights(with_velocity().select("match_id", "t", "vx", "vy"), 10.0), with_velocity(), kin(), signs(), goals()))
+    flown = once(lambda: keep(flight_shots(flights(with_velocity().select("match_id", "t", "vx", "vy"), 10.0), with_velocity(), kin(), signs(), goals())))
     with_velocity = once(lambda: ball().where("visible").select("match_id", F.col("grid_t").alias("t"), "x", "y", "vx", "vy"))
     dribbled = once(lambda: dribbles(owners(), round(0.5 * HZ)))
     turned = once(lambda: held_turnovers(owners().select("match_id", "g", "track_id", "team", "in_play"), round(3 * HZ), round(0.2 * HZ)))
 
+    def attempts() -> DataFrame:
+        """(match_id, t, sign): goals and their rejected candidates, shots, chances and saves, by the goal that they are at."""
+        sign = F.when(F.col("side") == "right", 1).otherwise(-1).alias("sign")
+        made = judged().select("match_id", "t", sign).unionByName(flown().select("match_id", "t", sign))
+        return made.unionByName(with_sign(shot(), signs(), "t").select("match_id", "t", "sign"))
+
     def listed() -> DataFrame:
         nobody, at = F.lit(None).cast("int").alias("track_id"), (F.col("t").alias("t_start"), F.col("t").alias("t_end"))
         sign = F.when(F.col("side") == "right", 1).otherwise(-1)
@@ -715,7 +740,7 @@ def analyse(
             shot().where("NOT goal").select("match_id", F.lit("shot").alias("type"), "t", *at, "team", "track_id", F.lit(0.6).alias("confidence")),
             flown().where("type = 'save'").select("match_id", "type", "t", *at, "team", F.col("keeper_id").cast("int").alias("track_id"), F.lit(0.5).alias("confidence")),
             of_side(pieces()).select("match_id", F.col("kind").alias("type"), "t", "t_start", F.col("t").alias("t_end"), "team", nobody, F.lit(0.6).alias("confidence")),
-            sprint_events(kin()), area_entries(near(), signs()),
+            sprint_events(kin()), area_entries(near(), signs(), owners(), attempts()),
             turned().select("match_id", F.lit("turnover").alias("type"), (F.col("g") / HZ).alias("t"), (F.col("g") / HZ).alias("t_start"), (F.col("g") / HZ).alias("t_end"), "team", "track_id", F.lit(0.5).alias("confidence")),
             dribbled().select("match_id", F.lit("dribble").alias("type"), (F.col("g") / HZ).alias("t"), (F.col("g_start") / HZ).alias("t_start"), (F.col("g_end") / HZ).alias("t_end"), "team", "track_id", F.lit(0.5).alias("confidence")),
         ]
@@ -728,6 +753,8 @@ def analyse(
     results = {
         "flight_shots": flown, "kin": kin, "ball": ball, "segments": segments, "signs": signs, "touches": touched, "passes": passed, "possession": owned, "goals": goals, "goal_candidates": judged, "shots": shot,
         "set_pieces": pieces, "dribbles": dribbled, "turnovers": turned, "events": lambda: score_events(merge_events(keep(listed())), peaks()), "player_stats": lambda: player_stats(kin(), signs()),
+        "team_document": lambda: documents.team_document(kin(), ball(), owned(), segments(), signs(), touched(), passed(), shot(), goals(), pieces()),
+        "document_quality": lambda: documents.document_quality(kin(), ball(), owned(), touched()),
         "team_stats": lambda: team_stats(owned(), passed()), "momentum": lambda: momentum(owned(), shot(), progression(ball(), owned(), signs())),
     }
     return {name: results[name]() for name in only or results}

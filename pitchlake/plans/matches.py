@@ -80,7 +80,7 @@ def _part(name: str):
     return query()(run)
 
 
-for _name in ("segments", "goals", "goal_candidates", "touches", "passes", "shots", "flight_shots", "set_pieces", "dribbles", "turnovers", "events", "player_stats", "team_stats", "momentum"):
+for _name in ("segments", "goals", "goal_candidates", "touches", "passes", "shots", "flight_shots", "set_pieces", "dribbles", "turnovers", "events", "player_stats", "team_stats", "momentum", "team_document", "document_quality"):
     _part(_name)
 
 

@@ -90,10 +90,10 @@ def early_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {BOXES_SQL}, q AS (SELECT DISTINCT match_id, CASE WHEN match_id % 4 = 0 THEN 3 WHEN match_id % 4 = 1 THEN 104 END AS want, match_id % 4 = 2 AS boxed FROM boxes),
  s AS (SELECT match_id, track_id, max(t) - min(t) AS len FROM boxes GROUP BY 1, 2), l AS (SELECT match_id, arg_max(track_id, (len, -track_id)) AS longest FROM s GROUP BY 1),
- c AS (SELECT *, abs(t - 300) AS dt, -45 + match_id % 3 * 20 AS rx1, -20 AS ry1, -25 + match_id % 3 * 20 AS rx2, 20 AS ry2 FROM boxes WHERE abs(t - 300) <= 2 AND match_id % 4 = 2),
+ c AS (SELECT *, abs(t - 300) AS dt, -45 + match_id % 3 * 20 AS rx1, -20 AS ry1, -25 + match_id % 3 * 20 AS rx2, 20 AS ry2 FROM boxes WHERE abs(t - 300) <= 24 AND match_id % 4 = 2),
  f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY match_id, track_id ORDER BY dt, t) = 1), m AS (SELECT *, {IOU_SQL} FROM f),
  i AS (SELECT *, inter / (950 - inter) AS iou FROM m WHERE inter > 0 OR inside = 1 OR away <= 1.5 * sqrt(2000)),
- u AS (SELECT match_id, track_id AS roi FROM i QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY iou DESC, inside DESC, away, track_id) = 1),
+ u AS (SELECT match_id, track_id AS roi FROM i QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY dt <= 2 DESC, iou DESC, inside DESC, away, track_id) = 1),
  r AS (SELECT q.*, e.track_id AS exact, CASE WHEN EXISTS (SELECT 1 FROM s p WHERE p.match_id = q.match_id AND p.track_id = q.want - 100) THEN q.want - 100 END AS part, roi, longest
   FROM q LEFT JOIN s e ON e.match_id = q.match_id AND e.track_id = q.want LEFT JOIN u ON u.match_id = q.match_id LEFT JOIN l ON l.match_id = q.match_id)
 SELECT match_id, CASE WHEN exact IS NOT NULL THEN 'track_id' WHEN part IS NOT NULL THEN 'track_id_stitched' WHEN boxed AND roi IS NOT NULL THEN 'roi' WHEN boxed THEN 'fallback_longest' ELSE 'none' END AS method,
@@ -106,7 +106,7 @@ def focus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _wanted(boxes, 300.0)
     requests = wanted.select("match_id", F.when(of == 0, 3).when(of == 1, 104).alias("focus_track_id"), *[F.when(of == 2, F.col(c)).alias(c) for c in wanted.columns if c != "match_id"])
     parts = boxes.select("match_id", "track_id").distinct().withColumn("source_track_id", F.col("track_id") + 100)
-    return focus.select_focus(requests, boxes, parts, 2.0)
+    return focus.select_focus(requests, boxes, parts, 2.0, 24.0)
 
 
 @query(f"""
