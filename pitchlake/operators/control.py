@@ -77,10 +77,15 @@ def table_counts(tables: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFr
     return out
 
 
-def bucket_counts(events: DataFrame, keys: Sequence[str], kind: str, bucket: str, id_col: str) -> DataFrame:
-    """Home, away, unattributed and total per type, with the ids that were counted."""
+def bucket_counts(events: DataFrame, keys: Sequence[str], kind: str, bucket: str) -> DataFrame:
+    """Home, away, unattributed and total per type; see ``counted_ids`` for the events behind a count."""
     side = lambda b: F.count_if(F.col(bucket) == b).alias(b)
-    return events.groupBy(*keys, kind).agg(side("home"), side("away"), side("unattributed"), F.count(F.lit(1)).alias("total"), F.sort_array(F.collect_list(id_col)).alias("event_ids"))
+    return events.groupBy(*keys, kind).agg(side("home"), side("away"), side("unattributed"), F.count(F.lit(1)).alias("total"))
+
+
+def counted_ids(events: DataFrame, keys: Sequence[str], kind: str, id_col: str) -> DataFrame:
+    """(keys, kind, event_ids): the ids that ``bucket_counts`` counted, sorted; one row a key and type, so keys should be matches."""
+    return events.groupBy(*keys, kind).agg(F.sort_array(F.collect_list(id_col)).alias("event_ids"))
 
 
 def attempt_counts(events: DataFrame, keys: Sequence[str], at_ms: str, bucket: str, tie: str, window_ms: int = 4000) -> DataFrame:

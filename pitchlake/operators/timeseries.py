@@ -118,8 +118,13 @@ def kept_by_debounce(times: Column, gap) -> Column:
 
 
 def debounce(df: DataFrame, keys: Sequence[str], t: str, gap) -> DataFrame:
-    """(keys, t): the times that stay."""
-    folded = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(t).cast("double"))).alias("_times"))
+    """(keys, t): the times that stay.
+
+    A time further than ``gap`` from the one before it always stays, so the fold starts anew there and its arrays
+    hold one dense stretch, not a key's whole series.
+    """
+    dense = islands_by_gap(df.where(F.col(t).isNotNull()).select(*keys, F.col(t).cast("double").alias(t)), keys, t, gap, name="_stretch")
+    folded = dense.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(t)).alias("_times"))
     return folded.select(*keys, F.explode(kept_by_debounce(F.col("_times"), gap)).alias(t))
 
 

@@ -17,12 +17,12 @@ BUCKET_SQL = f"""CASE WHEN {TEAM} IS NULL OR trim({TEAM}) = '' THEN 'unattribute
 
 
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("team", F.expr(TEAM)).withColumn("match_id", F.col("user_id") % 7).withColumn("ms", F.floor(micros("ts") / 1000))
+    e = table(spark, sf_dir, "events").withColumn("team", F.expr(TEAM)).withColumn("match_id", F.floor(F.col("user_id") / 7)).withColumn("ms", F.floor(micros("ts") / 1000))
     return e.withColumn("bucket", exprs.team_bucket(F.col("team"), F.lit("Reds"), F.lit("Blues")))
 
 
 @query(f"""
-WITH b AS (SELECT event_id, user_id % 7 AS match_id, event_type, epoch_us(ts) // 1000 AS ms, {BUCKET_SQL} AS bucket FROM events),
+WITH b AS (SELECT event_id, user_id // 7 AS match_id, event_type, epoch_us(ts) // 1000 AS ms, {BUCKET_SQL} AS bucket FROM events),
  a AS (SELECT *, CASE WHEN lag(bucket) OVER w = bucket AND ms - lag(ms) OVER w <= 600000 THEN 0 ELSE 1 END AS fresh FROM b WHERE event_type IN ('purchase', 'click')
        WINDOW w AS (PARTITION BY match_id ORDER BY ms, event_id))
 SELECT match_id, count(*) FILTER (fresh = 1 AND bucket = 'home') AS home, count(*) FILTER (fresh = 1 AND bucket = 'away') AS away,
@@ -35,11 +35,11 @@ def stat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT user_id % 7 AS match_id, event_type, count(*) FILTER ({BUCKET_SQL} = 'home') AS home, count(*) FILTER ({BUCKET_SQL} = 'away') AS away,
+SELECT user_id // 7 AS match_id, event_type, count(*) FILTER ({BUCKET_SQL} = 'home') AS home, count(*) FILTER ({BUCKET_SQL} = 'away') AS away,
  count(*) FILTER ({BUCKET_SQL} = 'unattributed') AS unattributed, count(*) AS total FROM events GROUP BY ALL
 """)
 def count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return control.bucket_counts(_bucketed(spark, sf_dir), ["match_id"], "event_type", "bucket", "event_id").drop("event_ids")
+    return control.bucket_counts(_bucketed(spark, sf_dir), ["match_id"], "event_type", "bucket")
 
 
 @query("""
@@ -114,9 +114,9 @@ ROSTER = "CASE p_partkey % 2 WHEN 0 THEN 'home' ELSE 'away' END"
 
 
 @query(f"""
-WITH r AS (SELECT p_partkey AS entry_id, p_partkey % 5 AS match_id, {ROSTER} AS team_side, CAST(p_size AS VARCHAR) AS jersey FROM part),
+WITH r AS (SELECT p_partkey AS entry_id, p_partkey // 40 AS match_id, {ROSTER} AS team_side, CAST(p_size AS VARCHAR) AS jersey FROM part),
  x AS (SELECT match_id, team_side, jersey, max(entry_id) AS e FROM r GROUP BY ALL), l AS (SELECT match_id, jersey, min(entry_id) AS e FROM r GROUP BY ALL HAVING count(*) = 1),
- v AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS match_id, CASE l_linenumber % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' END AS side,
+ v AS (SELECT l_orderkey, l_linenumber, l_partkey // 40 AS match_id, CASE l_linenumber % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' END AS side,
    CAST(CAST(l_quantity AS INT) AS VARCHAR) AS jersey, CASE WHEN l_tax > 0.07 THEN 1 END AS had FROM lineitem),
  m AS (SELECT v.*, coalesce(x.e, l.e) AS entry FROM v LEFT JOIN x ON x.match_id = v.match_id AND x.team_side = v.side AND x.jersey = v.jersey LEFT JOIN l ON l.match_id = v.match_id AND l.jersey = v.jersey)
 SELECT match_id, CASE WHEN had IS NOT NULL THEN 'already_routed' WHEN entry IS NOT NULL THEN 'routed' ELSE 'unmatched' END AS routing, count(*) AS n,
@@ -124,10 +124,10 @@ SELECT match_id, CASE WHEN had IS NOT NULL THEN 'already_routed' WHEN entry IS N
 """)
 def route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     roster = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("entry_id"), (F.col("p_partkey") % 5).alias("match_id"), F.expr(ROSTER).alias("team_side"),
+        F.col("p_partkey").alias("entry_id"), F.floor(F.col("p_partkey") / 40).alias("match_id"), F.expr(ROSTER).alias("team_side"),
         F.concat(F.lit("0"), F.col("p_size").cast("string")).alias("jersey_number"), F.col("p_partkey").alias("entry_order"))
     events = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 5).alias("match_id"), F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' END").alias("team_id"),
+        F.floor(F.col("l_partkey") / 40).alias("match_id"), F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' END").alias("team_id"),
         F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string")).alias("jersey_number"), F.expr("CASE WHEN l_tax > 0.07 THEN 0L END").alias("player_id"))
     routed = control.route_events(events, roster)
     return routed.groupBy("match_id", "routing").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("routing") == "routed", F.col("player_id"))).alias("entries"))
@@ -216,7 +216,7 @@ KINDS = {"goal": "purchase", "shot": "click", "save": "error", "foul": "view", "
 
 
 @query(f"""
-WITH b AS (SELECT event_id, user_id % 7 AS match_id, CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'error' THEN 'save' WHEN 'view' THEN 'foul' ELSE 'corner_kick' END AS kind, epoch_us(ts) // 1000 AS ms, {BUCKET_SQL} AS bucket FROM events),
+WITH b AS (SELECT event_id, user_id // 7 AS match_id, CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot' WHEN 'error' THEN 'save' WHEN 'view' THEN 'foul' ELSE 'corner_kick' END AS kind, epoch_us(ts) // 1000 AS ms, {BUCKET_SQL} AS bucket FROM events),
  c AS (SELECT match_id, CASE kind WHEN 'goal' THEN 'goals' WHEN 'save' THEN 'saves' WHEN 'foul' THEN 'fouls' WHEN 'corner_kick' THEN 'corners' END AS key, count(*) FILTER (bucket = 'home') AS home, count(*) FILTER (bucket = 'away') AS away, count(*) AS total FROM b WHERE kind <> 'shot' GROUP BY ALL),
  f AS (SELECT 'total_shots' AS key, * FROM b WHERE kind IN ('shot', 'goal') UNION ALL SELECT 'shots_on_target', * FROM b WHERE kind IN ('goal', 'save')),
  a AS (SELECT *, CASE WHEN lag(bucket) OVER w = bucket AND ms - lag(ms) OVER w <= 4000 THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY key, match_id ORDER BY ms, event_id)),

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from pitchlake.plans import analytics, catalog, documents, lists, matches, people, playing, series  # noqa: E402,F401  each registers its queries
+from pitchlake.plans import analytics, bookmarks, catalog, documents, lists, matches, people, playing, series  # noqa: E402,F401  each registers its queries

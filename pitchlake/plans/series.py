@@ -184,7 +184,7 @@ def visibility_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TRACKS_SQL}, touch AS (SELECT track % 11 AS match, track, us, CASE track % 2 WHEN 0 THEN 'home' ELSE 'away' END AS team FROM tracks WHERE state IN ('click', 'purchase')),
+WITH {TRACKS_SQL}, touch AS (SELECT track // 7 AS match, track, us, CASE track % 2 WHEN 0 THEN 'home' ELSE 'away' END AS team FROM tracks WHERE state IN ('click', 'purchase')),
  g AS (SELECT m.match, unnest(generate_series(lo, hi, {HOUR})) AS at FROM (SELECT match, min(us) // {HOUR} * {HOUR} AS lo, max(us) AS hi FROM touch GROUP BY match) m),
  s AS (SELECT g.match, g.at, t.team, g.at - t.us AS age FROM g ASOF LEFT JOIN touch t ON g.match = t.match AND g.at >= t.us),
  c AS (SELECT match, CASE WHEN team IS NULL THEN 'unknown' WHEN age > 2 * {HOUR} THEN 'stale' ELSE team END AS who FROM s)
@@ -192,7 +192,7 @@ SELECT match, round(100.0 * count(*) FILTER (who = 'home') / nullif(count(*) FIL
 """)
 def possession_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of known hourly samples in which the last touch was a home one; samples two hours after it are unknown."""
-    touch = tracks(spark, sf_dir).where("state IN ('click', 'purchase')").select((F.col("track") % 11).alias("match"), "us", F.expr("CASE track % 2 WHEN 0 THEN 'home' ELSE 'away' END").alias("team"))
+    touch = tracks(spark, sf_dir).where("state IN ('click', 'purchase')").select(F.floor(F.col("track") / 7).alias("match"), "us", F.expr("CASE track % 2 WHEN 0 THEN 'home' ELSE 'away' END").alias("team"))
     grid = touch.groupBy("match").agg((F.floor(F.min("us") / HOUR) * HOUR).alias("lo"), F.max("us").alias("hi")).select("match", F.explode(F.sequence("lo", "hi", F.lit(HOUR))).alias("at"))
     at = ts.asof_backward(grid, touch, ["match"], "at", "us")
     who = F.when(F.col("asof.team").isNull(), "unknown").when(F.col("at") - F.col("asof.us") > 2 * HOUR, "stale").otherwise(F.col("asof.team"))
@@ -201,7 +201,7 @@ def possession_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TRACKS_SQL}, r AS (SELECT track % 11 AS match, track, us, event_id, x, state, sum(CASE WHEN state = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY track % 11 ORDER BY us, event_id) AS breaks FROM tracks),
+WITH {TRACKS_SQL}, r AS (SELECT track // 7 AS match, track, us, event_id, x, state, sum(CASE WHEN state = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY track // 7 ORDER BY us, event_id) AS breaks FROM tracks),
  p AS (SELECT match, track, event_id, us, x, breaks, lead(track) OVER w AS to_track, lead(us) OVER w AS to_us, lead(x) OVER w AS to_x, lead(breaks) OVER w AS to_breaks FROM r WHERE state IN ('click', 'purchase')
   WINDOW w AS (PARTITION BY match ORDER BY us, event_id))
 SELECT match, event_id, track, to_track, track % 2 = to_track % 2 AS complete FROM p WHERE to_track <> track AND to_us > us AND to_us - us <= 4 * {HOUR} AND abs(to_x - x) > 3.0 AND to_breaks = breaks
@@ -209,34 +209,34 @@ SELECT match, event_id, track, to_track, track % 2 = to_track % 2 AS complete FR
 def passes_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two neighbouring touches of different players, close in time, apart in space, with no interruption between them."""
     w = Window.partitionBy("match").orderBy("us", "event_id")
-    rows = tracks(spark, sf_dir).withColumn("match", F.col("track") % 11).withColumn("breaks", F.sum((F.col("state") == "error").cast("int")).over(w)).where("state IN ('click', 'purchase')")
+    rows = tracks(spark, sf_dir).withColumn("match", F.floor(F.col("track") / 7)).withColumn("breaks", F.sum((F.col("state") == "error").cast("int")).over(w)).where("state IN ('click', 'purchase')")
     rows = rows.withColumns({f"to_{c}": F.lead(c).over(w) for c in ("track", "us", "x", "breaks")})
     ok = (F.col("to_track") != F.col("track")) & (F.col("to_us") > F.col("us")) & (F.col("to_us") - F.col("us") <= 4 * HOUR) & (F.abs(F.col("to_x") - F.col("x")) > 3.0) & (F.col("to_breaks") == F.col("breaks"))
     return rows.where(ok).select("match", "event_id", "track", "to_track", (F.col("track") % 2 == F.col("to_track") % 2).alias("complete"))
 
 
 @query(f"""
-WITH {TRACKS_SQL}, r AS (SELECT track % 11 AS match, us, event_id, CASE WHEN state IN ('click', 'purchase') THEN track % 2 END AS team FROM tracks),
+WITH {TRACKS_SQL}, r AS (SELECT track // 7 AS match, us, event_id, CASE WHEN state IN ('click', 'purchase') THEN track % 2 END AS team FROM tracks),
  n AS (SELECT *, last_value(team IGNORE NULLS) OVER (PARTITION BY match ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was, lead(team, 1) OVER w AS next1, lead(team, 2) OVER w AS next2 FROM r WINDOW w AS (PARTITION BY match ORDER BY us, event_id))
 SELECT match, event_id, team FROM n WHERE team IS NOT NULL AND was <> team AND coalesce(next1 = team, true) AND coalesce(next2 = team, true)
 """)
 def turnovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The possessing team changes and holds for the next two samples."""
     w = Window.partitionBy("match").orderBy("us", "event_id")
-    rows = tracks(spark, sf_dir).withColumn("match", F.col("track") % 11).withColumn("team", F.when(F.col("state").isin("click", "purchase"), F.col("track") % 2))
+    rows = tracks(spark, sf_dir).withColumn("match", F.floor(F.col("track") / 7)).withColumn("team", F.when(F.col("state").isin("click", "purchase"), F.col("track") % 2))
     rows = rows.withColumn("was", F.last("team", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n1", F.lead("team", 1).over(w)).withColumn("n2", F.lead("team", 2).over(w))
     holds = F.coalesce(F.col("n1") == F.col("team"), F.lit(True)) & F.coalesce(F.col("n2") == F.col("team"), F.lit(True))
     return rows.where(F.col("team").isNotNull() & (F.col("was") != F.col("team")) & holds).select("match", "event_id", "team")
 
 
 @query(f"""
-WITH {TRACKS_SQL} SELECT event_id, track % 11 AS match, CAST(sum(CASE WHEN state = 'purchase' AND track % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS home, CAST(sum(CASE WHEN state = 'purchase' AND track % 2 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS away
-FROM tracks WINDOW w AS (PARTITION BY track % 11 ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)
+WITH {TRACKS_SQL} SELECT event_id, track // 7 AS match, CAST(sum(CASE WHEN state = 'purchase' AND track % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS home, CAST(sum(CASE WHEN state = 'purchase' AND track % 2 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS away
+FROM tracks WINDOW w AS (PARTITION BY track // 7 ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)
 """)
 def running_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("match").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     score = lambda team: F.sum(((F.col("state") == "purchase") & (F.col("track") % 2 == team)).cast("int")).over(w)
-    return tracks(spark, sf_dir).withColumn("match", F.col("track") % 11).select("event_id", "match", score(0).alias("home"), score(1).alias("away"))
+    return tracks(spark, sf_dir).withColumn("match", F.floor(F.col("track") / 7)).select("event_id", "match", score(0).alias("home"), score(1).alias("away"))
 
 
 @query(f"""
@@ -261,7 +261,7 @@ def merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {TRACKS_SQL}, b AS (SELECT track % 11 AS match, us // (24 * {HOUR}) AS day, CAST(sum(CASE state WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS DOUBLE) AS r FROM tracks GROUP BY ALL),
+WITH RECURSIVE {TRACKS_SQL}, b AS (SELECT track // 7 AS match, us // (24 * {HOUR}) AS day, CAST(sum(CASE state WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS DOUBLE) AS r FROM tracks GROUP BY ALL),
  n AS (SELECT *, row_number() OVER (PARTITION BY match ORDER BY day) AS i FROM b),
  e AS (SELECT match, i, day, 0.4 * r AS acc FROM n WHERE i = 1 UNION ALL SELECT n.match, n.i, n.day, 0.4 * n.r + 0.6 * e.acc FROM e JOIN n ON n.match = e.match AND n.i = e.i + 1)
 SELECT match, day, round(acc / max(abs(acc)) OVER (PARTITION BY match), 6) AS momentum FROM e
@@ -269,7 +269,7 @@ SELECT match, day, round(acc / max(abs(acc)) OVER (PARTITION BY match), 6) AS mo
 def ema_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily balance, smoothed by an exponential average and scaled to its largest swing."""
     r = F.sum(F.expr("CASE state WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END")).cast("double")
-    days = tracks(spark, sf_dir).groupBy((F.col("track") % 11).alias("match"), F.floor(F.col("us") / (24 * HOUR)).alias("day")).agg(r.alias("r"))
+    days = tracks(spark, sf_dir).groupBy(F.floor(F.col("track") / 7).alias("match"), F.floor(F.col("us") / (24 * HOUR)).alias("day")).agg(r.alias("r"))
     rows = days.groupBy("match").agg(F.sort_array(F.collect_list(F.struct("day", "r"))).alias("s")).withColumn("acc", ts.ema(F.col("s.r"), 0.4))
     top = F.array_max(F.transform("acc", F.abs))
     return rows.withColumn("top", top).select("match", "top", F.explode(F.arrays_zip(F.col("s.day").alias("day"), F.col("acc").alias("acc"))).alias("z")).select("match", F.col("z.day").alias("day"), F.round(F.col("z.acc") / F.col("top"), 6).alias("momentum"))

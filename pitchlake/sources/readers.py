@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -56,6 +56,41 @@ def first_document(spark: SparkSession, paths: list[str], schema: str) -> DataFr
     return found
 
 
+#: Files that mark a folder as a run. Fixed values.
+RUN_FILES = ("analysis_bookmarks.json", "analysis_events.json", "tracks.npz", "progress.json")
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, name, modified, n_bytes) of all files below a folder, by Spark's own listing and without their contents; a missing one is empty."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException:
+        return spark.createDataFrame([], "folder string, name string, modified timestamp, n_bytes long")
+    parts = F.split("path", "/")
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.element_at(parts, -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes"))
+
+
+def newest_runs(files: DataFrame, limit: int = 300) -> DataFrame:
+    """(folder, modified) of the ``limit`` newest runs: folders that hold one of ``RUN_FILES``, by their latest file (ties by name)."""
+    runs = files.groupBy("folder").agg(F.max("modified").alias("modified"), F.bool_or(F.col("name").isin(*RUN_FILES)).alias("is_run")).where("is_run")
+    return runs.select("folder", "modified").orderBy(F.desc("modified"), "folder").limit(limit)
+
+
+def thumbnails(files: DataFrame, interval_s: float = 10.0) -> DataFrame:
+    """(folder, name, t) of the pictures in folders named thumbs: the time from the number that starts a name, else from its place by name."""
+    rows = files.where(F.col("folder").endswith("/thumbs") & F.col("name").endswith(".jpg"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("name"))
+    number = F.regexp_extract("name", r"^(\d+)", 1).try_cast("long")
+    return rows.select("folder", "name", F.round(F.greatest(F.lit(0), F.coalesce(number, place) - 1) * interval_s, 2).alias("t"))
+
+
+def nullable(rows: DataFrame, fields: dict[str, str], defaults: dict | None = None) -> DataFrame:
+    """Loosely typed rows with a column for each field: values that are no such type are null, then the field's default; missing columns too."""
+    known = {name: F.col(name).try_cast(kind) if name in rows.columns else F.lit(None).cast(kind) for name, kind in fields.items()}
+    filled = {name: F.coalesce(c, F.lit(defaults[name]).cast(fields[name])) if defaults and name in defaults else c for name, c in known.items()}
+    return rows.select(*[c.alias(name) for name, c in filled.items()])
+
+
 def read_roster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows of a roster CSV with any known header names.
 
