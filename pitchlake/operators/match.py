@@ -570,16 +570,19 @@ def flights(ball: DataFrame, fast: float, turn: float = 30.0, kick: float = 1.35
 def review_candidates(samples: DataFrame, pre: float, post: float, most: int = 3, joined: float = 1.0) -> DataFrame:
     """(match_id, t_start, t_end): the few strongest moments of a match without events, apart, padded and joined.
 
-    Strength is three quarters speed, scaled to the match's range, and one quarter the change of direction over pi. The
-    fold holds one match's scored samples in order and keeps ``most``. ``samples``: (match_id, t, speed, turn).
+    Strength is three quarters speed, scaled to the match's range, and one quarter the change of direction over pi. Each
+    of ``most`` rounds takes the best moment (ties: the later) that is apart from those before by an aggregation, so no
+    match is gathered into one row. ``samples``: (match_id, t, speed, turn).
     """
-    w = Window.partitionBy("match_id")
-    scaled = (F.col("speed") - F.min("speed").over(w)) / (F.max("speed").over(w) - F.min("speed").over(w) + 1e-9)
-    rows = samples.withColumn("score", 0.75 * scaled + 0.25 * F.coalesce(F.col("turn"), F.lit(0.0)) / (math.pi + 1e-9))
-    apart, none = max(8.0, pre + post), F.array().cast("array<double>")
-    best = F.sort_array(F.collect_list(F.struct("score", "t")), asc=False)
-    keep = lambda kept, r: F.when((F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - r["t"]) >= apart), F.array_append(kept, r["t"])).otherwise(kept)
-    folded = rows.groupBy("match_id").agg(F.max("score").alias("top"), best.alias("ordered")).where("top > 0").select("match_id", F.aggregate("ordered", none, keep).alias("kept"))
+    span = samples.groupBy("match_id").agg(F.min("speed").alias("lo"), F.max("speed").alias("hi"))
+    score = 0.75 * ((F.col("speed") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)) + 0.25 * F.coalesce(F.col("turn"), F.lit(0.0)) / (math.pi + 1e-9)
+    rows = samples.join(span, "match_id").select("match_id", "t", F.struct(score.alias("score"), "t").alias("moment"))
+    apart = max(8.0, pre + post)
+    folded = rows.groupBy("match_id").agg(F.max("moment").alias("best")).where("best.score > 0").select("match_id", F.array("best.t").alias("kept"))
+    for _ in range(most - 1):
+        free = F.forall("kept", lambda k: F.abs(k - F.col("t")) >= apart)
+        folded = rows.join(folded, "match_id").groupBy("match_id").agg(F.first("kept").alias("kept"), F.max(F.when(free, F.col("moment"))).alias("best")).select(
+            "match_id", F.when(F.col("best").isNull(), F.col("kept")).otherwise(F.array_append("kept", F.col("best.t"))).alias("kept"))
     spans = folded.select("match_id", F.explode("kept").alias("t")).select("match_id", F.greatest(F.lit(0.0), F.col("t") - pre).alias("t_start"), (F.col("t") + post).alias("t_end"))
     return ts.merge_intervals(spans, MATCH, "t_start", "t_end", joined).select("match_id", "t_start", "t_end")
 
