@@ -21,16 +21,20 @@ def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All pairs of two box arrays."""
     low = np.maximum(a[:, None, :2], b[None, :, :2])
     high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    meet = np.prod(np.clip(high - low, 0, None), axis=2)
-    area = lambda r: np.prod(np.clip(r[:, 2:] - r[:, :2], 0, None), axis=1)
+    inside = np.maximum(high - low, 0)
+    meet = inside[..., 0] * inside[..., 1]
+    area = lambda r: np.maximum(r[:, 2] - r[:, 0], 0) * np.maximum(r[:, 3] - r[:, 1], 0)
     return meet / np.maximum(area(a)[:, None] + area(b)[None] - meet, 1e-9)
 
 
 def assign(cost: np.ndarray, worst: float) -> list[tuple[int, int]]:
     """Least-cost one-to-one pairs of cost at most ``worst``, by shortest augmenting paths with potentials."""
     n, m = cost.shape
-    if not n or not m:
+    if not n or not m or not (cost <= worst).any():
         return []
+    if n == 1 or m == 1:
+        best = int(cost.argmin())
+        return [(best, 0) if m == 1 else (0, best)]
     if n > m:
         return sorted((i, j) for j, i in assign(cost.T, worst))
     c = np.minimum(cost, worst * 10 + 1)
@@ -66,8 +70,15 @@ def corners(state: np.ndarray) -> np.ndarray:
     return np.column_stack([state[:, :2] - half, state[:, :2] + half])
 
 
+def _apart(held: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of all centres, and both sides' heights, at least one."""
+    far = (held[:, None, :2] + held[:, None, 2:] - boxes[None, :, :2] - boxes[None, :, 2:]) / 2
+    return np.linalg.norm(far, axis=2), np.maximum(held[:, 3] - held[:, 1], 1.0)[:, None], np.maximum(boxes[:, 3] - boxes[:, 1], 1.0)[None]
+
+
 def _deviation(height: np.ndarray, of_height: float, of_aspect: float) -> np.ndarray:
-    out = np.repeat((of_height * height)[:, None], 4, axis=1)
+    out = np.empty((len(height), 4))
+    out[:] = (of_height * height)[:, None]
     out[:, 2] = of_aspect
     return out
 
@@ -173,12 +184,15 @@ class Tracker:
         # frames without any row have passed too
         passed = 1 if self.last is None else max(1, int(frame - self.last))
         self.last = int(frame)
-        self._keep(np.flatnonzero(frame - 1 - self.seen <= s.lost))  # some may have run out in frames without rows
+        alive = frame - 1 - self.seen <= s.lost
+        if not alive.all():
+            self._keep(np.flatnonzero(alive))  # some may have run out in frames without rows
         boxes, looks = np.asarray(boxes, float).reshape(-1, 4), looks if looks is not None else [None] * len(boxes)
         for k in range(passed):
             lost = self.seen < frame - passed + k
-            self.filter.speed[lost] *= s.decay
-            self.filter.speed[lost, 2] = 0
+            if lost.any():
+                self.filter.speed[lost] *= s.decay
+                self.filter.speed[lost, 2] = 0
             self.filter.predict()
         whole = ((boxes[:, 2:] - boxes[:, :2]) > 1e-3).all(1)
         taken = np.full(len(boxes), -1)
@@ -189,32 +203,39 @@ class Tracker:
         free = np.flatnonzero(whole & (scores >= s.sure))
         cost = 1 - iou(held[known], boxes[free]) * scores[free][None]
         gate = cost <= s.worst
-        gap = np.linalg.norm((held[known, None, :2] + held[known, None, 2:] - boxes[None, free, :2] - boxes[None, free, 2:]) / 2, axis=2)
-        tall, other = np.maximum(held[known, 3] - held[known, 1], 1.0)[:, None], np.maximum(boxes[free, 3] - boxes[free, 1], 1.0)[None]
-        cost = cost + s.centre * gap / ((tall + other) / 2) + self._looks_apart(known, gate, [looks[j] for j in free])
-        known, free = self._take(known, free, assign(np.where(gate, cost, np.inf), 100.0), taken)
+        if gate.any():  # as below, stages without pairs are left out: most frames have a few boxes
+            gap, tall, other = _apart(held[known], boxes[free])
+            cost = cost + s.centre * gap / ((tall + other) / 2)
+            if any(x is not None for x in looks):
+                cost = cost + self._looks_apart(known, gate, [looks[j] for j in free])
+            known, free = self._take(known, free, assign(np.where(gate, cost, np.inf), 100.0), taken)
 
         # doubtful ones for tracks that were seen in the frame before
         low = np.flatnonzero(whole & (scores > s.doubtful) & (scores < s.sure))
-        recent = known[self.seen[known] == frame - passed]
-        left, _ = self._take(recent, low, assign(1 - iou(held[recent], boxes[low]), 1 - s.doubtful_overlap), taken)
-        known = known[~np.isin(known, np.setdiff1d(recent, left))]
+        if len(low):
+            recent = known[self.seen[known] == frame - passed]
+            left, _ = self._take(recent, low, assign(1 - iou(held[recent], boxes[low]), 1 - s.doubtful_overlap), taken)
+            known = known[~np.isin(known, np.setdiff1d(recent, left))]
 
         # near centres of like size, for boxes that don't overlap
-        gap = np.linalg.norm((held[known, None, :2] + held[known, None, 2:] - boxes[None, free, :2] - boxes[None, free, 2:]) / 2, axis=2)
-        tall, other = np.maximum(held[known, 3] - held[known, 1], 1.0)[:, None], np.maximum(boxes[free, 3] - boxes[free, 1], 1.0)[None]
-        alike = np.maximum(tall, other) <= s.resize * np.minimum(tall, other)
-        known, free = self._take(known, free, assign(np.where(alike, gap / tall, np.inf), s.reach), taken)
+        if len(known) and len(free):
+            gap, tall, other = _apart(held[known], boxes[free])
+            alike = np.maximum(tall, other) <= s.resize * np.minimum(tall, other)
+            known, free = self._take(known, free, assign(np.where(alike, gap / tall, np.inf), s.reach), taken)
 
         # what is left confirms new tracks, or begins some
-        cost = 1 - iou(held[fresh], boxes[free]) * scores[free][None]
-        gone, free = self._take(fresh, free, assign(cost, s.worst_unconfirmed), taken)
-        out = self._record(frame, dets, boxes, looks, taken)
-        stay = np.ones(len(self.ids), bool)
+        gone = fresh
+        if len(fresh) and len(free):
+            cost = 1 - iou(held[fresh], boxes[free]) * scores[free][None]
+            gone, free = self._take(fresh, free, assign(cost, s.worst_unconfirmed), taken)
+        out = self._record(frame, dets, boxes, looks, taken) if (taken >= 0).any() else []
+        stay = frame - self.seen <= s.lost
         stay[gone] = False
-        stay &= frame - self.seen <= s.lost
-        self._keep(np.flatnonzero(stay))
+        if not stay.all():
+            self._keep(np.flatnonzero(stay))
         born = free[scores[free] >= s.new]
+        if not len(born):
+            return out
         out += self._begin(frame, [dets[j] for j in born], boxes[born], [looks[j] if self._alone(boxes, j) else None for j in born])
         return out
 

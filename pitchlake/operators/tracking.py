@@ -41,10 +41,12 @@ def strongest(detections: DataFrame, most: int) -> DataFrame:
 
 def track_frames(tracker: Tracker, rows: pd.DataFrame) -> list[tuple]:
     """(frame, det, track) of whole frames in order, by ``tracker``."""
-    out = []
-    for now, frame in rows.sort_values(["frame", "det"]).groupby("frame", sort=True):
-        looks = list(frame["look"]) if "look" in frame else None
-        out += tracker.step(int(now), frame["det"].tolist(), frame[list(BOX)].to_numpy(float), frame["conf"].to_numpy(float), looks)
+    rows, out = rows.sort_values(["frame", "det"]), []
+    frames, dets = rows["frame"].to_numpy(), rows["det"].tolist()
+    boxes, scores, looks = rows[list(BOX)].to_numpy(float), rows["conf"].to_numpy(float), list(rows["look"]) if "look" in rows else None
+    starts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(dets)]):
+        out += tracker.step(int(frames[a]), dets[a:b], boxes[a:b], scores[a:b], looks[a:b] if looks else None)
     return out
 
 
