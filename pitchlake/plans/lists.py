@@ -103,7 +103,10 @@ SELECT user_id, team, distance, row_number() OVER (PARTITION BY team ORDER BY co
 """)
 def player_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players of each team by a column, those without it last, and the scale of the bars."""
-    p = table(spark, sf_dir, "events").groupBy("user_id", (F.col("user_id") % 2).alias("team")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("distance"))
+    # summed in the order of events: equal series have equal sums, and others don't change places with the order of partial sums
+    bought = F.sort_array(F.collect_list(F.when((F.col("event_type") == "purchase") & F.col("value").isNotNull(), F.struct("event_id", "value"))))
+    total = F.when(F.size("bought") > 0, F.aggregate("bought", F.lit(0.0), lambda a, r: a + r["value"]))
+    p = table(spark, sf_dir, "events").groupBy("user_id", (F.col("user_id") % 2).alias("team")).agg(bought.alias("bought")).select("user_id", "team", total.alias("distance"))
     return control.sorted_players(p, "distance", "user_id")
 
 
