@@ -256,12 +256,16 @@ def feedback_batches(feedback: DataFrame, criteria: DataFrame) -> DataFrame:
     """``criteria`` with item_count, the feedback rows of its tenant and status within its lists and dates; null criteria don't restrict.
 
     ``criteria``: (batch_id, tenant_id, status, match_ids, kinds, from_at, to_at), joined by tenant and status.
-    ``feedback``: (tenant_id, status, match_id, kind, at).
+    ``feedback``: (tenant_id, status, match_id, kind, at). Batches that ask for the same are counted once: pairs grow with the
+    different criteria, not with the batches.
     """
     listed = lambda c, values: F.col(values).isNull() | (F.size(values) == 0) | F.array_contains(F.col(values), F.col(c))
     test = listed("match_id", "match_ids") & listed("kind", "kinds") & (F.col("from_at").isNull() | (F.col("at") >= F.col("from_at"))) & (F.col("to_at").isNull() | (F.col("at") <= F.col("to_at")))
-    found = feedback.join(criteria, ["tenant_id", "status"]).where(test).groupBy("batch_id").agg(F.count(F.lit(1)).alias("item_count"))
-    return criteria.join(found, "batch_id", "left").fillna(0, ["item_count"])
+    same = ["tenant_id", "status", "match_ids", "kinds", "from_at", "to_at"]
+    keyed = criteria.withColumn("_asked", F.struct(*same))
+    different = keyed.select("_asked").distinct().select("_asked", "_asked.*")
+    found = feedback.join(different, ["tenant_id", "status"]).where(test).groupBy("_asked").agg(F.count(F.lit(1)).alias("item_count"))
+    return keyed.join(found, "_asked", "left").drop("_asked").fillna(0, ["item_count"])
 
 
 def roster_templates(roster: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
