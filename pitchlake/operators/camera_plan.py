@@ -58,10 +58,21 @@ class Style:
     passes: int = 4
 
 
-def frames_of(spans: DataFrame, style: Style = Style()) -> DataFrame:
-    """(match_id, frame, t) of the spans (match_id, start_s, end_s)."""
+def frames_of(spans: DataFrame, ball: DataFrame, style: Style = Style()) -> DataFrame:
+    """(match_id, frame, t, ball_x, ball_y) of the spans (match_id, start_s, end_s), with the ball (match_id, t, x, y) where it is seen.
+
+    The ball's own grid gives the frames and its first and last point those before and after it, so that spans and ball
+    meet by match alone: dealt by match over the same number of partitions, neither is shuffled.
+    """
     n = F.greatest(F.lit(1), F.ceil((F.col("end_s") - F.col("start_s")) * style.fps - 1e-9))
-    return spans.select("match_id", "start_s", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("frame")).select("match_id", "frame", (F.col("start_s") + F.col("frame") / style.fps).alias("t"))
+    shifted = ball.join(spans.select("match_id", "start_s").hint("merge"), "match_id").select("match_id", (F.col("t") - F.col("start_s")).alias("t"), "x", "y")
+    grid, w = ts.resample_grid(shifted, MATCH, "t", ["x", "y"], 1 / style.fps, 1.0, 0.1), Window.partitionBy("match_id").orderBy("g")
+    grid = grid.select("match_id", "g", "x", "y", F.lag("g").over(w).isNull().alias("first"), F.lead("g").over(w).isNull().alias("last"))
+    rows = spans.select("match_id", "start_s", (n - 1).alias("end")).join(grid.hint("merge"), "match_id", "left")
+    low, high = F.when(F.col("first"), F.least(F.lit(0), "g")).otherwise(F.col("g")), F.when(F.col("last"), F.greatest("g", "end")).otherwise(F.col("g"))
+    rows = rows.withColumn("frame", F.explode(F.sequence(F.coalesce(low, F.lit(0)), F.coalesce(high, "end")))).where("frame BETWEEN 0 AND end")
+    seen = [F.when(F.col("frame") == F.col("g"), F.col(c)).alias(f"ball_{c}") for c in ("x", "y")]
+    return rows.select("match_id", "frame", (F.col("start_s") + F.col("frame") / style.fps).alias("t"), *seen)
 
 
 def _fit(style: Style, low_x: Column, high_x: Column, low_y: Column, high_y: Column, most: Column) -> Column:
@@ -76,25 +87,30 @@ def setpoints(spans: DataFrame, ball: DataFrame, segments: DataFrame, players: D
 
     ``ball`` is (match_id, t, x, y), ``segments`` (match_id, start_s, state, side), ``players`` (match_id, track_id, t, x, y),
     ``field`` (match_id, x_min, x_max, y_min, y_max). ``also`` is a second place that must be seen, a goal or an exit.
+
+    Rows are shuffled while they are narrow: by half seconds to meet the players, then by match. No join may broadcast samples,
+    since those that are exploded from a few rows look small to the planner; ``field`` is one row a match.
     """
     s, half = style, 0.5  # players count by half seconds
-    shifted = ball.join(spans.select("match_id", "start_s"), "match_id").select("match_id", (F.col("t") - F.col("start_s")).alias("t"), "x", "y")
-    grid = ts.resample_grid(shifted, MATCH, "t", ["x", "y"], 1 / s.fps, 1.0, 0.1).where("observed").select("match_id", F.col("g").alias("frame"), F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
-    rows = frames_of(spans, s).join(grid, ["match_id", "frame"], "left").join(field, "match_id")
-    w, step = Window.partitionBy("match_id").orderBy("frame"), 4
-    speed = lambda c: F.coalesce((F.lead(c, step).over(w) - F.lag(c, step).over(w)) * s.fps / (2 * step), F.lit(0.0))
-    seen = F.when(F.col("ball_x").isNotNull(), F.struct("t", F.col("ball_x").alias("x"), F.col("ball_y").alias("y")))
-    rows = rows.withColumns({"vx": speed("ball_x"), "vy": speed("ball_y"), "last": F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    rows = ts.asof_backward(rows, segments.select("match_id", "start_s", F.col("state").alias("s"), F.col("side").alias("side")), MATCH, "t", "start_s", "seg", fall_back_to_first=True)
-    rows = rows.withColumns({"state": F.coalesce("seg.s", F.lit("in_play")), "side": F.col("seg.side"), "lost_s": F.coalesce(F.col("t") - F.col("last.t"), F.lit(1e9)), "bin": F.floor(F.col("t") / half)}).drop("seg")
+    rows = frames_of(spans, ball, s).withColumn("bin", F.floor(F.col("t") / half))
 
     # one place for each player and half second, and where the ball is then
     places = players.groupBy("match_id", "track_id", F.floor(F.col("t") / half).alias("bin")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     at = rows.groupBy("match_id", "bin").agg(F.avg("ball_x").alias("bx"), F.avg("ball_y").alias("by"))
     near = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) <= s.action * s.width
-    crowd = places.join(at, ["match_id", "bin"]).groupBy("match_id", "bin").agg(
+    crowd = places.join(at.hint("merge"), ["match_id", "bin"]).groupBy("match_id", "bin").agg(
         F.avg("x").alias("all_x"), F.avg("y").alias("all_y"), F.count_if(near).alias("n"), *[f(F.when(near, F.col(c))).alias(f"{name}_{c}") for c in ("x", "y") for f, name in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"))])
-    rows = rows.join(crowd, ["match_id", "bin"], "left")
+    # all players count where the ball isn't seen, those around it where two are
+    counts = lambda c: F.col("ball_x").isNull() if c.startswith("all_") else F.col("n") >= 2
+    rows = rows.join(crowd.hint("merge"), ["match_id", "bin"], "left").select(
+        "match_id", "frame", "t", "ball_x", "ball_y", "n", *[F.when(counts(c), F.col(c)).alias(c) for c in crowd.columns if c not in ("match_id", "bin", "n")])
+
+    rows = ts.asof_backward(rows, segments.select("match_id", "start_s", F.col("state").alias("s"), F.col("side").alias("side")), MATCH, "t", "start_s", "seg", fall_back_to_first=True)
+    w, step = Window.partitionBy("match_id").orderBy("frame"), 4
+    speed = lambda c: F.coalesce((F.lead(c, step).over(w) - F.lag(c, step).over(w)) * s.fps / (2 * step), F.lit(0.0))
+    seen = F.when(F.col("ball_x").isNotNull(), F.struct("t", F.col("ball_x").alias("x"), F.col("ball_y").alias("y")))
+    rows = rows.withColumns({"vx": speed("ball_x"), "vy": speed("ball_y"), "last": F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.withColumns({"state": F.coalesce("seg.s", F.lit("in_play")), "side": F.col("seg.side"), "lost_s": F.coalesce(F.col("t") - F.col("last.t"), F.lit(1e9))}).drop("seg").join(F.broadcast(field), "match_id")
 
     base, length = F.lit(min(max(s.base_zoom, s.least_zoom), s.most_zoom)), F.col("x_max") - F.col("x_min")
     goal_y = (F.col("y_min") + F.col("y_max")) / 2

@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pitchlake.operators import control, match, restarts, stats, tracking
+from pitchlake.operators import camera_plan, control, match, restarts, stats, tracking
+from pitchlake.operators import timeseries as ts
 from pitchlake.operators.tracker import Tracker
 from pitchlake.plans import registry
 from pitchlake.sources.working import kept
@@ -108,3 +109,47 @@ def test_similarity_holds_one_pair_of_blocks(spark):
     many = stats.most_similar(rows, rows.where("id % 50 = 0"), "id", "h", 3, block=64)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
     assert "FlatMapCoGroupsInPandas" in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_states_leave_their_task_as_first_and_last_steps():
+    n = 1000
+    df = pd.DataFrame({"match_id": 1, "g": np.arange(n), "grid_t": np.arange(n) / 10, "x": 0.0, "y": np.where(np.arange(n) // 200 % 2 == 1, 50.0, 0.0), "visible": True})
+    seen = []
+
+    class Grid(_OfMatch):
+        def applyInPandas(self, function, _):  # noqa: N802
+            seen.append(function(df))
+            raise StopIteration
+
+    try:
+        match.game_states(Grid())
+    except StopIteration:
+        pass
+    assert seen[0]["state"].nunique() == 2 and len(seen[0]) <= 10 and seen[0]["g"].iloc[[0, -1]].tolist() == [0, n - 1]
+
+
+def test_camera_shuffles_narrow_rows_and_broadcasts_no_samples(spark):
+    by_match = lambda sql: spark.sql(sql).repartition(3, "match_id")
+    one = by_match("SELECT id AS match_id FROM range(3)")
+    spans = one.selectExpr("match_id", "0D AS start_s", "9.5D AS end_s")
+    field = one.selectExpr("match_id", "120D AS x_min", "1800D AS x_max", "81D AS y_min", "999D AS y_max")
+    segments = by_match("SELECT id AS match_id, 0D AS start_s, 'in_play' AS state, CAST(NULL AS STRING) AS side FROM range(3)")
+    # no ball in match 0, one that comes late and goes early in match 1, one that is there before and after the span in match 2
+    ball = by_match("SELECT 1 + id % 2 AS match_id, IF(id % 2 = 0, 2 + (id DIV 2) / 10, (id DIV 2) / 5 - 3) AS t, 500D + id AS x, 400D AS y FROM range(100)").selectExpr("match_id", "CAST(t AS DOUBLE) AS t", "x", "y")
+    players = by_match("SELECT id % 3 AS match_id, id % 7 AS track_id, CAST(id AS DOUBLE) / 30 AS t, 600D + id AS x, 300D AS y FROM range(300)")
+    wishes = camera_plan.setpoints(spans, ball, segments, players, field, camera_plan.Style(fps=5.0))
+    plan = wishes._jdf.queryExecution().executedPlan().toString()
+    planned = camera_plan.planned(wishes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "hashpartitioning(frame" not in plan and planned.count("Exchange") == plan.count("Exchange")
+    frames = {(r["match_id"], r["frame"]): r for r in wishes.collect()}
+    assert set(frames) == {(m, f) for m in range(3) for f in range(48)} and wishes.count() == 3 * 48
+    seen = {m: [f for f in range(48) if frames[m, f]["ball_x"] is not None] for m in range(3)}
+    assert seen == {0: [], 1: list(range(10, 35)), 2: list(range(0, 35))}
+
+
+def test_asof_rows_stay_dealt_by_their_keys(spark):
+    left, right = spark.sql("SELECT id % 5 AS k, id AS t FROM range(50)"), spark.sql("SELECT id % 5 AS k, id * 3 AS at FROM range(10)")
+    found = ts.asof_backward(left, right, ["k"], "t", "at")
+    grouped = found.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert grouped.count("Exchange") == found._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert {(r["k"], r["t"]): r["asof"] and r["asof"]["at"] for r in found.collect()}[3, 13] == 9
