@@ -14,6 +14,7 @@ from pitchlake.plans import registry
 from pitchlake.sources.working import kept
 
 SF = "/root/testdata/sf0.001"
+LARGEST_PLAN = 200
 
 
 def test_planner_knows_the_size_of_a_kept_table(spark):
@@ -153,3 +154,16 @@ def test_asof_rows_stay_dealt_by_their_keys(spark):
     grouped = found.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert grouped.count("Exchange") == found._jdf.queryExecution().executedPlan().toString().count("Exchange")
     assert {(r["k"], r["t"]): r["asof"] and r["asof"]["at"] for r in found.collect()}[3, 13] == 9
+
+
+def test_plans_of_match_results_stay_small(spark):
+    """A plan that holds what it shares many times over is re-planned after each of its stages, in the driver's memory."""
+    seen = {}
+
+    def keep(df):
+        seen[",".join(df.columns)] = df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+        return spark.createDataFrame([], df.schema)
+
+    samples = spark.createDataFrame([], "match_id long, track_id int, team int, t double, x double, y double")
+    match.analyse(samples, samples.select("match_id", "t", "x", "y"), halves=spark.createDataFrame([], "match_id long, half_s double"), keep=keep)
+    assert len(seen) >= 15 and max(seen.values()) < LARGEST_PLAN, seen
