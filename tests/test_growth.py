@@ -14,7 +14,7 @@ from pitchlake.plans import registry
 from pitchlake.sources.working import kept
 
 SF = "/root/testdata/sf0.001"
-LARGEST_PLAN = 200
+LARGEST_PLAN = 80
 
 
 def test_planner_knows_the_size_of_a_kept_table(spark):
