@@ -5,12 +5,14 @@ import time
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchlake.operators import camera_plan, control, match, restarts, stats, tracking
 from pitchlake.operators import timeseries as ts
 from pitchlake.operators.tracker import Tracker
-from pitchlake.plans import registry
+from pitchlake.plans import matches, registry
+from pitchlake.sources import working
 from pitchlake.sources.working import kept
 
 SF = "/root/testdata/sf0.001"
@@ -177,3 +179,33 @@ def test_plans_of_results_hold_few_sources(spark):
     results = match.analyse(samples, samples.select("match_id", "t", "x", "y"), halves=spark.createDataFrame([], "match_id long, half_s double"), keep=empty, only=names)
     nodes = {name: results[name]._jdf.queryExecution().optimizedPlan().toString().count("\n") for name in names}
     assert nodes["team_document"] < 50 and max(v for name, v in nodes.items() if name != "team_document") < 30, nodes
+
+
+def test_what_is_kept_by_a_key_stays_dealt(spark):
+    rows = spark.sql("SELECT id DIV 50 AS match_id, id % 50 AS g, id * 0.5D AS x FROM range(1000)").repartition(5, "match_id")
+    one, two = kept(rows, "match_id", 5), kept(rows.withColumnRenamed("x", "y"), "match_id", 5)
+    was = F.lag("x").over(Window.partitionBy("match_id").orderBy("g"))
+    both = one.withColumn("was", was).join(two, ["match_id", "g"], "left").groupBy("match_id", "g").agg(F.max("was").alias("was"), F.max("y").alias("y"))
+    with working.setting(spark, working.WRITING | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert {(r["match_id"], r["g"], r["was"], r["y"]) for r in kept(both, "match_id", 5).collect()} == {(i // 50, i % 50, (i - 1) / 2 if i % 50 else None, i / 2) for i in range(1000)}
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true" and not [t for t in spark.catalog.listTables() if t.name.startswith("kept_")]
+
+
+def test_steps_of_a_match_shuffle_no_samples(spark, monkeypatch):
+    """Only moments, before they are spread into samples, and what few touches, goals and spells need are dealt anew."""
+    shuffled = {}
+
+    def counted(df, *args, **kwargs):
+        with working.setting(spark, getattr(working, "WRITING", {}) | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffled[",".join(df.columns)] = plan.count("ENSURE_REQUIREMENTS") + plan.count("REPARTITION_BY_COL")
+        return kept(df, *args, **kwargs)
+
+    monkeypatch.setattr(matches, "kept", counted)
+    monkeypatch.setattr(matches, "_tasks", lambda rows: 5)
+    registry.QUERIES["match_events"](spark, SF)
+    shuffled.pop(next(iter(shuffled)))  # moments
+    assert len(shuffled) >= 20 and sum(shuffled.values()) <= 3, shuffled
+    places = [c for c in shuffled if "track_id" in c and "run" in c or "visible" in c or "near" in c and "d0" in c]
+    assert len(places) == 3 and not any("step" in c or "vx" in c for c in places)
